@@ -34,9 +34,12 @@ def dedupe_exact(articles: DataFrame, tie: str = "id") -> DataFrame:
     return keep_first(by_url.withColumn("_key", own_key), ["_key"], order).drop("_key")
 
 
-def title_simhash(title: Column) -> Column:
-    """60-bit SimHash of the title's words; null for a title without words."""
-    hashes = F.transform(words(title), lambda w: F.conv(F.substring(F.sha1(w), 1, 15), 16, 10).cast("bigint"))
+def word_hashes(title: Column) -> Column:
+    return F.transform(words(title), lambda w: F.conv(F.substring(F.sha1(w), 1, 15), 16, 10).cast("bigint"))
+
+
+def simhash(hashes: Column) -> Column:
+    """60-bit SimHash of word hashes, never null. Pass a stored column, as every bit reads it."""
 
     def add_bit(acc: Column, bit: Column) -> Column:
         ones = F.size(F.filter(hashes, lambda h: F.getbit(h, bit) == 1))
@@ -44,7 +47,7 @@ def title_simhash(title: Column) -> Column:
         return F.when(ones * 2 > F.size(hashes), acc.bitwiseOR(weight)).otherwise(acc)
 
     bits = F.sequence(F.lit(0), F.lit(_BITS - 1))
-    return F.when(F.size(hashes) > 0, F.aggregate(bits, F.lit(0).cast("bigint"), add_bit))
+    return F.coalesce(F.aggregate(bits, F.lit(0).cast("bigint"), add_bit), F.lit(0).cast("bigint"))
 
 
 def _pack(sig: Column, blocks: tuple[int, ...]) -> Column:
@@ -117,15 +120,23 @@ def dedupe_simhash(articles: DataFrame, id_col: str = "id", hot_rows: int = 1000
 
     Copies of one title share a signature and collapse before any comparison.
     """
-    signed = articles.withColumn("simhash", title_simhash(F.col("title")))
+    worded = F.coalesce(F.col("title").rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
+
+    def signed(df: DataFrame) -> DataFrame:
+        hashed = df.withColumn("_words", word_hashes(F.col("title")))
+        return hashed.withColumn("simhash", simhash(F.col("_words"))).drop("_words")
+
+    # The filter asks for a word, not for a signature: Spark would push the latter below its own inputs.
     sigs = (
-        signed.filter(F.col("simhash").isNotNull())
+        signed(articles.filter(worded))
         .groupBy(F.col("simhash").alias("sig"))
         .agg(F.min(F.struct("published_at", id_col)).alias("first"))
     )
     first = near_first(sigs, hot_rows).select(F.col("sig").alias("simhash"), F.col(f"first.{id_col}").alias("_first"))
     return (
-        signed.join(first, "simhash", "left")
+        signed(articles)
+        .withColumn("simhash", F.when(worded, F.col("simhash")))
+        .join(first, "simhash", "left")
         .withColumn("dup_of", F.when(F.col("_first") != F.col(id_col), F.col("_first")))
         .drop("_first")
     )

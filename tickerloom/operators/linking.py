@@ -31,11 +31,14 @@ def _phrases(text: Column, max_words: int) -> Column:
     tokens = F.filter(
         F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, _EDGE, "")), lambda t: t != ""
     )
-    runs = [tokens]
-    for n in range(2, max_words + 1):
-        starts = F.filter(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda i, n=n: i + n - 1 <= F.size(tokens))
-        runs.append(F.transform(starts, lambda i, n=n: F.array_join(F.slice(tokens, i, n), " ")))
-    return F.array_distinct(F.concat(*runs))
+
+    def runs(n: int) -> Column:
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
+        return F.coalesce(
+            F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>")
+        )
+
+    return F.array_distinct(F.concat(tokens, *[runs(n) for n in range(2, max_words + 1)]))
 
 
 def _links(found: DataFrame) -> DataFrame:

@@ -42,11 +42,13 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
 def guess_language(text: Column) -> Column:
     """The language whose function words make up most of the text; null when none occurs."""
     tokens = tx.words(text)
-    scored = [
-        F.struct(F.size(F.filter(tokens, lambda w, ws=ws: w.isin(ws))).alias("hits"), F.lit(lang).alias("lang"))
-        for lang, ws in sorted(STOP_WORDS.items())
-    ]
-    best = F.greatest(*scored)
+
+    def hits(listed: list[str]) -> Column:
+        return F.size(F.filter(tokens, lambda w: w.isin(listed)))
+
+    best = F.greatest(
+        *[F.struct(hits(ws).alias("hits"), F.lit(lang).alias("lang")) for lang, ws in sorted(STOP_WORDS.items())]
+    )
     return F.when(best["hits"] > 0, best["lang"])
 
 

@@ -190,4 +190,12 @@ SELECT *, rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTI
     + (count(*) OVER (PARTITION BY date, forward_return) - 1) / 2.0::DOUBLE AS return_rank,
   count(*) OVER (PARTITION BY date) AS names
 FROM v_dayret WHERE score IS NOT NULL AND forward_return IS NOT NULL""",
+    "v_sigs": f"""
+SELECT id, published_at, CAST(sum(CASE WHEN 2 * ones > n THEN (1::BIGINT << CAST(bit AS INTEGER)) ELSE 0 END) AS BIGINT) AS sig
+FROM (SELECT id, published_at, bit, count(*) AS n, sum((h >> CAST(bit AS INTEGER)) & 1) AS ones
+  FROM (SELECT id, published_at, {stable_id('word')} AS h FROM (SELECT id, published_at,
+      unnest([x FOR x IN regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{Nd}}]+') IF x <> '']) AS word FROM v_article)) hashed
+  CROSS JOIN range(0, 60) r(bit)
+  GROUP BY id, published_at, bit)
+GROUP BY id, published_at""",
 }
