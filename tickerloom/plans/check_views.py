@@ -155,7 +155,7 @@ LEFT JOIN (SELECT ticker, date_trunc('hour', published_at)::TIMESTAMP AS hour, a
 SELECT id, ticker, ts, sentiment, novelty, velocity, event_tags,
   round(coalesce(sentiment, 0) * 0.4::DOUBLE + coalesce(novelty, 0) * 0.3::DOUBLE + coalesce(velocity, 0) * 0.3::DOUBLE
     + (CASE WHEN t1 THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN t2 THEN 0.1::DOUBLE ELSE 0 END
-    + CASE WHEN t3 THEN 0.25::DOUBLE ELSE 0 END), 6) AS score
+    + CASE WHEN t3 THEN 0.25::DOUBLE ELSE 0 END), 8) AS score
 FROM v_feature""",
     "v_strength": f"""
 SELECT {stable_id("concat_ws('|', ticker, CAST(epoch(date_trunc('hour', ts)) AS BIGINT))")} AS signal_id, article_id,
@@ -178,7 +178,7 @@ SELECT s.id, s.ticker, s.ts, s.score, b.ts AS entry_ts, b.c AS entry_close, b.fo
 FROM v_signal s LEFT JOIN v_fwd1h b ON b.ticker = s.ticker
   AND b.ts = (SELECT min(x.ts) FROM v_bar1h x WHERE x.ticker = s.ticker AND x.ts > s.ts)""",
     "v_daily": """
-SELECT ticker, CAST(ts AS DATE) AS date, round(avg(score), 6) AS score, max(ts) AS ts FROM v_signal GROUP BY 1, 2""",
+SELECT ticker, CAST(ts AS DATE) AS date, round(avg(score), 10) AS score, max(ts) AS ts FROM v_signal GROUP BY 1, 2""",
     "v_dayret": """
 SELECT d.ticker, d.date, d.score, d.ts, b.ts AS entry_ts, b.forward_return
 FROM v_daily d LEFT JOIN v_fwd1d b ON b.ticker = d.ticker

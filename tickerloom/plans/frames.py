@@ -12,7 +12,10 @@ from tickerloom.params import ScoreParams
 from tickerloom.sources import views as v
 
 PARAMS = ScoreParams()
-DIGITS = 6
+
+# Digits to which shown values are rounded. A score is a sum of 6-digit features times one-digit weights, so
+# eight digits hold it exactly and no engine has to break a half.
+DIGITS, SCORE_DIGITS, MEAN_SCORE_DIGITS = 6, 8, 10
 
 
 def rounded(df: DataFrame, *cols: str, digits: int = 6) -> DataFrame:
@@ -39,7 +42,7 @@ def features(spark: SparkSession, sf: str) -> DataFrame:
 
 def signals(spark: SparkSession, sf: str) -> DataFrame:
     """Scored signals. Rounding makes equal scores equal in every engine, so that ties break alike."""
-    return rounded(sc.score(features(spark, sf), PARAMS), "score", digits=DIGITS)
+    return rounded(sc.score(features(spark, sf), PARAMS), "score", digits=SCORE_DIGITS)
 
 
 def contribs(spark: SparkSession, sf: str) -> DataFrame:
@@ -49,7 +52,7 @@ def contribs(spark: SparkSession, sf: str) -> DataFrame:
 def signal_rows(df: DataFrame) -> DataFrame:
     """Signals as the queries show them."""
     cols = ["id", "ticker", "ts", "sentiment", "novelty", "velocity", "score", "event_tags"]
-    return joined_text(rounded(df, "sentiment", "novelty", "velocity", "score"), "event_tags").select(*cols)
+    return joined_text(df, "event_tags").select(*cols)
 
 
 def hourly_returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,5 +60,5 @@ def hourly_returns(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def daily_returns(spark: SparkSession, sf: str) -> DataFrame:
-    daily = rounded(bt.daily_scores(signals(spark, sf)), "score", digits=DIGITS)
+    daily = rounded(bt.daily_scores(signals(spark, sf)), "score", digits=MEAN_SCORE_DIGITS)
     return bt.signal_returns(daily, v.bars(spark, sf, "1d"), "1d", chunk_seconds=30 * 86400)

@@ -226,7 +226,7 @@ def signals_assembled(spark, sf):
     return out.select("id", "ticker", "ts", "sentiment", "novelty", "velocity", "event_tags")
 
 
-@query("scores", f"SELECT {_SIG_SQL}, round(score, 6) AS score FROM v_signal")
+@query("scores", f"SELECT {_SIG_SQL}, score FROM v_signal")
 def scores(spark, sf):
     return signal_rows(signals(spark, sf))
 
@@ -242,13 +242,13 @@ def top2_contributors(spark, sf):
 @query(
     "explain",
     """SELECT c.signal_id, c.article_id, CAST(c.rank AS BIGINT) AS rank, round(c.weight, 6) AS weight, s.ticker, s.ts,
-      round(s.score, 6) AS score, substr(a.text, 1, 120) AS excerpt, a.source, a.license, a.url
+      s.score, substr(a.text, 1, 120) AS excerpt, a.source, a.license, a.url
     FROM v_contrib c JOIN v_article a ON a.id = c.article_id JOIN v_signal s ON s.id = c.signal_id""",
 )
 def explain(spark, sf):
     articles = v.articles(spark, sf)
     out = sc.explain(signals(spark, sf), contribs(spark, sf), articles, 120)
-    return rounded(out, "weight", "score").select(
+    return rounded(out, "weight").select(
         "signal_id", "article_id", F.col("rank").cast("bigint").alias("rank"), "weight", "ticker", "ts", "score",
         "excerpt", "source", "license", "url",
     )
@@ -267,11 +267,11 @@ def forward_return(spark, sf):
 
 @query(
     "returns_asof",
-    """SELECT id, ticker, ts, round(score, 6) AS score, entry_ts, entry_close, round(forward_return, 6) AS forward_return
+    """SELECT id, ticker, ts, score, entry_ts, entry_close, round(forward_return, 6) AS forward_return
     FROM v_return""",
 )
 def returns_asof(spark, sf):
-    return rounded(hourly_returns(spark, sf), "score", "forward_return")
+    return rounded(hourly_returns(spark, sf), "forward_return")
 
 
 @query("leak_check", "SELECT count(*) AS look_ahead_rows FROM v_return WHERE entry_ts <= ts")
@@ -281,16 +281,16 @@ def leak_check(spark, sf):
 
 @query(
     "cross_rank",
-    """SELECT ticker, date, round(score, 6) AS score, round(score_rank, 6) AS score_rank,
+    """SELECT ticker, date, score, round(score_rank, 6) AS score_rank,
       CAST(floor((score_rank - 1) * 10 / names) + 1 AS BIGINT) AS score_rank_decile FROM (
       SELECT *, rank() OVER (PARTITION BY date ORDER BY score)
           + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0::DOUBLE AS score_rank,
         count(*) OVER (PARTITION BY date) AS names FROM v_daily)""",
 )
 def cross_rank(spark, sf):
-    daily = rounded(bt.daily_scores(signals(spark, sf)), "score", digits=6)
+    daily = rounded(bt.daily_scores(signals(spark, sf)), "score", digits=10)
     out = bt.cross_rank(daily, "date", "score", "score_rank")
-    return rounded(out, "score", "score_rank").select(
+    return rounded(out, "score_rank").select(
         "ticker", "date", "score", "score_rank", F.col("score_rank_decile").cast("bigint").alias("score_rank_decile")
     )
 

@@ -14,7 +14,7 @@ _ART = ["id", "source", "url", "published_at", "lang"]
 _ART_SQL = "id, source, url, published_at, lang"
 _SIG_SQL = (
     "id, ticker, ts, round(sentiment, 6) AS sentiment, round(novelty, 6) AS novelty, round(velocity, 6) AS velocity,"
-    " round(score, 6) AS score, event_tags"
+    " score, event_tags"
 )
 
 
@@ -264,14 +264,14 @@ def rising_fresh(spark, sf):
 
 @query(
     "universe_filter",
-    """SELECT id, ticker, ts, round(score, 6) AS score FROM v_signal WHERE ticker IN
+    """SELECT id, ticker, ts, score FROM v_signal WHERE ticker IN
     (SELECT symbol FROM v_ticker WHERE exchange IN ('NATION_1', 'NATION_2', 'NATION_3'))""",
 )
 def universe_filter(spark, sf):
     """Signals of the tickers listed on three exchanges."""
     listed = v.tickers(spark, sf).filter(F.col("exchange").isin("NATION_1", "NATION_2", "NATION_3"))
     found = lk.restrict_universe(signals(spark, sf), listed.select(F.col("symbol").alias("ticker")))
-    return rounded(found, "score").select("id", "ticker", "ts", "score")
+    return found.select("id", "ticker", "ts", "score")
 
 
 @query("active_tickers", "SELECT symbol, valid_from, valid_to FROM v_ticker WHERE valid_to IS NULL")
@@ -419,8 +419,8 @@ def bar_rollup(spark, sf):
 
 @query(
     "score_heatmap",
-    """SELECT ticker, date_trunc('day', ts)::TIMESTAMP AS bucket, round(avg(score), 6) AS avg_score, count(score) AS points
+    """SELECT ticker, date_trunc('day', ts)::TIMESTAMP AS bucket, round(avg(score), 10) AS avg_score, count(score) AS points
     FROM v_signal GROUP BY 1, 2""",
 )
 def score_heatmap(spark, sf):
-    return rounded(st.heatmap(signals(spark, sf), "ticker", F.date_trunc("day", "ts")), "avg_score")
+    return rounded(st.heatmap(signals(spark, sf), "ticker", F.date_trunc("day", "ts")), "avg_score", digits=10)
