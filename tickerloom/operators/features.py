@@ -117,16 +117,18 @@ def mean_sentiment(scored: DataFrame, keys: list[str], value: str = "sentiment",
 
 def hashed_embeddings(articles: DataFrame, dims: int, lead: int, model: str = "hashed-words") -> DataFrame:
     """Unit vector of hashed word counts of title and lead: a stand-in without a model file."""
-    body = words(title_and_lead(F.col("title"), F.col("text"), lead))
+    body = title_and_lead(F.col("title"), F.col("text"), lead)
     slots = F.transform(
-        body, lambda w: F.pmod(F.conv(F.substring(F.sha1(w), 1, 15), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
+        words(body), lambda w: F.pmod(F.conv(F.substring(F.sha1(w), 1, 15), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
     )
+    staged = articles.filter(body.rlike(r"[\p{L}\p{Nd}]")).select(F.col("id").alias("article_id"), slots.alias("_slots"))
+    # Naming the column twice keeps Spark from hashing all words again for every dimension.
     counts = F.transform(
         F.sequence(F.lit(0), F.lit(dims - 1)),
         lambda i: F.size(F.filter(F.col("_slots"), lambda s: s == i)).cast("double"),
     )
-    staged = articles.select(F.col("id").alias("article_id"), slots.alias("_slots")).filter(F.size("_slots") > 0)
-    return staged.withColumn("_counts", counts).select(
+    counted = staged.withColumn("_counts", F.when(F.size("_slots") > 0, counts))
+    return counted.select(
         "article_id", unit(F.col("_counts")).alias("embedding"), F.lit(model).alias("model"), F.lit(dims).alias("dims")
     )
 

@@ -12,7 +12,8 @@ from pyspark.sql import types as T
 from tickerloom.params import LINK_CONFIDENCE
 
 _CASHTAG = r"\$([A-Z.\-]{1,10})"
-_EDGE = r"^[^\p{L}\p{Nd}$#]+|[^\p{L}\p{Nd}#]+$"
+# A word: no white space inside, a letter, digit, $ or # in front, a letter, digit or # at the end.
+_WORD = r"[\p{L}\p{Nd}$#]\S*[\p{L}\p{Nd}#]|[\p{L}\p{Nd}#]"
 
 
 def alias_terms(tickers: DataFrame) -> DataFrame:
@@ -28,9 +29,7 @@ def alias_terms(tickers: DataFrame) -> DataFrame:
 
 def _phrases(text: Column, max_words: int) -> Column:
     """Distinct runs of one to ``max_words`` words of the whole text."""
-    tokens = F.filter(
-        F.transform(F.split(text, r"\s+"), lambda t: F.regexp_replace(t, _EDGE, "")), lambda t: t != ""
-    )
+    tokens = F.regexp_extract_all(text, F.lit(_WORD), 0)
 
     def runs(n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))

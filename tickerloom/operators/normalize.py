@@ -39,9 +39,11 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
     )
 
 
-def guess_language(text: Column) -> Column:
-    """The language whose function words make up most of the text; null when none occurs."""
-    tokens = tx.words(text)
+def guess_language(tokens: Column) -> Column:
+    """The language whose function words are most frequent among the words; null when none occurs.
+
+    Pass a stored column of words, as every language reads it.
+    """
 
     def hits(listed: list[str]) -> Column:
         return F.size(F.filter(tokens, lambda w: w.isin(listed)))
@@ -54,10 +56,12 @@ def guess_language(text: Column) -> Column:
 
 def keep_languages(df: DataFrame, langs: list[str], guess: bool = True) -> DataFrame:
     """Keep listed languages; text is examined only where the item states no language."""
-    lang = F.when(F.col("lang").isNotNull(), F.col("lang"))
-    if guess:
-        lang = lang.otherwise(guess_language(F.col("text")))
-    return df.withColumn("lang", lang).filter(F.col("lang").isin(langs))
+    if not guess:
+        return df.filter(F.col("lang").isin(langs))
+    stated = F.col("lang").isNotNull()
+    split = df.withColumn("_words", F.when(~stated, tx.words(F.col("text"))))
+    lang = F.when(stated, F.col("lang")).otherwise(guess_language(F.col("_words")))
+    return split.withColumn("lang", lang).drop("_words").filter(F.col("lang").isin(langs))
 
 
 def boilerplate_lines(docs: DataFrame, min_share: float, min_docs: int = 2) -> DataFrame:

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans, KMeansModel
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
@@ -75,7 +76,11 @@ def similar_topk(
 def fit_cells(embeds: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10) -> KMeansModel:
     """Cluster unit vectors into the cells of an inverted-file index."""
     features = embeds.select(array_to_vector(unit(F.col("embedding"))).alias("features")).filter("features is not null")
-    return KMeans(k=lists, seed=seed, maxIter=max_iter).fit(features)
+    features = features.persist(StorageLevel.DISK_ONLY)  # read once per iteration
+    try:
+        return KMeans(k=lists, seed=seed, maxIter=max_iter).fit(features)
+    finally:
+        features.unpersist()
 
 
 def assign_cells(embeds: DataFrame, model: KMeansModel, probes: int = 1) -> DataFrame:

@@ -3,12 +3,9 @@
 from __future__ import annotations
 
 _LETTERS = "translate(CAST({} AS VARCHAR), '0123456789', 'ABCDEFGHIJ')"
-_CLEAN = (
-    "nullif(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace({}, '&lt;', '<'),"
-    " '&gt;', '>'), '&quot;', '\"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), '<[^>]+>', '', 'g'),"
-    r" '[\s\x0b\x1c-\x1f\x{{85}}\x{{a0}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+',"
-    " ' ', 'g')), '')"
-)
+# Entities that the pages hold; like a browser, the decoder accepts them without the semicolon too.
+_ENTITIES = {"lt": "<", "gt": ">", "quot": '"', "copy": "©", "middot": "·", "amp": "&"}
+_SPACES = r"[\s\x0b\x1c-\x1f\x{85}\x{a0}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 
 
 def letters(col: str) -> str:
@@ -16,7 +13,9 @@ def letters(col: str) -> str:
 
 
 def clean(col: str) -> str:
-    return _CLEAN.format(col)
+    for name, char in _ENTITIES.items():
+        col = f"regexp_replace({col}, '&{name};?', '{char}', 'g')"
+    return f"nullif(trim(regexp_replace(regexp_replace({col}, '<[^>]+>', '', 'g'), '{_SPACES}', ' ', 'g')), '')"
 
 
 def stable_id(text: str) -> str:

@@ -30,7 +30,7 @@ _THRESHOLD = 0.3
 
 @query(
     "velocity_top",
-    """SELECT ticker, hour, mentions, baseline_hours, round(mean, 6) AS mean, round(std, 6) AS std,
+    """SELECT ticker, hour, mentions, baseline_hours, round(mean, 10) AS mean, round(std, 6) AS std,
       round(velocity, 6) AS velocity
     FROM (SELECT * FROM v_velocity WHERE velocity >= 2.0
           QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY round(velocity, 6) DESC, hour DESC) = 1)
@@ -38,7 +38,8 @@ _THRESHOLD = 0.3
 )
 def velocity_top(spark, sf):
     ranked = rounded(velocities(spark, sf), "velocity", digits=6)
-    return rounded(ft.top_rising(ranked, PARAMS.rising_velocity_z, 20), "mean", "std", "velocity")
+    top = rounded(ft.top_rising(ranked, PARAMS.rising_velocity_z, 20), "std", "velocity")
+    return rounded(top, "mean", digits=10)
 
 
 @query("mention_counts_hourly", "SELECT ticker, hour, mentions FROM v_hourcount")
@@ -48,12 +49,12 @@ def mention_counts_hourly(spark, sf):
 
 @query(
     "rolling_baseline",
-    """SELECT ticker, hour, mentions, baseline_hours, round(mean, 6) AS mean, round(std, 6) AS std FROM v_base
+    """SELECT ticker, hour, mentions, baseline_hours, round(mean, 10) AS mean, round(std, 6) AS std FROM v_base
     WHERE mentions IS NOT NULL""",
 )
 def rolling_baseline(spark, sf):
     base = ft.rolling_baseline(ft.mention_counts(v.mentions(spark, sf)), PARAMS.velocity_days)
-    return rounded(base, "mean", "std")
+    return rounded(rounded(base, "std"), "mean", digits=10)
 
 
 @query("velocity", "SELECT ticker, hour, mentions, round(velocity, 6) AS velocity FROM v_velocity")

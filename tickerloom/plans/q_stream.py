@@ -34,11 +34,12 @@ def stream_mentions(spark, sf):
     "stream_sliding",
     """SELECT ticker, start, start + INTERVAL 24 HOUR AS "end", CAST(sum(mentions) AS BIGINT) AS mentions FROM
       (SELECT ticker, mentions, unnest(generate_series(hour - INTERVAL 23 HOUR, hour, INTERVAL 1 HOUR)) AS start FROM v_hourcount)
-    GROUP BY ticker, start""",
+    WHERE start + INTERVAL 24 HOUR <= (SELECT max(ts) - INTERVAL 1 HOUR FROM v_mention) GROUP BY ticker, start""",
 )
 def stream_sliding(spark, sf):
+    """Windows that the watermark has closed when the run ends."""
     root = work_dir(spark, "stream-sliding")
-    log = jobs.run_to_log(jobs.sliding_mentions(_mention_stream(spark, sf)), root, "update")
+    log = jobs.run_to_log(jobs.sliding_mentions(_mention_stream(spark, sf)), root, "append")
     return jobs.read_log(spark, log, ["ticker", "start", "end"])
 
 

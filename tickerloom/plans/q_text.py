@@ -160,7 +160,8 @@ def _guess_sql() -> str:
 @query("lang_guess", _guess_sql())
 def lang_guess(spark, sf):
     """The language guess for every document, as if none were stated."""
-    return v.table(spark, sf, "documents").select("doc_id", nm.guess_language(F.col("text")).alias("guessed"))
+    split = v.table(spark, sf, "documents").select("doc_id", tx.words(F.col("text")).alias("words"))
+    return split.select("doc_id", nm.guess_language(F.col("words")).alias("guessed"))
 
 
 # Validation

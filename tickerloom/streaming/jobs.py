@@ -95,10 +95,11 @@ def hourly_mentions(stream: DataFrame, delay: str = "1 hour") -> DataFrame:
 
 
 def sliding_mentions(stream: DataFrame, length: str = "24 hours", step: str = "1 hour", delay: str = "1 hour") -> DataFrame:
-    counted = stream.withWatermark("ts", delay).groupBy(F.window("ts", length, step), "ticker").agg(
-        F.count("*").alias("mentions")
-    )
-    return counted.select("ticker", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "mentions")
+    """Sliding counts of closed windows. Mentions are counted per step first, so each count, not each
+    mention, is spread over the windows it belongs to."""
+    steps = stream.withWatermark("ts", delay).groupBy(F.window("ts", step), "ticker").agg(F.count("*").alias("n"))
+    slid = steps.groupBy(F.window(F.window_time("window"), length, step), "ticker").agg(F.sum("n").alias("mentions"))
+    return slid.select("ticker", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "mentions")
 
 
 VELOCITY_SCHEMA = T.StructType(
