@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from tickerloom.params import TICKER_PATTERN
 
 
+def word_hash(word: Column) -> Column:
+    return F.conv(F.substring(F.sha1(word), 1, 15), 16, 10).cast("bigint")
+
+
 def stable_id(*cols: Column) -> Column:
     """A positive 60-bit id from the key columns: the same key gets the same id on every run."""
-    digest = F.sha1(F.concat_ws("|", *cols))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+    return word_hash(F.concat_ws("|", *cols))
 
 
 def letters(col: Column) -> Column:

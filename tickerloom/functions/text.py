@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.functions.binding import let
 from tickerloom.params import UTM_PARAMS
 
 _SCHEME = r"^[A-Za-z][A-Za-z0-9+.\-]*:"
@@ -36,10 +37,11 @@ def canonical_url(url: Column) -> Column:
             _decode_query(F.regexp_replace(p, "^[^=]*=", "")).alias("v"),
         ),
     )
-    kept = F.filter(
-        fields,
-        lambda f, i: (F.array_position(fields["k"], f["k"]) == i + 1) & ~f["k"].isin(UTM_PARAMS),
-    )
+
+    def first_of_each(fs: Column) -> Column:
+        return F.filter(fs, lambda f, i: (F.array_position(fs["k"], f["k"]) == i + 1) & ~f["k"].isin(UTM_PARAMS))
+
+    kept = let(fields, first_of_each)
     text = F.array_join(F.transform(kept, lambda f: F.concat(f["k"], F.lit("="), f["v"])), "&")
     return F.when(text == "", base).otherwise(F.concat(base, F.lit("?"), text))
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tickerloom.functions.binding import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -23,5 +25,5 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def unit(a: Column) -> Column:
-    size = norm(a)
-    return F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size))
+    """The vector at length 1; null when it has none."""
+    return let(norm(a), lambda size: F.when(size > 0, F.transform(a, lambda x: x.cast("double") / size)))

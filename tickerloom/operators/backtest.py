@@ -22,30 +22,32 @@ def next_bar(
 ) -> DataFrame:
     """As-of join, forward and strict: each event gets the ticker's first bar after its own time.
 
-    Time is cut into chunks and each (ticker, chunk) is worked off by itself, so a busy ticker spreads over
-    many tasks. Inside a chunk, events and bars are read from late to early and an event takes the last bar
-    seen. Where its chunk has no later bar, the answer is the first bar of the next chunk that has one; that
-    is looked up in a frame with one row per ticker and chunk.
+    Time is cut into chunks. A (ticker, chunk) becomes one row with its bars in order, of which there are no
+    more than time slots, and the first bar of the next chunk that has one. Events join that row by equality
+    and pick their bar from it. So the events are never sorted or gathered per ticker, and Spark can split the
+    rows of a busy ticker over many tasks.
 
     Adds ``entry_ts`` and the ``carry`` columns of the bar.
     """
+
+    def chunk(col: str) -> Column:
+        return F.floor(F.unix_seconds(col) / chunk_seconds).alias("_chunk")
+
     bar = F.struct(F.col("ts").alias("entry_ts"), *carry)
-    e = events.withColumn("_at", F.col(ts)).withColumn("_event", F.struct(*events.columns))
-    left = e.select("ticker", "_at", F.lit(0).alias("_kind"), "_event")
-    right = bars.select("ticker", F.col("ts").alias("_at"), F.lit(1).alias("_kind"), bar.alias("_bar"))
-    chunk = F.floor(F.unix_seconds("_at") / chunk_seconds)
-    both = left.unionByName(right, allowMissingColumns=True).withColumn("_chunk", chunk)
-
-    late_to_early = W.partitionBy("ticker", "_chunk").orderBy(F.desc("_at"), F.asc("_kind"))
-    seen = F.last("_bar", ignorenulls=True).over(late_to_early.rowsBetween(W.unboundedPreceding, -1))
-    inside = both.withColumn("_inside", seen).filter("_kind = 0").drop("_bar", "_at")
-
-    per_chunk = both.groupBy("ticker", "_chunk").agg(F.min_by("_bar", F.when(F.col("_kind") == 1, F.col("_at"))).alias("_b"))
-    later_chunks = W.partitionBy("ticker").orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
-    nexts = per_chunk.select("ticker", "_chunk", F.last("_b", ignorenulls=True).over(later_chunks).alias("_next"))
-
-    found = inside.join(nexts, ["ticker", "_chunk"], "left").withColumn("_hit", F.coalesce("_inside", "_next"))
-    return found.select("_event.*", "_hit.entry_ts", *[F.col(f"_hit.{c}").alias(c) for c in carry])
+    held = bars.groupBy("ticker", chunk("ts")).agg(F.sort_array(F.collect_list(bar)).alias("_bars"))
+    asked = events.select("ticker", chunk(ts)).distinct()
+    first = F.when(F.size("_bars") > 0, F.col("_bars")[0])
+    later = W.partitionBy("ticker").orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
+    chunks = asked.join(held, ["ticker", "_chunk"], "full").withColumn("_next", F.last(first, ignorenulls=True).over(later))
+
+    after = F.filter("_bars", lambda x: x["entry_ts"] > F.col(ts))
+    hit = F.coalesce(F.get(after, 0), F.col("_next"))
+    return (
+        events.withColumn("_chunk", chunk(ts))
+        .join(chunks, ["ticker", "_chunk"], "left")
+        .withColumn("_hit", hit)
+        .select(*events.columns, "_hit.entry_ts", *[F.col(f"_hit.{c}").alias(c) for c in carry])
+    )
 
 
 def signal_returns(

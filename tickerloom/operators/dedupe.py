@@ -8,7 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickerloom.functions.binding import let
+from tickerloom.functions.keys import word_hash
 from tickerloom.functions.text import words
+from tickerloom.session import stored
 
 _BITS, _BLOCK, _DISTANCE = 60, 10, 3
 _BLOCKS = range(_BITS // _BLOCK)
@@ -34,20 +37,18 @@ def dedupe_exact(articles: DataFrame, tie: str = "id") -> DataFrame:
     return keep_first(by_url.withColumn("_key", own_key), ["_key"], order).drop("_key")
 
 
-def word_hashes(title: Column) -> Column:
-    return F.transform(words(title), lambda w: F.conv(F.substring(F.sha1(w), 1, 15), 16, 10).cast("bigint"))
+def simhash(title: Column) -> Column:
+    """60-bit SimHash of the words of a title: a bit is set where most word hashes have it. Never null."""
 
+    def of_hashes(hashes: Column) -> Column:
+        def add_bit(acc: Column, bit: Column) -> Column:
+            ones = F.size(F.filter(hashes, lambda h: F.getbit(h, bit) == 1))
+            weight = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
+            return F.when(ones * 2 > F.size(hashes), acc.bitwiseOR(weight)).otherwise(acc)
 
-def simhash(hashes: Column) -> Column:
-    """60-bit SimHash of word hashes, never null. Pass a stored column, as every bit reads it."""
+        return F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("bigint"), add_bit)
 
-    def add_bit(acc: Column, bit: Column) -> Column:
-        ones = F.size(F.filter(hashes, lambda h: F.getbit(h, bit) == 1))
-        weight = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-        return F.when(ones * 2 > F.size(hashes), acc.bitwiseOR(weight)).otherwise(acc)
-
-    bits = F.sequence(F.lit(0), F.lit(_BITS - 1))
-    return F.coalesce(F.aggregate(bits, F.lit(0).cast("bigint"), add_bit), F.lit(0).cast("bigint"))
+    return F.coalesce(let(F.transform(words(title), word_hash), of_hashes), F.lit(0).cast("bigint"))
 
 
 def _pack(sig: Column, blocks: tuple[int, ...]) -> Column:
@@ -63,10 +64,10 @@ def _flips(max_bits: int) -> Column:
     """Masks that flip at most ``max_bits`` of the 30 bits a block key leaves free."""
     free = range(_BITS // 2)
     masks = [sum(1 << b for b in c) for n in range(max_bits + 1) for c in combinations(free, n)]
-    return F.array(*[F.lit(m).cast("bigint") for m in masks])
+    return F.expr(f"array({', '.join(f'{m}L' for m in masks)})")
 
 
-def near_first(sigs: DataFrame, hot_rows: int = 1000) -> DataFrame:
+def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
     """For each distinct signature the earliest ``first`` among signatures within three bits of it.
 
     Two signatures at most three bits apart agree on at least three of their six 10-bit blocks, so they
@@ -115,27 +116,22 @@ def near_first(sigs: DataFrame, hot_rows: int = 1000) -> DataFrame:
     return found.union(own).groupBy("sig").agg(F.min("other_first").alias("first"))
 
 
-def dedupe_simhash(articles: DataFrame, id_col: str = "id", hot_rows: int = 1000) -> DataFrame:
+def dedupe_simhash(articles: DataFrame, id_col: str = "id", hot_rows: int = 256) -> DataFrame:
     """Add ``simhash`` and ``dup_of``, the id of the earliest near copy (null for the earliest itself).
 
     Copies of one title share a signature and collapse before any comparison.
     """
     worded = F.coalesce(F.col("title").rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
 
-    def signed(df: DataFrame) -> DataFrame:
-        hashed = df.withColumn("_words", word_hashes(F.col("title")))
-        return hashed.withColumn("simhash", simhash(F.col("_words"))).drop("_words")
-
-    # The filter asks for a word, not for a signature: Spark would push the latter below its own inputs.
+    # The filter asks for a word and not for a signature, which Spark would compute for the filter alone.
     sigs = (
-        signed(articles.filter(worded))
-        .groupBy(F.col("simhash").alias("sig"))
+        articles.filter(worded)
+        .groupBy(simhash(F.col("title")).alias("sig"))
         .agg(F.min(F.struct("published_at", id_col)).alias("first"))
     )
-    first = near_first(sigs, hot_rows).select(F.col("sig").alias("simhash"), F.col(f"first.{id_col}").alias("_first"))
+    first = near_first(stored(sigs, "simhash"), hot_rows).select(F.col("sig").alias("simhash"), F.col(f"first.{id_col}").alias("_first"))
     return (
-        signed(articles)
-        .withColumn("simhash", F.when(worded, F.col("simhash")))
+        articles.withColumn("simhash", F.when(worded, simhash(F.col("title"))))
         .join(first, "simhash", "left")
         .withColumn("dup_of", F.when(F.col("_first") != F.col(id_col), F.col("_first")))
         .drop("_first")

@@ -10,7 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tickerloom.functions.binding import let
 from tickerloom.functions.blocks import block_join
+from tickerloom.functions.keys import word_hash
 from tickerloom.functions.text import title_and_lead, words
 from tickerloom.functions.vectors import norm, unit
 from tickerloom.params import FORM_TAGS, NEGATIVE_WORDS, POSITIVE_WORDS, TAG_RULES
@@ -118,18 +120,19 @@ def mean_sentiment(scored: DataFrame, keys: list[str], value: str = "sentiment",
 def hashed_embeddings(articles: DataFrame, dims: int, lead: int, model: str = "hashed-words") -> DataFrame:
     """Unit vector of hashed word counts of title and lead: a stand-in without a model file."""
     body = title_and_lead(F.col("title"), F.col("text"), lead)
-    slots = F.transform(
-        words(body), lambda w: F.pmod(F.conv(F.substring(F.sha1(w), 1, 15), 16, 10).cast("bigint"), F.lit(dims)).cast("int")
-    )
-    staged = articles.filter(body.rlike(r"[\p{L}\p{Nd}]")).select(F.col("id").alias("article_id"), slots.alias("_slots"))
-    # Naming the column twice keeps Spark from hashing all words again for every dimension.
-    counts = F.transform(
-        F.sequence(F.lit(0), F.lit(dims - 1)),
-        lambda i: F.size(F.filter(F.col("_slots"), lambda s: s == i)).cast("double"),
-    )
-    counted = staged.withColumn("_counts", F.when(F.size("_slots") > 0, counts))
-    return counted.select(
-        "article_id", unit(F.col("_counts")).alias("embedding"), F.lit(model).alias("model"), F.lit(dims).alias("dims")
+    slots = F.transform(words(body), lambda w: F.pmod(word_hash(w), F.lit(dims)).cast("int"))
+
+    def counts(ss: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(ss, lambda s: s == i)).cast("double")
+        )
+
+    worded = articles.filter(body.rlike(r"[\p{L}\p{Nd}]"))
+    return worded.select(
+        F.col("id").alias("article_id"),
+        let(let(slots, counts), unit).alias("embedding"),
+        F.lit(model).alias("model"),
+        F.lit(dims).alias("dims"),
     )
 
 
@@ -198,14 +201,14 @@ def top_rising(velocities: DataFrame, rising_z: float, k: int) -> DataFrame:
 
 # Novelty
 
-def _nearest_kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """Largest cosine similarity of each left vector to the right vectors inside its look-back."""
+def _nearest_kernel(left: pd.DataFrame, right: pd.DataFrame, same_key: np.ndarray) -> pd.DataFrame:
+    """Largest cosine similarity of each left vector to the right vectors of its ticker inside its look-back."""
     if left.empty or right.empty:
         return pd.DataFrame({"head": pd.Series(dtype="object"), "sim": pd.Series(dtype="float64")})
     sims = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-    same = (left["slot"].to_numpy()[:, None] == left["own_slot"].to_numpy()[:, None])
-    inside = np.where(
-        same,
+    own_slot = (left["slot"].to_numpy() == left["own_slot"].to_numpy())[:, None]
+    inside = same_key & np.where(
+        own_slot,
         right["first_us"].to_numpy()[None, :] < left["first_us"].to_numpy()[:, None],
         right["last_us"].to_numpy()[None, :] >= left["since_us"].to_numpy()[:, None],
     )

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.functions.binding import let
 from tickerloom.params import LINK_CONFIDENCE
 
 _CASHTAG = r"\$([A-Z.\-]{1,10})"
@@ -29,15 +30,17 @@ def alias_terms(tickers: DataFrame) -> DataFrame:
 
 def _phrases(text: Column, max_words: int) -> Column:
     """Distinct runs of one to ``max_words`` words of the whole text."""
-    tokens = F.regexp_extract_all(text, F.lit(_WORD), 0)
 
-    def runs(n: int) -> Column:
-        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-        return F.coalesce(
-            F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>")
-        )
+    def all_runs(tokens: Column) -> Column:
+        def runs(n: int) -> Column:
+            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
+            return F.coalesce(
+                F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>")
+            )
+
+        return F.array_distinct(F.concat(tokens, *[runs(n) for n in range(2, max_words + 1)]))
 
-    return F.array_distinct(F.concat(tokens, *[runs(n) for n in range(2, max_words + 1)]))
+    return let(F.regexp_extract_all(text, F.lit(_WORD), 0), all_runs)
 
 
 def _links(found: DataFrame) -> DataFrame:

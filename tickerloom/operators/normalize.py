@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions import text as tx
+from tickerloom.functions.binding import let
 from tickerloom.functions.fields import credibility
 from tickerloom.functions.keys import stable_id
 from tickerloom.params import STOP_WORDS
@@ -39,19 +40,21 @@ def normalize_articles(raw: DataFrame) -> DataFrame:
     )
 
 
-def guess_language(tokens: Column) -> Column:
-    """The language whose function words are most frequent among the words; null when none occurs.
+def guess_language(text: Column) -> Column:
+    """The language whose function words are most frequent in the text; null when none occurs."""
 
-    Pass a stored column of words, as every language reads it.
-    """
+    def best(tokens: Column) -> Column:
+        hits = [
+            F.struct(_count_in(tokens, ws).alias("hits"), F.lit(lang).alias("lang")) for lang, ws in sorted(STOP_WORDS.items())
+        ]
+        return F.greatest(*hits)
 
-    def hits(listed: list[str]) -> Column:
-        return F.size(F.filter(tokens, lambda w: w.isin(listed)))
+    winner = let(tx.words(text), best)
+    return F.when(winner["hits"] > 0, winner["lang"])
 
-    best = F.greatest(
-        *[F.struct(hits(ws).alias("hits"), F.lit(lang).alias("lang")) for lang, ws in sorted(STOP_WORDS.items())]
-    )
-    return F.when(best["hits"] > 0, best["lang"])
+
+def _count_in(tokens: Column, listed: list[str]) -> Column:
+    return F.size(F.filter(tokens, lambda w: w.isin(listed)))
 
 
 def keep_languages(df: DataFrame, langs: list[str], guess: bool = True) -> DataFrame:
@@ -59,9 +62,8 @@ def keep_languages(df: DataFrame, langs: list[str], guess: bool = True) -> DataF
     if not guess:
         return df.filter(F.col("lang").isin(langs))
     stated = F.col("lang").isNotNull()
-    split = df.withColumn("_words", F.when(~stated, tx.words(F.col("text"))))
-    lang = F.when(stated, F.col("lang")).otherwise(guess_language(F.col("_words")))
-    return split.withColumn("lang", lang).drop("_words").filter(F.col("lang").isin(langs))
+    lang = F.when(stated, F.col("lang")).otherwise(guess_language(F.col("text")))
+    return df.withColumn("lang", lang).filter(F.col("lang").isin(langs))
 
 
 def boilerplate_lines(docs: DataFrame, min_share: float, min_docs: int = 2) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -12,6 +12,7 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerloom.functions.blocks import block_join
 from tickerloom.functions.vectors import cosine, unit
@@ -33,17 +34,18 @@ def similar_to_article(embeds: DataFrame, article_id: int, limit: int = 10, thre
 
 
 def _topk_kernel(k: int, threshold: float):
-    def kernel(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    def kernel(left: pd.DataFrame, right: pd.DataFrame, same_key: np.ndarray) -> pd.DataFrame:
         out: dict[str, list] = {"query_id": [], "article_id": [], "similarity": []}
         if len(left) and len(right):
             sims = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
             ids = right["article_id"].to_numpy()
-            for query, row in zip(left["query_id"].to_numpy(), sims, strict=True):
-                hits = np.flatnonzero((row > threshold) & (ids != query))
-                best = hits[np.lexsort((ids[hits], -row[hits]))][:k]
+            hit = same_key & (sims > threshold) & (ids[None, :] != left["query_id"].to_numpy()[:, None])
+            for i, query in enumerate(left["query_id"].to_numpy()):
+                hits = np.flatnonzero(hit[i])
+                best = hits[np.lexsort((ids[hits], -sims[i, hits]))][:k]
                 out["query_id"].extend([query] * len(best))
                 out["article_id"].extend(ids[best])
-                out["similarity"].extend(row[best])
+                out["similarity"].extend(sims[i, best])
         return pd.DataFrame(out).astype({"query_id": "int64", "article_id": "int64", "similarity": "float64"})
 
     return kernel
@@ -86,15 +88,18 @@ def fit_cells(embeds: DataFrame, lists: int = 100, seed: int = 7, max_iter: int
 def assign_cells(embeds: DataFrame, model: KMeansModel, probes: int = 1) -> DataFrame:
     """Add ``cells``: the ``probes`` nearest cells of each vector, nearest first."""
     centers = np.stack(model.clusterCenters())
+    squares = (centers**2).sum(axis=1)[None, :]
 
-    @F.pandas_udf("array<int>")
-    def nearest(vecs: pd.Series) -> pd.Series:
-        m = np.stack(vecs.to_numpy())
-        dist = (centers**2).sum(axis=1)[None, :] - 2 * m @ centers.T
-        return pd.Series(list(np.argsort(dist, axis=1, kind="stable")[:, :probes].astype("int32")))
+    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            if len(batch):
+                dist = squares - 2 * np.stack(batch["vec"].to_numpy()) @ centers.T
+                order = np.argsort(dist, axis=1, kind="stable")[:, :probes].astype("int32")
+                yield batch.assign(cells=list(order))
 
     vecs = embeds.withColumn("vec", unit(F.col("embedding"))).filter("vec is not null")
-    return vecs.withColumn("cells", nearest("vec"))
+    cells = T.StructField("cells", T.ArrayType(T.IntegerType()))
+    return vecs.mapInPandas(nearest, T.StructType([*vecs.schema.fields, cells]))
 
 
 def ann_topk(

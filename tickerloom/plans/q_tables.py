@@ -68,16 +68,15 @@ def corrupt_json(spark, sf):
 
 @query(
     "filings",
-    """SELECT source_id, CASE doc_id % 4 WHEN 0 THEN '8-K' WHEN 1 THEN '10-Q' WHEN 2 THEN '10-K' END AS form FROM v_rawdoc
-    WHERE doc_id % 4 < 3""",
+    """SELECT source_id, form FROM (SELECT source_id, CASE lang WHEN 'en' THEN '8-K' WHEN 'fr' THEN '10-Q'
+      WHEN 'de' THEN '10-K' ELSE 'S-1' END AS form FROM v_rawdoc) WHERE form IN ('8-K', '10-Q', '10-K')""",
 )
 def filings(spark, sf):
-    """Documents as filings of four forms, of which three are listed."""
-    forms = F.element_at(
-        F.array(*[F.lit(x) for x in ("8-K", "10-Q", "10-K", "S-1")]), (F.pmod("doc_id", F.lit(4)) + 1).cast("int")
-    )
-    docs = v.raw_documents(spark, sf)
-    path = land(spark, landed_items(docs, F.lit("form"), forms), "filings")
+    """Documents as filings, the form by language; one of the four forms is not listed."""
+    form = F.lit("S-1")
+    for lang, name in (("en", "8-K"), ("fr", "10-Q"), ("de", "10-K")):
+        form = F.when(F.col("lang") == lang, F.lit(name)).otherwise(form)
+    path = land(spark, landed_items(v.raw_documents(spark, sf), F.lit("form"), form), "filings")
     listed = rd.map_filings(rd.read_raw_json(spark, path))
     return listed.select("source_id", F.col("meta")["form"].alias("form"))
 
