@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,3 +26,13 @@ def letters(col: Column) -> Column:
 
 def ticker_ok(col: Column) -> Column:
     return F.coalesce(col.rlike(TICKER_PATTERN), F.lit(False))
+
+
+def time_then_id(ts: Column, row_id: Column) -> Column:
+    """Time and a non-negative id as one number that orders like the pair.
+
+    A number lets Spark keep first and last values in a hash aggregation; ordering by a struct would make it
+    sort the rows first.
+    """
+    micros = F.unix_micros(ts).cast("decimal(18,0)")
+    return micros * F.lit(Decimal(10**19)) + row_id.cast("decimal(19,0)")

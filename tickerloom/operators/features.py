@@ -166,14 +166,16 @@ def rolling_baseline(counts: DataFrame, days: int = 30) -> DataFrame:
     only, so the series is never filled in: with n hours, the sum and the sum of squares of the few non-zero
     ones give both moments. A ticker has one row per hour here, so a window never grows with the mentions.
     """
-    t = F.unix_seconds("hour")
-    back = W.partitionBy("ticker").orderBy("_t").rangeBetween(-days * DAY, -1)
-    first = F.min("_t").over(W.partitionBy("ticker"))
-    framed = (
-        counts.withColumn("_t", t)
-        .withColumn("_n", F.least(((F.col("_t") - first) / HOUR).cast("bigint"), F.lit(days * 24).cast("bigint")))
-        .withColumn("_s", F.coalesce(F.sum("mentions").over(back), F.lit(0)))
-        .withColumn("_q", F.coalesce(F.sum(F.col("mentions") * F.col("mentions")).over(back), F.lit(0)))
+    by_time = W.partitionBy("ticker").orderBy("_t")
+    back = by_time.rangeBetween(-days * DAY, -1)
+    first = F.min("_t").over(by_time.rowsBetween(W.unboundedPreceding, 0))
+    hours = ((F.col("_t") - first) / HOUR).cast("bigint")
+    framed = counts.withColumn("_t", F.unix_seconds("hour")).withColumns(
+        {
+            "_n": F.least(hours, F.lit(days * 24).cast("bigint")),
+            "_s": F.coalesce(F.sum("mentions").over(back), F.lit(0)),
+            "_q": F.coalesce(F.sum(F.col("mentions") * F.col("mentions")).over(back), F.lit(0)),
+        }
     )
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
     mean = F.when(n > 0, s / n)

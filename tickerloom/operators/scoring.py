@@ -72,14 +72,12 @@ def contributors(mentions: DataFrame, params: ScoreParams) -> DataFrame:
     the whole signal. Spark keeps the best few per map task before it shuffles, so hot hours stay cheap.
     """
     strength = F.abs(F.coalesce("sentiment", F.lit(0.0))) * F.coalesce("confidence", F.lit(1.0))
-    rows = mentions.withColumn("hour", F.date_trunc("hour", "ts")).select(
-        signal_id().alias("signal_id"), "article_id", strength.alias("strength")
-    )
-    totals = rows.groupBy("signal_id").agg(F.sum("strength").alias("total"))
-    w = W.partitionBy("signal_id").orderBy(F.desc("strength"), F.asc("article_id"))
+    rows = mentions.select("ticker", F.date_trunc("hour", "ts").alias("hour"), "article_id", strength.alias("strength"))
+    totals = rows.groupBy("ticker", "hour").agg(F.sum("strength").alias("total"))
+    w = W.partitionBy("ticker", "hour").orderBy(F.desc("strength"), F.asc("article_id"))
     best = rows.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= params.contributors)
-    return best.join(totals, "signal_id").select(
-        "signal_id",
+    return best.join(totals, ["ticker", "hour"]).select(
+        signal_id().alias("signal_id"),
         "article_id",
         "rank",
         F.when(F.col("total") > 0, F.col("strength") / F.col("total")).otherwise(F.lit(0.0)).alias("weight"),

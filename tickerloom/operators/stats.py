@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.fields import change_pct
+from tickerloom.functions.keys import time_then_id
 
 
 def row_counts(tables: dict[str, DataFrame]) -> DataFrame:
@@ -80,8 +81,8 @@ def tickers_with_articles(tickers: DataFrame, links: DataFrame, limit: int = 100
 
 
 def bars_from_ticks(ticks: DataFrame, timeframe: str, unit: str, tie: str, price: str = "value") -> DataFrame:
-    """Open, high, low, close and tick count per ticker and time slot."""
-    order = F.struct("ts", tie)
+    """Open, high, low, close and tick count per ticker and time slot; ``tie`` is an id that orders equal times."""
+    order = time_then_id(F.col("ts"), F.col(tie))
     return (
         ticks.groupBy("ticker", F.date_trunc(unit, "ts").alias("slot"))
         .agg(
