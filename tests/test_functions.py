@@ -177,3 +177,8 @@ def test_cosine(spark):
     df = spark.createDataFrame([([1.0, 0.0], [1.0, 1.0]), ([0.0, 0.0], [1.0, 1.0])], "a array<float>, b array<float>")
     got = [r.c for r in df.select(vec.cosine(F.col("a"), F.col("b")).alias("c")).collect()]
     assert got[0] == pytest.approx(0.5**0.5) and got[1] is None
+
+
+def test_listed_values(spark):
+    cases = ['{"aliases": ["Apple", "AAPL"]}', '{"aliases": null}', "{}", None]
+    assert values(spark, cases, lambda c: fl.listed_values(c, "aliases")) == [["Apple", "AAPL"], [], [], []]

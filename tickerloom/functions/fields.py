@@ -62,6 +62,12 @@ def json_object(text: Column) -> Column:
     return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
 
 
+def listed_values(text: Column, field: str) -> Column:
+    """The string list in one field of a JSON object, such as stored aliases or terms; empty when absent."""
+    parsed = F.from_json(text, f"{field} array<string>")
+    return F.coalesce(parsed[field], F.array().cast("array<string>"))
+
+
 def drop_null_values(m: Column) -> Column:
     return F.map_filter(m, lambda k, v: v.isNotNull())
 

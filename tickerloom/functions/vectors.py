@@ -20,8 +20,7 @@ def norm(a: Column) -> Column:
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine similarity; null when a vector has no length."""
-    size = norm(a) * norm(b)
-    return F.when(size > 0, dot(a, b) / size)
+    return let(norm(a) * norm(b), lambda size: F.when(size > 0, dot(a, b) / size))
 
 
 def unit(a: Column) -> Column:

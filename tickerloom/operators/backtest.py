@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -82,15 +84,19 @@ def daily_scores(signals: DataFrame) -> DataFrame:
     )
 
 
+def _ranked(returns: DataFrame, by: str) -> DataFrame:
+    used = returns.filter(F.col("score").isNotNull() & F.col("forward_return").isNotNull())
+    return cross_rank(cross_rank(used, by, "score", "score_rank"), by, "forward_return", "return_rank")
+
+
+def _rank_correlation() -> Column:
+    spread = (F.stddev_pop("score_rank") > 0) & (F.stddev_pop("return_rank") > 0)
+    return F.when(spread, F.corr("score_rank", "return_rank"))
+
+
 def information_coefficient(returns: DataFrame, by: str = "date") -> DataFrame:
     """Spearman correlation of score and forward return per date."""
-    used = returns.filter(F.col("score").isNotNull() & F.col("forward_return").isNotNull())
-    ranked = cross_rank(cross_rank(used, by, "score", "score_rank"), by, "forward_return", "return_rank")
-    return ranked.groupBy(by).agg(
-        F.when((F.stddev_pop("score_rank") > 0) & (F.stddev_pop("return_rank") > 0), F.corr("score_rank", "return_rank"))
-        .alias("ic"),
-        F.count("*").alias("names"),
-    )
+    return _ranked(returns, by).groupBy(by).agg(_rank_correlation().alias("ic"), F.count("*").alias("names"))
 
 
 def decile_returns(returns: DataFrame, by: str = "date") -> DataFrame:
@@ -115,12 +121,29 @@ def hit_rate(returns: DataFrame) -> DataFrame:
     )
 
 
-def backtest_report(returns: DataFrame, universe: DataFrame | None = None, by: str = "date") -> DataFrame:
-    """One row: mean IC, top-decile return, hit rate. A universe frame restricts the tickers."""
+def backtest_report(
+    returns: DataFrame, universe: DataFrame | None = None, start: Any = None, end: Any = None, by: str = "date"
+) -> DataFrame:
+    """One row: mean IC, top-decile return, hit rate. A universe frame restricts the tickers, a closed window the dates."""
+    if start is not None:
+        returns = returns.filter(F.col(by) >= F.lit(start))
+    if end is not None:
+        returns = returns.filter(F.col(by) <= F.lit(end))
     if universe is not None:
         returns = returns.join(universe.select("ticker"), "ticker", "left_semi")
-    ic = information_coefficient(returns, by).agg(F.avg("ic").alias("mean_ic"))
-    top = decile_returns(returns, by).filter("decile = 10").select("mean_return")
-    return hit_rate(returns).select(
-        ic.scalar().alias("mean_ic"), top.scalar().alias("top_decile_return"), "hit_rate", "signals"
+    ranked = _ranked(returns, by)
+    top = F.col("score_rank_decile") == 10
+    # All measures come out of one pass over the ranked rows.
+    per_date = ranked.groupBy(by).agg(
+        _rank_correlation().alias("ic"),
+        F.sum(F.when(top, F.col("forward_return"))).alias("top_return"),
+        F.count_if(top).alias("top_names"),
+        F.sum(_same_sign(F.col("score"), F.col("forward_return"))).alias("hits"),
+        F.count("*").alias("names"),
+    )
+    return per_date.agg(
+        F.avg("ic").alias("mean_ic"),
+        F.try_divide(F.sum("top_return"), F.sum("top_names")).alias("top_decile_return"),
+        F.try_divide(F.sum("hits"), F.sum("names")).alias("hit_rate"),
+        F.coalesce(F.sum("names"), F.lit(0)).alias("signals"),
     )

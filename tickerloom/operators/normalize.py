@@ -14,26 +14,30 @@ from tickerloom.params import STOP_WORDS
 
 def normalize_articles(raw: DataFrame) -> DataFrame:
     """One projection from validated raw items to articles; attribution columns ride along."""
-    url = tx.validated_url(F.col("url"))
-    staged = raw.select(
+    unescaped = raw.select(
         "source", "published_at", "retrieved_at", "lang", "license", "author",
         F.col("title").alias("raw_title"),
-        url.alias("raw_url"),
+        tx.validated_url(F.col("url")).alias("raw_url"),
         tx.unescape_html(F.col("title")).alias("plain_title"),
         tx.unescape_html(F.col("text")).alias("plain_text"),
     )
-    title = tx.strip_markup(F.col("plain_title"))
-    canonical = tx.canonical_url(F.col("raw_url"))
-    return staged.select(
-        stable_id(canonical).alias("id"),
+    # Two steps, so that the cleaned title and address are there once for the hash and the id as well.
+    cleaned = unescaped.select(
+        "*",
+        tx.strip_markup(F.col("plain_title")).alias("title"),
+        tx.strip_markup(F.col("plain_text")).alias("text"),
+        tx.canonical_url(F.col("raw_url")).alias("url"),
+    )
+    return cleaned.select(
+        stable_id(F.col("url")).alias("id"),
         "source",
-        canonical.alias("url"),
+        "url",
         "published_at",
         "retrieved_at",
-        title.alias("title"),
-        tx.strip_markup(F.col("plain_text")).alias("text"),
+        "title",
+        "text",
         "lang",
-        tx.article_hash(F.col("raw_title"), title, F.col("raw_url")).alias("hash"),
+        tx.article_hash(F.col("raw_title"), F.col("title"), F.col("raw_url")).alias("hash"),
         credibility(F.col("source"), F.col("author"), F.col("license"), F.col("raw_url")).alias("credibility"),
         "license",
         "author",

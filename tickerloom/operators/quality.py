@@ -11,18 +11,18 @@ from pyspark.sql import functions as F
 def duplicate_share(df: DataFrame, key: str) -> DataFrame:
     """Percentage of rows that repeat an earlier row's key."""
     per_key = df.groupBy(key).agg(F.count("*").alias("n"))
-    return per_key.agg(((F.sum("n") - F.count("*")) / F.sum("n") * 100).alias("value"))
+    return per_key.agg((F.try_divide(F.sum("n") - F.count("*"), F.sum("n")) * 100).alias("value"))
 
 
 def language_drift(df: DataFrame, split_at: Any, ts: str = "published_at") -> DataFrame:
-    """Total-variation distance between the language shares before and from ``split_at``."""
+    """Total-variation distance between the language shares before and from ``split_at``; null when one is empty."""
     late = F.col(ts) >= F.lit(split_at).cast("timestamp")
     counts = df.groupBy("lang").agg(F.count_if(~late).alias("a"), F.count_if(late).alias("b"))
     totals = counts.agg(F.sum("a").alias("ta"), F.sum("b").alias("tb"))
     shares = counts.select(
         F.struct("a", "b").alias("c"), totals.select(F.struct("ta", "tb")).scalar().alias("t")
     )
-    gap = F.abs(F.col("c.a") / F.col("t.ta") - F.col("c.b") / F.col("t.tb"))
+    gap = F.abs(F.try_divide(F.col("c.a"), F.col("t.ta")) - F.try_divide(F.col("c.b"), F.col("t.tb")))
     return shares.agg((F.sum(gap) / 2).alias("value"))
 
 
@@ -85,8 +85,8 @@ def population_stability(df: DataFrame, value: str, late: Column, bins: int = 10
         F.count_if(~F.col("_late")).alias("early"), F.count_if(F.col("_late")).alias("late")
     )
     totals = counts.agg(F.struct(F.sum("early").alias("e"), F.sum("late").alias("l"))).scalar()
-    a = F.greatest(F.col("early").cast("double"), F.lit(0.5)) / F.col("_t.e")
-    b = F.greatest(F.col("late").cast("double"), F.lit(0.5)) / F.col("_t.l")
+    a = F.try_divide(F.greatest(F.col("early").cast("double"), F.lit(0.5)), F.col("_t.e"))
+    b = F.try_divide(F.greatest(F.col("late").cast("double"), F.lit(0.5)), F.col("_t.l"))
     return counts.withColumn("_t", totals).select("bin", "early", "late", ((b - a) * F.log(b / a)).alias("psi"))
 
 

@@ -87,7 +87,7 @@ def contributors(mentions: DataFrame, params: ScoreParams) -> DataFrame:
 def explain(signals: DataFrame, contribs: DataFrame, articles: DataFrame, chars: int = 200) -> DataFrame:
     """Contributing articles of each signal with excerpt, weight and attribution."""
     shown = articles.select(
-        F.col("id").alias("article_id"), "title", F.substring("text", 1, chars).alias("excerpt"), "source", "license", "url"
+        F.col("id").alias("article_id"), "title", F.substring("text", 1, chars).alias("excerpt"), "source", "license", "url", "retrieved_at"
     )
     keyed = signals.select(F.col("id").alias("signal_id"), "ticker", "ts", "score")
     return contribs.join(shown, "article_id").join(keyed, "signal_id")

@@ -243,7 +243,7 @@ def top2_contributors(spark, sf):
 @query(
     "explain",
     """SELECT c.signal_id, c.article_id, CAST(c.rank AS BIGINT) AS rank, round(c.weight, 6) AS weight, s.ticker, s.ts,
-      s.score, substr(a.text, 1, 120) AS excerpt, a.source, a.license, a.url
+      s.score, substr(a.text, 1, 120) AS excerpt, a.source, a.license, a.url, a.retrieved_at
     FROM v_contrib c JOIN v_article a ON a.id = c.article_id JOIN v_signal s ON s.id = c.signal_id""",
 )
 def explain(spark, sf):
@@ -251,7 +251,7 @@ def explain(spark, sf):
     out = sc.explain(signals(spark, sf), contribs(spark, sf), articles, 120)
     return rounded(out, "weight").select(
         "signal_id", "article_id", F.col("rank").cast("bigint").alias("rank"), "weight", "ticker", "ts", "score",
-        "excerpt", "source", "license", "url",
+        "excerpt", "source", "license", "url", "retrieved_at",
     )
 
 
@@ -335,3 +335,24 @@ def backtest_hit(spark, sf):
 )
 def backtest_report(spark, sf):
     return rounded(bt.backtest_report(daily_returns(spark, sf)), "mean_ic", "top_decile_return", "hit_rate")
+
+
+_IN_WINDOW = """(SELECT * FROM v_dayret WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' AND ticker IN
+  (SELECT symbol FROM v_ticker WHERE valid_to IS NULL) AND score IS NOT NULL AND forward_return IS NOT NULL)"""
+
+
+@query(
+    "backtest_window",
+    f"""SELECT round(avg(CASE WHEN sign(score) = sign(forward_return) THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate,
+      count(*) AS signals, round((SELECT avg(ic) FROM (SELECT corr(s, r) AS ic FROM (SELECT date,
+        rank() OVER (PARTITION BY date ORDER BY score) + (count(*) OVER (PARTITION BY date, score) - 1) / 2.0::DOUBLE AS s,
+        rank() OVER (PARTITION BY date ORDER BY forward_return)
+          + (count(*) OVER (PARTITION BY date, forward_return) - 1) / 2.0::DOUBLE AS r
+        FROM {_IN_WINDOW}) GROUP BY date)), 6) AS mean_ic
+    FROM {_IN_WINDOW}""",
+)
+def backtest_window(spark, sf):
+    """Two weeks, open-ended tickers only."""
+    universe = v.tickers(spark, sf).filter(F.col("valid_to").isNull()).select(F.col("symbol").alias("ticker"))
+    report = bt.backtest_report(daily_returns(spark, sf), universe, "2024-01-08", "2024-01-21")
+    return rounded(report, "mean_ic", "hit_rate").select("hit_rate", "signals", "mean_ic")

@@ -410,7 +410,7 @@ _SPLIT = "2024-01-01 08:00:00"
     "dq_report",
     f"""SELECT 'duplicate_url_pct' AS metric, round((count(*) - count(DISTINCT url)) / count(*) * 100.0::DOUBLE, 6) AS value FROM v_clean
     UNION ALL SELECT 'duplicate_hash_pct', round((count(*) - count(DISTINCT hash)) / count(*) * 100.0::DOUBLE, 6) FROM v_clean
-    UNION ALL SELECT 'language_drift', round(sum(abs(a / ta - b / tb)) / 2, 6) FROM (SELECT lang,
+    UNION ALL SELECT 'language_drift', round(sum(abs(a / nullif(ta, 0) - b / nullif(tb, 0))) / 2, 6) FROM (SELECT lang,
         CAST(count(*) FILTER (WHERE published_at < TIMESTAMP '{_SPLIT}') AS DOUBLE) AS a,
         CAST(count(*) FILTER (WHERE published_at >= TIMESTAMP '{_SPLIT}') AS DOUBLE) AS b,
         (SELECT count(*) FROM v_clean WHERE published_at < TIMESTAMP '{_SPLIT}') AS ta,

@@ -105,6 +105,14 @@ def map_drop_nulls(spark, sf):
     return docs.select("doc_id", F.array_join(shown, ",").alias("fields"))
 
 
+@query("alias_json", "SELECT symbol, coalesce(array_to_string(aliases, ','), '') AS aliases FROM v_ticker")
+def alias_json(spark, sf):
+    """Alias lists out of their stored JSON wrapper; no wrapper gives an empty list."""
+    tickers = v.tickers(spark, sf)
+    wrapped = F.when(F.col("aliases").isNotNull(), F.to_json(F.struct("aliases")))
+    return joined_text(tickers.select("symbol", fl.listed_values(wrapped, "aliases").alias("aliases")), "aliases")
+
+
 @query(
     "lead_excerpt",
     """SELECT id, substr(text, 1, 80) AS excerpt, concat_ws(' ', title, substr(text, 1, 200)) AS title_and_lead

@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 ZONES = ("raw", "clean", "features")
 
 
-def write_zone(df: DataFrame, root: str, zone: str, table: str, ts: str, sort: list[str] | None = None) -> str:
+def write_zone(
+    df: DataFrame, root: str, zone: str, table: str, ts: str, sort: list[str] | None = None, files_per_date: int = 16
+) -> str:
     """Replace the dates present in ``df`` and leave the other dates as they are.
 
-    Rows are spread over (date, salt) so that a heavy day is written by several tasks, and sorted so that
-    row-group statistics can skip.
+    Rows are spread over (date, salt) so that a heavy day is written by several tasks (up to
+    ``files_per_date``), and sorted so that row-group statistics can skip.
     """
     if zone not in ZONES:
         raise ValueError(f"no such zone: {zone}")
     path = f"{root.rstrip('/')}/{zone}/{table}"
     dated = df.withColumn("date", F.to_date(ts))
     (
-        dated.repartition("date", F.pmod(F.xxhash64(ts, *(sort or [])), F.lit(16)))
+        dated.repartition("date", F.pmod(F.xxhash64(ts, *(sort or [])), F.lit(files_per_date)))
         .sortWithinPartitions("date", *(sort or []), ts)
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
