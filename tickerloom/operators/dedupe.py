@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tickerloom.functions.binding import let
 from tickerloom.functions.keys import word_hash
 from tickerloom.functions.text import words
 from tickerloom.session import stored
@@ -37,18 +39,24 @@ def dedupe_exact(articles: DataFrame, tie: str = "id") -> DataFrame:
     return keep_first(by_url.withColumn("_key", own_key), ["_key"], order).drop("_key")
 
 
-def simhash(title: Column) -> Column:
-    """60-bit SimHash of the words of a title: a bit is set where most word hashes have it. Never null."""
-
-    def of_hashes(hashes: Column) -> Column:
-        def add_bit(acc: Column, bit: Column) -> Column:
-            ones = F.size(F.filter(hashes, lambda h: F.getbit(h, bit) == 1))
-            weight = F.call_function("shiftleft", F.lit(1).cast("bigint"), bit)
-            return F.when(ones * 2 > F.size(hashes), acc.bitwiseOR(weight)).otherwise(acc)
+@F.pandas_udf(T.LongType())
+def _majority_bits(hashes: pd.Series) -> pd.Series:
+    """Per row, the number whose bits are those that more than half of the hashes have."""
+    n = hashes.map(len).to_numpy()
+    out = np.zeros(len(n), dtype="int64")
+    if n.sum():
+        positions = np.arange(_BITS)
+        bits = (np.concatenate(hashes.to_numpy())[:, None] >> positions) & 1
+        starts = np.concatenate([[0], np.cumsum(n[n > 0])[:-1]])
+        ones = np.add.reduceat(bits, starts, axis=0)
+        out[n > 0] = ((2 * ones > n[n > 0, None]).astype("int64") << positions).sum(axis=1)
+    return pd.Series(out)
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(_BITS - 1)), F.lit(0).cast("bigint"), add_bit)
 
-    return F.coalesce(let(F.transform(words(title), word_hash), of_hashes), F.lit(0).cast("bigint"))
+def simhash(title: Column) -> Column:
+    """60-bit SimHash of the words of a title. Never null, so that Spark needs no filter that computes it again."""
+    hashes = F.coalesce(F.transform(words(title), word_hash), F.array().cast("array<bigint>"))
+    return F.coalesce(_majority_bits(hashes), F.lit(0).cast("bigint"))
 
 
 def _pack(sig: Column, blocks: tuple[int, ...]) -> Column:
@@ -76,40 +84,33 @@ def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
     to their earliest there, and looked up from two flips away. That is linear in the group and just as exact.
     """
     combos = list(combinations(_BLOCKS, _DISTANCE))
-    keyed = sigs.select(
-        "sig",
-        "first",
-        F.explode(
-            F.array(
-                *[
-                    F.struct(
-                        F.lit(i).alias("combo"),
-                        _pack(F.col("sig"), c).alias("key"),
-                        _pack(F.col("sig"), tuple(b for b in _BLOCKS if b not in c)).alias("rest"),
-                    )
-                    for i, c in enumerate(combos)
-                ]
+    parts = F.array(
+        *[
+            F.struct(
+                (_pack(F.col("sig"), c) + F.lit(i << (_BITS // 2))).alias("key"),
+                _pack(F.col("sig"), tuple(b for b in _BLOCKS if b not in c)).alias("rest"),
             )
-        ).alias("b"),
-    ).select("sig", "first", "b.*")
-    sizes = keyed.groupBy("combo", "key").agg(F.count("*").alias("members")).filter("members > 1")
-    sized = keyed.join(sizes, ["combo", "key"])
-
-    few = sized.filter(F.col("members") <= hot_rows)
-    other = few.select("combo", "key", F.col("rest").alias("other_rest"), F.col("first").alias("other_first"))
-    direct = few.join(other, ["combo", "key"]).filter(
-        F.bit_count(F.col("rest").bitwiseXOR(F.col("other_rest"))) <= _DISTANCE
+            for i, c in enumerate(combos)
+        ]
     )
+    keyed = sigs.select("sig", "first", F.explode(parts).alias("p")).select("sig", "first", "p.key", "p.rest")
+    sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
+    # Most keys belong to one signature and end here; what is left is read several times.
+    shared = stored(keyed.join(sizes, "key"), "simhash-keys")
+
+    few = shared.filter(F.col("members") <= hot_rows)
+    other = few.select("key", F.col("rest").alias("other_rest"), F.col("first").alias("other_first"))
+    direct = few.join(other, "key").filter(F.bit_count(F.col("rest").bitwiseXOR(F.col("other_rest"))) <= _DISTANCE)
 
-    many = sized.filter(F.col("members") > hot_rows)
+    many = shared.filter(F.col("members") > hot_rows)
     spread = (
-        many.select("combo", "key", "rest", "first", F.explode(_flips(1)).alias("flip"))
-        .groupBy("combo", "key", F.col("rest").bitwiseXOR(F.col("flip")).alias("near"))
+        many.select("key", "rest", "first", F.explode(_flips(1)).alias("flip"))
+        .groupBy("key", F.col("rest").bitwiseXOR(F.col("flip")).alias("near"))
         .agg(F.min("first").alias("other_first"))
     )
     looked_up = many.select(
-        "sig", "combo", "key", F.explode(F.transform(_flips(2), lambda m: m.bitwiseXOR(F.col("rest")))).alias("near")
-    ).join(spread, ["combo", "key", "near"])
+        "sig", "key", F.explode(F.transform(_flips(2), lambda m: m.bitwiseXOR(F.col("rest")))).alias("near")
+    ).join(spread, ["key", "near"])
 
     found = direct.select("sig", "other_first").union(looked_up.select("sig", "other_first"))
     own = sigs.select("sig", F.col("first").alias("other_first"))

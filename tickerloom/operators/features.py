@@ -166,20 +166,27 @@ def rolling_baseline(counts: DataFrame, days: int = 30) -> DataFrame:
     only, so the series is never filled in: with n hours, the sum and the sum of squares of the few non-zero
     ones give both moments. A ticker has one row per hour here, so a window never grows with the mentions.
     """
+    count = F.col("mentions").cast("decimal(18,0)")  # squares of busy hours outgrow a bigint
     by_time = W.partitionBy("ticker").orderBy("_t")
-    back = by_time.rangeBetween(-days * DAY, -1)
+
+    def total(value: Column) -> Column:
+        """Over the look-back, as a difference of two running totals: a sliding frame is summed anew for every row."""
+        until_now = F.sum(value).over(by_time.rangeBetween(W.unboundedPreceding, -1))
+        until_start = F.sum(value).over(by_time.rangeBetween(W.unboundedPreceding, -days * DAY - 1))
+        return F.coalesce(until_now, F.lit(0)) - F.coalesce(until_start, F.lit(0))
+
     first = F.min("_t").over(by_time.rowsBetween(W.unboundedPreceding, 0))
     hours = ((F.col("_t") - first) / HOUR).cast("bigint")
     framed = counts.withColumn("_t", F.unix_seconds("hour")).withColumns(
         {
             "_n": F.least(hours, F.lit(days * 24).cast("bigint")),
-            "_s": F.coalesce(F.sum("mentions").over(back), F.lit(0)),
-            "_q": F.coalesce(F.sum(F.col("mentions") * F.col("mentions")).over(back), F.lit(0)),
+            "_s": total(count),
+            "_q": total(count * count),
         }
     )
     n, s, q = F.col("_n"), F.col("_s"), F.col("_q")
-    mean = F.when(n > 0, s / n)
-    var = F.when(n > 1, (q * n - s * s) / (n * (n - 1)))
+    mean = F.when(n > 0, s.cast("double") / n)
+    var = F.when(n > 1, (q * n - s * s).cast("double") / (n * (n - 1)))
     return (
         framed.withColumn("baseline_hours", n)
         .withColumn("mean", mean)
