@@ -15,7 +15,7 @@ from tickerloom.operators import validate as vd
 from tickerloom.operators.features import hashed_embeddings
 from tickerloom.operators.scoring import signal_id
 from tickerloom.operators.stats import bars_from_ticks
-from tickerloom.plans.frames import contribs, joined_text, rounded, signals
+from tickerloom.plans.frames import contribs, rounded, signals
 from tickerloom.plans.registry import query
 from tickerloom.session import work_dir
 from tickerloom.sources import readers as rd
