@@ -7,7 +7,8 @@ from pathlib import Path
 import duckdb
 import pytest
 
-from __spark_entry__ import entry, oracle_sql, queries
+from __spark_entry__ import entry
+from tickerloom.plans import all_checks, all_queries
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
@@ -32,11 +33,11 @@ def _rows(rows, cols):
     return sorted(tuple(_cell(r[i]) for i in order) for r in rows)
 
 
-@pytest.mark.parametrize("name", list(queries()))
+@pytest.mark.parametrize("name", list(all_queries()))
 def test_query(spark, con, name):
-    df = queries()[name](spark, SF)
+    df = all_queries()[name](spark, SF)
     got = _rows(df.collect(), df.columns)
-    sql = oracle_sql().get(name)
+    sql = all_checks().get(name)
     if sql is None:
         assert got
         return
