@@ -49,3 +49,14 @@ def fold_of(doc_id: Column, folds: int) -> Column:
 
 def fold_number(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds if doc_id is not None else 0
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame with a column of distinct row numbers, under a name that it doesn't have yet.
+
+    A stored table gives the same numbers each time it is read; other frames must be written first.
+    """
+    name = "_row"
+    while name in df.columns:
+        name = "_" + name
+    return df.withColumn(name, F.monotonically_increasing_id()), name
