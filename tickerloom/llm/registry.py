@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-_MODULES = ("q_simhash", "q_exact", "q_quality", "q_toxicity", "q_decontaminate", "q_html", "q_language", "q_bpe")
+_MODULES = ("q_simhash", "q_exact", "q_quality", "q_toxicity", "q_decontaminate", "q_urls", "q_html", "q_language", "q_bpe")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
