@@ -319,7 +319,7 @@ def test_linker(spark):
     tickers = spark.createDataFrame(TICKERS, "symbol string, name string, aliases array<string>")
     texts = [(1, "$AAPL up, says Apple Inc. (Apple)"), (2, "Google and apple"), (3, "$NOPE"), (4, None)]
     articles = spark.createDataFrame(texts, "id bigint, text string")
-    got = {(r.article_id, r.ticker): r for r in ln.link_tickers(articles, tickers, max_words=2).collect()}
+    got = {(r.article_id, r.ticker): r for r in ln.link_tickers(articles, tickers).collect()}
     assert set(got) == {(1, "AAPL"), (2, "GOOGL")}
     best = got[1, "AAPL"]
     assert (best.method, best.confidence, best.matched_terms) == ("cashtag", 0.95, ["$AAPL", "Apple", "Apple Inc"])
@@ -328,6 +328,66 @@ def test_linker(spark):
     assert [(s.start, s.end) for s in spans.char_spans] == [(2, 7), (10, 15)]
 
 
+def test_cashtag_boundaries(spark):
+    tickers = spark.createDataFrame([("AAPL", "x", None), ("BRK.B", "y", None), ("A", "z", None)], "symbol string, name string, aliases array<string>")
+    cases = {
+        "buy $AAPL.": {"AAPL"}, "$AAPL-related": {"AAPL"}, "($BRK.B)": {"BRK.B"}, "$BRK.B.": {"BRK.B"}, "costs $.50 or $-5": set(),
+        "x$AAPL": set(), "$$AAPL": set(), "$AAPLE": set(), "$AAPLx": set(), "$A, $AAPL!": {"A", "AAPL"}, "$ABCDEFGHIJKLM": set(),
+    }
+    articles = spark.createDataFrame(list(enumerate(cases)), "id bigint, text string")
+    got = ln.link_cashtags(articles, tickers).groupBy("article_id").agg(F.collect_set("ticker").alias("t")).collect()
+    found = {r.article_id: set(r.t) for r in got}
+    assert {text: found.get(i, set()) for i, text in enumerate(cases)} == cases
+
+
+def test_spans_of_every_method(spark):
+    tickers = spark.createDataFrame(TICKERS, "symbol string, name string, aliases array<string>")
+    text = "Apple Inc, $AAPL. Apple pie; Apples. 😀 Apple  Inc"
+    articles = spark.createDataFrame([(1, text)], "id bigint, text string")
+    row = ln.with_spans(ln.link_tickers(articles, tickers), articles).first()
+    assert row.matched_terms == ["$AAPL", "Apple", "Apple Inc"]
+    assert [text[s.start : s.end] for s in row.char_spans] == ["Apple Inc", "$AAPL", "Apple", "Apple  Inc"]
+
+
+def test_linker_precision_on_labelled_documents(spark):
+    from tickerloom.sources import views
+
+    sf = "/root/testdata/sf0.001"
+    links = ln.link_tickers(views.linker_articles(spark, sf), views.linker_tickers(spark, sf))
+    assert ql.linker_precision(links, views.linker_truth(spark, sf)).first().value >= 0.9
+
+
+def test_no_look_ahead(spark):
+    signal = spark.createDataFrame([(1, "A", hours(10))], "id int, ticker string, ts timestamp")
+    bars = [("A", hours(10) + dt.timedelta(minutes=m), "1m", float(m)) for m in (1, 30, 59, 60, 61)]
+    df = spark.createDataFrame(bars, "ticker string, ts timestamp, timeframe string, c double")
+    sound = bt.signal_returns(signal, df, "1m")
+    assert sound.first().entry_ts == hours(11) and bt.look_ahead_rows(sound).count() == 0
+    early = bt.signal_returns(signal, df, "1m", signal_seconds=0).withColumn("known_at", F.lit(hours(11)))
+    assert bt.look_ahead_rows(early).count() == 1
+
+
+def test_market_sessions(spark):
+    utc = lambda *a: dt.datetime(*a)
+    cases = {
+        utc(2024, 1, 5, 14, 29): False, utc(2024, 1, 5, 14, 30): True, utc(2024, 1, 5, 20, 59): True, utc(2024, 1, 5, 21, 0): False,
+        utc(2024, 7, 5, 13, 30): True, utc(2024, 7, 5, 13, 29): False, utc(2024, 7, 5, 20, 0): False,
+        utc(2024, 1, 6, 15, 0): False, utc(2024, 1, 7, 15, 0): False, utc(2024, 3, 11, 13, 30): True, utc(2024, 3, 8, 13, 30): False,
+    }
+    df = spark.createDataFrame([(t,) for t in cases], "ts timestamp")
+    got = {r.ts: r.ok for r in df.select("ts", bt.in_session(F.col("ts")).alias("ok")).collect()}
+    assert got == cases
+
+
+def test_tags_without_boost_stay(spark):
+    from tickerloom.operators import scoring
+    from tickerloom.params import ScoreParams
+
+    rows = [(1, "A", T0, 0.5, ["regulatory", "earnings"]), (2, "A", T0, 0.5, ["earnings"]), (3, "A", T0, 0.5, None)]
+    df = spark.createDataFrame(rows, "article_id int, ticker string, ts timestamp, sentiment double, event_tags array<string>")
+    assert scoring.assemble_signals(df, None, ScoreParams()).first().event_tags == ["earnings", "regulatory"]
+
+
 # Maintenance
 
 def test_upsert_is_idempotent(spark):
@@ -357,6 +417,17 @@ def test_append(spark):
     with pytest.raises(ValueError):
         mt.append(old, new, ["k"])
     assert mt.append(old, new.filter("k = 2"), ["k"]).count() == 2
+    twice = spark.createDataFrame([(1, "p"), (2, "b"), (2, "a")], "k int, x string")
+    assert sorted(tuple(r) for r in mt.append(old, twice, ["k"], "ignore").collect()) == [(1, "o"), (2, "a")]
+    assert sorted(tuple(r) for r in mt.append(old, twice, ["k"], "replace").collect()) == [(1, "p"), (2, "b")]
+
+
+def test_update_sets_nulls_and_takes_the_last(spark):
+    table = spark.createDataFrame([("A", "x", "p"), ("B", "y", "q")], "k string, name string, other string")
+    updates = [("A", "n1", None, 1, ["name"]), ("A", "n2", None, 2, ["name"]), ("B", None, None, 1, ["name", "other"])]
+    df = spark.createDataFrame(updates, "k string, name string, other string, no int, fields array<string>")
+    got = sorted(tuple(r) for r in mt.update_by_key(table, df, "k", ["no"], "fields").collect())
+    assert got == [("A", "n2", "p"), ("B", None, None)]
 
 
 def test_updates_and_aliases(spark):
@@ -385,6 +456,8 @@ def test_cascades_and_retention(spark):
 def test_quality(spark):
     df = spark.createDataFrame([("u", "en", T0), ("u", "en", T0), ("w", "fr", hours(3)), ("x", "fr", hours(3))], "url string, lang string, published_at timestamp")
     assert ql.duplicate_share(df, "url").first().value == 25.0
+    hashes = spark.createDataFrame([("",), ("",), (None,), (None,), ("h",), ("h",)], "hash string")
+    assert ql.duplicate_share(hashes, "hash").first().value == pytest.approx(100 / 6)
     assert ql.language_drift(df, hours(1)).first().value == 1.0
     posts = spark.createDataFrame([("a", "T", T0)] * 3 + [("b", "T", T0)], "author string, ticker string, ts timestamp")
     assert [r.author for r in ql.drop_bursts(posts, 2).collect()] == ["b"]

@@ -51,6 +51,42 @@ def test_zone_overwrites_only_written_dates(spark):
         zn.write_zone(day(1, 1), root, "other", "t", "ts")
 
 
+def test_zone_append_upsert_and_drop(spark):
+    root = work_dir(spark, "zone")
+    day = lambda d, *ks: spark.createDataFrame([(k, x, dt.datetime(2024, 1, d)) for k, x in ks], "k int, x int, ts timestamp")
+    read = lambda: sorted((r.k, r.x) for r in zn.read_zone(spark, root, "clean", "t").collect())
+    zn.write_zone(day(1, (1, 1)), root, "clean", "t", "ts")
+    zn.write_zone(day(1, (2, 2)).union(day(2, (3, 3))), root, "clean", "t", "ts", mode="append")
+    assert read() == [(1, 1), (2, 2), (3, 3)]
+    zn.upsert_zone(day(1, (2, 8), (2, 9), (4, 4)), root, "clean", "t", "ts", ["k"], ["x"])
+    assert read() == [(1, 1), (2, 9), (3, 3), (4, 4)]
+    assert zn.drop_dates(spark, root, "clean", "t", before="2024-01-02") == ["2024-01-01"] and read() == [(3, 3)]
+    with pytest.raises(ValueError):
+        zn.write_zone(day(1, (1, 1)), root, "clean", "t", "ts", mode="merge")
+
+
+def test_work_folder_needs_a_shared_one_on_clusters():
+    from types import SimpleNamespace
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    session = SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(getConf=lambda: conf, master="spark://host:7077"))
+    with pytest.raises(RuntimeError):
+        work_dir(session, "x")
+
+
+def test_ingest_keeps_what_it_turns_away(spark, tmp_path):
+    from tickerloom.streaming import jobs
+
+    good = '{"source":"sec","source_id":"1","url":"https://a.b/c","published_at":"2024-01-01T00:00:00Z","retrieved_at":"2024-01-01T00:01:00Z","title":"t","text":"x","lang":"en"}'
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text("\n".join([good, good.replace("sec", "none").replace('"1"', '"2"'), '{"broken']) + "\n")
+    root = str(tmp_path / "out")
+    log = jobs.ingest_articles(spark, str(tmp_path / "in"), root)
+    assert jobs.read_log(spark, log, ["url"]).count() == 1
+    rows = {r.source_id: (r.errors, r._corrupt) for r in spark.read.parquet(f"{root}/quarantine").collect()}
+    assert rows == {"2": (["source"], None), None: (["unreadable"], '{"broken')}
+
+
 MENTION = "ticker string, ts timestamp"
 
 

@@ -15,8 +15,12 @@ def word_hash(word: Column) -> Column:
 
 
 def stable_id(*cols: Column) -> Column:
-    """A positive 60-bit id from the key columns: the same key gets the same id on every run."""
-    return word_hash(F.concat_ws("|", *cols))
+    """A non-negative 63-bit id from the key columns: the same key gets the same id on every run.
+
+    ``validate.ambiguous_ids`` finds ids that two keys share.
+    """
+    signed = F.conv(F.substring(F.sha1(F.concat_ws("|", *cols)), 1, 16), 16, -10).cast("bigint")
+    return F.shiftrightunsigned(signed, 1)
 
 
 def letters(col: Column) -> Column:

@@ -20,9 +20,9 @@ def forward_returns(bars: DataFrame, horizon: int = 1) -> DataFrame:
 
 
 def next_bar(
-    events: DataFrame, bars: DataFrame, carry: list[str], ts: str = "ts", chunk_seconds: int = 86400
+    events: DataFrame, bars: DataFrame, carry: list[str], ts: str = "ts", chunk_seconds: int = 86400, inclusive: bool = False
 ) -> DataFrame:
-    """As-of join, forward and strict: each event gets the ticker's first bar after its own time.
+    """As-of join, forward: each event gets the ticker's first bar after its own time, or at it if ``inclusive``.
 
     Time is cut into chunks. A (ticker, chunk) becomes one row with its bars in order, of which there are no
     more than time slots, and the first bar of the next chunk that has one. Events join that row by equality
@@ -42,7 +42,7 @@ def next_bar(
     later = W.partitionBy("ticker").orderBy(F.desc("_chunk")).rowsBetween(W.unboundedPreceding, -1)
     chunks = asked.join(held, ["ticker", "_chunk"], "full").withColumn("_next", F.last(first, ignorenulls=True).over(later))
 
-    after = F.filter("_bars", lambda x: x["entry_ts"] > F.col(ts))
+    after = F.filter("_bars", lambda x: (x["entry_ts"] >= F.col(ts)) if inclusive else (x["entry_ts"] > F.col(ts)))
     hit = F.coalesce(F.get(after, 0), F.col("_next"))
     return (
         events.withColumn("_chunk", chunk(ts))
@@ -53,16 +53,41 @@ def next_bar(
 
 
 def signal_returns(
-    signals: DataFrame, bars: DataFrame, timeframe: str, horizon: int = 1, chunk_seconds: int = 86400
+    signals: DataFrame,
+    bars: DataFrame,
+    timeframe: str,
+    horizon: int = 1,
+    chunk_seconds: int = 86400,
+    signal_seconds: int = 3600,
+    sessions: bool = False,
 ) -> DataFrame:
-    """Signals with entry bar and forward return; a signal of an hour is known only at the end of it."""
-    priced = forward_returns(bars.filter(F.col("timeframe") == timeframe), horizon)
-    return next_bar(signals, priced, ["c", "forward_return"], "ts", chunk_seconds).withColumnRenamed("c", "entry_close")
+    """Signals with known_at, entry bar and forward return.
+
+    A signal covers ``signal_seconds`` from its time on and is known at their end; its entry is the first bar that
+    begins then or later. With ``sessions``, only bars within market hours count, for entry and for return.
+    """
+    own = bars.filter(F.col("timeframe") == timeframe)
+    if sessions:
+        own = own.filter(in_session(F.col("ts")))
+    known = signals.withColumn("known_at", F.col("ts") + F.make_dt_interval(secs=F.lit(signal_seconds)))
+    priced = forward_returns(own, horizon)
+    return next_bar(known, priced, ["c", "forward_return"], "known_at", chunk_seconds, True).withColumnRenamed("c", "entry_close")
+
+
+#: Regular hours of the market in its own time, in minutes after midnight.
+MARKET_ZONE, MARKET_OPEN, MARKET_CLOSE = "America/New_York", 570, 960
+
+
+def in_session(ts: Column) -> Column:
+    """Whether an instant lies within regular market hours: Monday to Friday, daylight saving as it is there."""
+    local = F.from_utc_timestamp(ts, MARKET_ZONE)
+    minute = F.hour(local) * 60 + F.minute(local)
+    return (F.weekday(local) < 5) & (minute >= MARKET_OPEN) & (minute < MARKET_CLOSE)
 
 
-def look_ahead_rows(returns: DataFrame, ts: str = "ts") -> DataFrame:
-    """Rows that were entered no later than their signal; a sound join has none."""
-    return returns.filter(F.col("entry_ts") <= F.col(ts))
+def look_ahead_rows(returns: DataFrame, known_at: str = "known_at") -> DataFrame:
+    """Rows that were entered before their signal was known; a sound join has none."""
+    return returns.filter(F.col("entry_ts") < F.col(known_at))
 
 
 def cross_rank(df: DataFrame, by: str, value: str, out: str) -> DataFrame:

@@ -2,24 +2,22 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tickerloom.functions.binding import let
-from tickerloom.params import LINK_CONFIDENCE
+from tickerloom.params import CASHTAG_PATTERN, LINK_CONFIDENCE
 
-_CASHTAG = r"\$([A-Z.\-]{1,10})"
 # A word: no white space inside, a letter, digit, $ or # in front, a letter, digit or # at the end.
 _WORD = r"[\p{L}\p{Nd}$#]\S*[\p{L}\p{Nd}#]|[\p{L}\p{Nd}#]"
 
 
-def alias_terms(tickers: DataFrame) -> DataFrame:
-    """The dictionary: (term, ticker, method), a symbol counting as dict and any other alias as synonym."""
-    symbols = tickers.select(F.col("symbol").alias("term"), F.col("symbol").alias("ticker"), F.lit("dict").alias("method"))
+def alias_terms(tickers: DataFrame, min_symbol: int = 2) -> DataFrame:
+    """The dictionary: (term, ticker, method), a symbol counting as dict and any other alias as synonym.
+
+    A bare symbol of one letter is an ordinary word in most languages, so it needs its dollar sign.
+    """
+    symbols = tickers.filter(F.length("symbol") >= min_symbol).select(F.col("symbol").alias("term"), F.col("symbol").alias("ticker"), F.lit("dict").alias("method"))
     names = tickers.select(
         F.explode(F.array_union(F.coalesce("aliases", F.array().cast("array<string>")), F.array("name"))).alias("term"),
         F.col("symbol").alias("ticker"),
@@ -28,8 +26,18 @@ def alias_terms(tickers: DataFrame) -> DataFrame:
     return symbols.unionByName(names.filter(F.col("term") != F.col("ticker"))).filter("term is not null").distinct()
 
 
-def _phrases(text: Column, max_words: int) -> Column:
-    """Distinct runs of one to ``max_words`` words of the whole text."""
+def _tokens(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(_WORD), 0)
+
+
+def phrase_lengths(terms: DataFrame) -> list[int]:
+    """The different numbers of words that the terms of a dictionary have; runs a small job over the dictionary."""
+    lengths = terms.select(F.size(_tokens(F.col("term"))).alias("n")).distinct().filter("n > 0").collect()
+    return sorted(r.n for r in lengths)
+
+
+def _phrases(text: Column, lengths: list[int]) -> Column:
+    """Distinct runs of words of the whole text, of each of the given lengths."""
 
     def all_runs(tokens: Column) -> Column:
         def runs(n: int) -> Column:
@@ -38,9 +46,9 @@ def _phrases(text: Column, max_words: int) -> Column:
                 F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>")
             )
 
-        return F.array_distinct(F.concat(tokens, *[runs(n) for n in range(2, max_words + 1)]))
+        return F.array_distinct(F.concat(F.array().cast("array<string>"), *[tokens if n == 1 else runs(n) for n in lengths]))
 
-    return let(F.regexp_extract_all(text, F.lit(_WORD), 0), all_runs)
+    return let(_tokens(text), all_runs)
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -59,64 +67,79 @@ def _links(found: DataFrame) -> DataFrame:
     )
 
 
-def cashtag_mentions(articles: DataFrame, tickers: DataFrame) -> DataFrame:
-    tags = articles.select(
-        F.col("id").alias("article_id"),
-        F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(_CASHTAG), 1))).alias("ticker"),
-    )
-    known = tickers.select(F.col("symbol").alias("ticker"))
-    return tags.join(known, "ticker", "left_semi").select(
-        "article_id", "ticker", F.lit("cashtag").alias("method"), F.concat(F.lit("$"), "ticker").alias("term")
+def _dictionary(tickers: DataFrame, cashtags: bool, aliases: bool) -> tuple[DataFrame, list[int]]:
+    """Terms to look for, a cashtag with its dollar sign, and the lengths of phrases they need."""
+    tags = tickers.select(
+        F.concat(F.lit("$"), "symbol").alias("term"), F.col("symbol").alias("ticker"), F.lit("cashtag").alias("method")
     )
+    if not aliases:
+        return tags, []
+    terms = alias_terms(tickers)
+    return (tags.unionByName(terms) if cashtags else terms), phrase_lengths(terms)
 
 
-def dictionary_mentions(articles: DataFrame, tickers: DataFrame, max_words: int = 1) -> DataFrame:
-    """Words and phrases that are a symbol or synonym. Spark broadcasts the dictionary when its size allows."""
-    phrases = articles.select(F.col("id").alias("article_id"), F.explode(_phrases(F.col("text"), max_words)).alias("term"))
-    return phrases.join(alias_terms(tickers), "term").select("article_id", "ticker", "method", "term")
+def mentions(articles: DataFrame, tickers: DataFrame, cashtags: bool = True, aliases: bool = True) -> DataFrame:
+    """Cashtags, symbols and synonyms of known tickers: (article_id, ticker, method, term), from one pass over the text.
 
+    Phrases are as long as the dictionary's terms are. Spark broadcasts the dictionary when its size allows.
+    """
+    terms, lengths = _dictionary(tickers, cashtags, aliases)
+    found = F.array().cast("array<string>")
+    if cashtags:
+        tags = F.array_distinct(F.regexp_extract_all("text", F.lit(CASHTAG_PATTERN), 1))
+        found = F.concat(found, F.transform(tags, lambda t: F.concat(F.lit("$"), t)))
+    if aliases:
+        # A word such as $ABC is left to the cashtags, which know where a tag ends.
+        plain = F.filter(_phrases(F.col("text"), lengths), lambda p: ~p.startswith("$"))
+        found = F.concat(found, plain)
+    candidates = articles.select(F.col("id").alias("article_id"), F.explode(found).alias("term"))
+    return candidates.join(terms, "term").select("article_id", "ticker", "method", "term")
 
-def link_cashtags(articles: DataFrame, tickers: DataFrame) -> DataFrame:
-    return _links(cashtag_mentions(articles, tickers))
 
+def link_cashtags(articles: DataFrame, tickers: DataFrame) -> DataFrame:
+    return _links(mentions(articles, tickers, aliases=False))
 
-def link_dictionary(articles: DataFrame, tickers: DataFrame, max_words: int = 1) -> DataFrame:
-    return _links(dictionary_mentions(articles, tickers, max_words))
 
+def link_dictionary(articles: DataFrame, tickers: DataFrame) -> DataFrame:
+    return _links(mentions(articles, tickers, cashtags=False))
 
-def link_tickers(articles: DataFrame, tickers: DataFrame, max_words: int = 1) -> DataFrame:
-    return _links(
-        cashtag_mentions(articles, tickers).unionByName(dictionary_mentions(articles, tickers, max_words))
-    )
 
+def link_tickers(articles: DataFrame, tickers: DataFrame) -> DataFrame:
+    return _links(mentions(articles, tickers))
 
-_SPANS = T.ArrayType(
-    T.StructType([T.StructField("tag", T.StringType()), T.StructField("start", T.IntegerType()), T.StructField("end", T.IntegerType())])
-)
 
+def with_spans(links: DataFrame, articles: DataFrame) -> DataFrame:
+    """Links with ``char_spans``: where the matched terms stand in the text, in order, ends exclusive.
 
-@F.pandas_udf(_SPANS)
-def _cashtag_spans(text: pd.Series) -> pd.Series:
-    find = re.compile(_CASHTAG).finditer
-    return text.map(
-        lambda s: [{"tag": m.group(1), "start": m.start(), "end": m.end()} for m in find(s)], na_action="ignore"
+    The text is cut at the terms, a term with white space between words of any kind; the lengths of the cuts and of
+    the terms add up to the places. Only articles with links are read here.
+    """
+    longest_first = F.array_sort("matched_terms", lambda a, b: F.length(b) - F.length(a))
+    literal = F.transform(
+        longest_first, lambda t: F.regexp_replace(F.regexp_replace(t, r"([^\p{L}\p{Nd} ])", r"\\$1"), " ", r"\\s+")
     )
+    pattern = F.concat(F.lit(r"(?<![\p{L}\p{Nd}$#])(?:"), F.array_join(literal, "|"), F.lit(r")(?![\p{L}\p{Nd}#])"))
+    texts = articles.select(F.col("id").alias("article_id"), "text")
+    joined = links.withColumn("_pattern", pattern).join(texts, "article_id")
+    cuts = F.zip_with(
+        F.regexp_extract_all("text", F.col("_pattern"), F.lit(0)),
+        F.split("text", F.col("_pattern"), -1),
+        lambda hit, before: F.struct(F.length(before).alias("gap"), F.length(hit).alias("size")),
+    )
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
+    def add(done: Column, cut: Column) -> Column:
+        start = done["at"] + cut["gap"]
+        span = F.struct(start.alias("start"), (start + cut["size"]).alias("end"))
+        return F.struct((start + cut["size"]).alias("at"), F.concat(done["spans"], F.array(span)).alias("spans"))
 
-def cashtag_spans(articles: DataFrame, tickers: DataFrame) -> DataFrame:
-    """Character spans of each known cashtag: (article_id, ticker, char_spans), ends exclusive.
+    hits = F.filter(cuts, lambda c: c["size"].isNotNull())
+    return joined.withColumn("char_spans", F.aggregate(hits, none, add, lambda done: done["spans"])).drop("_pattern", "text")
 
-    Spark has no function that returns match positions; only text that holds a dollar sign goes to Python.
-    """
-    spans = _cashtag_spans(F.when(F.instr("text", "$") > 0, F.col("text")))
-    found = articles.select(F.col("id").alias("article_id"), F.explode(spans).alias("s"))
-    known = tickers.select(F.col("symbol").alias("tag"))
-    return (
-        found.select("article_id", "s.tag", F.struct("s.start", "s.end").alias("span"))
-        .join(known, "tag", "left_semi")
-        .groupBy("article_id", F.col("tag").alias("ticker"))
-        .agg(F.sort_array(F.collect_list("span")).alias("char_spans"))
-    )
+
+def cashtag_spans(articles: DataFrame, tickers: DataFrame) -> DataFrame:
+    """Character spans of each known cashtag: (article_id, ticker, char_spans)."""
+    return with_spans(link_cashtags(articles, tickers), articles).select("article_id", "ticker", "char_spans")
 
 
 def stored_links(linked: DataFrame, article_id: Column | None = None) -> DataFrame:

@@ -61,12 +61,16 @@ def replace_links(old: DataFrame, new: DataFrame) -> DataFrame:
 def append(old: DataFrame, new: DataFrame, keys: list[str], on_conflict: str = "error") -> DataFrame:
     """Append rows under a key. ``ignore`` keeps the old row of a taken key, ``replace`` the new one.
 
-    ``error`` fails the job when a key is taken or repeats inside the batch.
+    Of rows that repeat a key inside the batch one is appended: the first by its other columns under ``ignore``, the
+    last under ``replace``. ``error`` runs a job at once that fails when a key is taken or repeats inside the batch.
     """
-    if on_conflict == "ignore":
-        return old.unionByName(new.join(old.select(*keys), keys, "left_anti"))
-    if on_conflict == "replace":
-        return old.join(new.select(*keys), keys, "left_anti").unionByName(new)
+    if on_conflict in ("ignore", "replace"):
+        rest = F.struct(*[c for c in new.columns if c not in keys])
+        pick = F.min(rest) if on_conflict == "ignore" else F.max(rest)
+        once = new.groupBy(*keys).agg(pick.alias("_rest")).select(*keys, "_rest.*") if set(new.columns) - set(keys) else new.distinct()
+        if on_conflict == "ignore":
+            return old.unionByName(once.join(old.select(*keys), keys, "left_anti"))
+        return old.join(once.select(*keys), keys, "left_anti").unionByName(once)
     both = old.select(*keys).unionByName(new.select(*keys))
     if not duplicate_keys(both, keys).isEmpty():
         raise ValueError(f"duplicate key on append: {', '.join(keys)}")
@@ -78,14 +82,23 @@ def with_signal_ids(signals: DataFrame) -> DataFrame:
     return signals.withColumn("id", stable_id(F.col("ticker"), F.unix_seconds("ts").cast("string")))
 
 
-def update_by_key(old: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Set the non-null update columns; columns the table lacks are ignored, unknown keys change nothing."""
-    fields = [c for c in updates.columns if c != key and c in old.columns]
-    renamed = updates.select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in fields])
-    joined = old.join(renamed, key, "left")
-    return joined.select(
-        *[F.coalesce(F.col(f"_u_{c}"), F.col(c)).alias(c) if c in fields else F.col(c) for c in old.columns]
-    )
+def update_by_key(
+    old: DataFrame, updates: DataFrame, key: str, seq: list[str] | None = None, set_fields: str | None = None
+) -> DataFrame:
+    """Set the update columns, nulls included; columns the table lacks are ignored, unknown keys change nothing.
+
+    Of several updates of a key the last by ``seq`` counts. ``set_fields`` names a column that lists, per update, the
+    fields it sets; without it every update sets all of its columns.
+    """
+    fields = [c for c in updates.columns if c not in (key, set_fields) and c in old.columns]
+    listed = F.col(set_fields) if set_fields else F.array(*[F.lit(c) for c in fields]).cast("array<string>")
+    last = keep_last_in_batch(updates, [key], seq or [c for c in updates.columns if c != key])
+    renamed = last.select(F.col(key), listed.alias("_set"), *[F.col(c).alias(f"_u_{c}") for c in fields])
+
+    def value(c: str) -> Column:
+        return F.when(F.array_contains("_set", c), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
+
+    return old.join(renamed, key, "left").select(*[value(c) if c in fields else F.col(c) for c in old.columns])
 
 
 def edit_aliases(tickers: DataFrame, edits: DataFrame) -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 
 def duplicate_share(df: DataFrame, key: str) -> DataFrame:
-    """Percentage of rows that repeat an earlier row's key."""
+    """Percentage of rows that repeat an earlier row's key; a row without a key (null or empty) repeats nothing."""
     per_key = df.groupBy(key).agg(F.count("*").alias("n"))
-    return per_key.agg((F.try_divide(F.sum("n") - F.count("*"), F.sum("n")) * 100).alias("value"))
+    repeats = F.when(F.coalesce(F.col(key).cast("string"), F.lit("")) != "", F.col("n") - 1).otherwise(F.lit(0))
+    return per_key.agg((F.try_divide(F.sum(repeats), F.sum("n")) * 100).alias("value"))
 
 
 def language_drift(df: DataFrame, split_at: Any, ts: str = "published_at") -> DataFrame:

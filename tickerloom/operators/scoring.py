@@ -15,16 +15,14 @@ def assemble_signals(mentions: DataFrame, novelties: DataFrame | None, params: S
     """One row per ticker and hour: mean sentiment, mean novelty, velocity and the union of tags.
 
     ``mentions``: article_id, ticker, ts, sentiment, event_tags. All aggregates of an hour are taken in one
-    pass; the tags of the pass are collected as a small set.
+    pass; an hour has few different tag lists, whose tags are all kept, with a boost or without.
     """
     hour = F.date_trunc("hour", "ts")
-    tags = sorted(params.boosts)
-    flags = [F.max(F.coalesce(F.array_contains("event_tags", t), F.lit(False))).alias(f"_{t}") for t in tags]
     hourly = mentions.groupBy("ticker", hour.alias("hour")).agg(
-        F.avg("sentiment").alias("sentiment"), F.count("*").alias("mentions"), *flags
+        F.avg("sentiment").alias("sentiment"), F.count("*").alias("mentions"), F.collect_set("event_tags").alias("_tags")
     )
     out = velocity(hourly, params.velocity_days).withColumn(
-        "event_tags", F.array_compact(F.array(*[F.when(F.col(f"_{t}"), F.lit(t)) for t in tags]))
+        "event_tags", F.array_sort(F.array_distinct(F.array_compact(F.flatten("_tags"))))
     )
     if novelties is None:
         out = out.withColumn("novelty", F.lit(None).cast("double"))

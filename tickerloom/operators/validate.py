@@ -132,5 +132,10 @@ def orphans(child: DataFrame, parent: DataFrame, child_key: str, parent_key: str
     return child.filter(F.col(child_key).isNotNull()).join(keys, child_key, "left_anti")
 
 
+def ambiguous_ids(df: DataFrame, id_col: str, keys: list[str]) -> DataFrame:
+    """Ids that stand for more than one key; there should be none."""
+    return df.select(id_col, *keys).distinct().groupBy(id_col).agg(F.count("*").alias("keys")).filter("keys > 1")
+
+
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     return df.groupBy(*keys).agg(F.count("*").alias("copies")).filter(F.col("copies") > 1)

@@ -28,6 +28,8 @@ LINK_CONFIDENCE = {"cashtag": 0.95, "dict": 0.7, "synonym": 0.6}
 SOURCES = ["gdelt", "sec", "stocktwits", "twitter", "reddit"]
 LINK_METHODS = ["cashtag", "dict", "synonym", "ner"]
 TIMEFRAMES = ["1d", "1h", "1m"]
+# A cashtag starts and ends with a letter and stands alone; a dot or dash after it is punctuation.
+CASHTAG_PATTERN = r"(?<![\p{L}\p{Nd}$])\$([A-Z](?:[A-Z.\-]{0,8}[A-Z])?)(?![\p{L}\p{Nd}])"
 TICKER_PATTERN = r"\A[A-Z.\-]{1,10}\z"
 
 # Base credibility by source, and the bonus per present attribute.

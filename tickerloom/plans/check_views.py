@@ -18,10 +18,14 @@ def clean(col: str) -> str:
     return f"nullif(trim(regexp_replace(regexp_replace({col}, '<[^>]+>', '', 'g'), '{_SPACES}', ' ', 'g')), '')"
 
 
-def stable_id(text: str) -> str:
+def word_hash(text: str) -> str:
     return f"CAST(concat('0x', substr(sha1({text}), 1, 15)) AS BIGINT)"
 
 
+def stable_id(text: str) -> str:
+    return f"CAST(CAST(concat('0x', substr(sha1({text}), 1, 16)) AS UBIGINT) >> 1 AS BIGINT)"
+
+
 _CANONICAL = """
 CASE WHEN len(kept) = 0 THEN base ELSE base || '?' || array_to_string(kept, '&') END
 """
@@ -47,12 +51,15 @@ FROM v_mention GROUP BY ticker, date_trunc('day', ts)""",
 SELECT ticker, date_trunc('hour', ts)::TIMESTAMP AS ts, first(value ORDER BY ts, article_id) AS o, max(value) AS h,
   min(value) AS l, last(value ORDER BY ts, article_id) AS c, count(*) AS v, '1h' AS timeframe
 FROM v_mention GROUP BY ticker, date_trunc('hour', ts)""",
+    "v_bar1m": """
+SELECT ticker, date_trunc('minute', ts)::TIMESTAMP AS ts, last(value ORDER BY ts, article_id) AS c
+FROM v_mention GROUP BY ticker, date_trunc('minute', ts)""",
     "v_bar": "SELECT * FROM v_bar1d UNION ALL SELECT * FROM v_bar1h",
     "v_rawdoc": r"""
 SELECT CASE CAST(substr(source, 4) AS INTEGER) % 5 WHEN 0 THEN 'gdelt' WHEN 1 THEN 'sec' WHEN 2 THEN 'stocktwits'
     WHEN 3 THEN 'twitter' ELSE 'reddit' END AS source,
   'doc-' || doc_id AS source_id,
-  'https://' || source || '.example.com/a/' || substr(sha1(text), 1, 12)
+  'https://' || source || '.example.com/a/' || sha1(text)
     || CASE doc_id % 3 WHEN 0 THEN '?utm_source=feed' WHEN 1 THEN '#top' ELSE '' END AS url,
   TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 60) AS published_at,
   TIMESTAMP '2024-01-01 00:00:00' + to_seconds(doc_id * 60 + n_chars % 90) AS retrieved_at,
@@ -104,18 +111,25 @@ SELECT {letters('s_suppkey')} AS symbol, s_name AS name, CASE WHEN s_suppkey % 1
 FROM supplier JOIN nation ON s_nationkey = n_nationkey""",
     "v_linker": f"""
 SELECT doc_id AS id, '$' || {letters('doc_id % 97')} || ' ' || text || ' Supplier#'
-  || lpad(CAST(doc_id % 89 AS VARCHAR), 9, '0') || '.' AS text, {letters('doc_id % 97')} AS truth
+  || lpad(CAST(doc_id % 89 AS VARCHAR), 9, '0') || '. Supplier No ' || (doc_id % 83) || ', see $' || {letters('doc_id % 79')}
+  || '.' AS text, [{letters('doc_id % 97')}, {letters('doc_id % 89')}, {letters('doc_id % 83')}, {letters('doc_id % 79')}] AS named
 FROM documents""",
     "v_cashtag": r"""
 SELECT DISTINCT id AS article_id, tag AS ticker, '$' || tag AS term, 'cashtag' AS method, 0.95::DOUBLE AS confidence
-FROM (SELECT id, unnest(regexp_extract_all(text, '\$([A-Z.\-]{1,10})', 1)) AS tag FROM v_linker)
+FROM (SELECT id, rtrim(CASE WHEN regexp_matches(run, '^[A-Z.\-]*([.\-][^A-Z.\-][\p{L}\p{Nd}]*)?$')
+      THEN regexp_extract(run, '^[A-Z.\-]*') ELSE regexp_replace(regexp_extract(run, '^[A-Z.\-]*'), '[A-Z]+$', '') END, '.-') AS tag
+  FROM (SELECT id, unnest(regexp_extract_all(text, '(?:^|[^\p{L}\p{Nd}$])\$([A-Z][A-Z.\-]*[\p{L}\p{Nd}]*)', 1)) AS run
+    FROM v_linker))
 WHERE tag IN (SELECT symbol FROM v_ticker)""",
     "v_dict": r"""
 SELECT DISTINCT t.id AS article_id, d.ticker, t.term, d.method, d.confidence
 FROM (SELECT id, regexp_replace(regexp_replace(unnest(regexp_split_to_array(text, '[ \t\n\r\f\v]+')),
-        '^[^\p{L}\p{Nd}$#]+', ''), '[^\p{L}\p{Nd}#]+$', '') AS term FROM v_linker) t
+        '^[^\p{L}\p{Nd}$#]+', ''), '[^\p{L}\p{Nd}#]+$', '') AS term FROM v_linker
+      UNION ALL SELECT id, regexp_extract(text, 'Supplier No \d+', 0) FROM v_linker) t
 JOIN (SELECT symbol AS term, symbol AS ticker, 'dict' AS method, 0.7::DOUBLE AS confidence FROM v_ticker
-      UNION SELECT name, symbol, 'synonym', 0.6::DOUBLE FROM v_ticker WHERE name <> symbol) d ON t.term = d.term""",
+        WHERE length(symbol) > 1
+      UNION SELECT name, symbol, 'synonym', 0.6::DOUBLE FROM v_ticker WHERE name <> symbol
+      UNION SELECT 'Supplier No ' || CAST(cik AS BIGINT), symbol, 'synonym', 0.6::DOUBLE FROM v_ticker) d ON t.term = d.term""",
     "v_hourcount": """
 SELECT ticker, date_trunc('hour', ts)::TIMESTAMP AS hour, count(*) AS mentions FROM v_mention GROUP BY 1, 2""",
     "v_dense": """
@@ -169,6 +183,13 @@ WHERE rank <= 2""",
     "v_fwd1h": """
 SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts) / c - 1 END AS forward_return
 FROM v_bar1h""",
+    "v_fwd1m": """
+SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts) / c - 1 END AS forward_return
+FROM v_bar1m""",
+    "v_fwdsession": """
+SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts) / c - 1 END AS forward_return
+FROM v_bar1m WHERE isodow(ts - INTERVAL 5 HOUR) <= 5
+  AND CAST(ts - INTERVAL 5 HOUR AS TIME) BETWEEN TIME '09:30:00' AND TIME '15:59:59'""",
     "v_fwd1d": """
 SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts) / c - 1 END AS forward_return
 FROM v_bar1d""",
@@ -192,7 +213,7 @@ FROM v_dayret WHERE score IS NOT NULL AND forward_return IS NOT NULL""",
     "v_sigs": f"""
 SELECT id, published_at, CAST(sum(CASE WHEN 2 * ones > n THEN (1::BIGINT << CAST(bit AS INTEGER)) ELSE 0 END) AS BIGINT) AS sig
 FROM (SELECT id, published_at, bit, count(*) AS n, sum((h >> CAST(bit AS INTEGER)) & 1) AS ones
-  FROM (SELECT id, published_at, {stable_id('word')} AS h FROM (SELECT id, published_at,
+  FROM (SELECT id, published_at, {word_hash('word')} AS h FROM (SELECT id, published_at,
       unnest([x FOR x IN regexp_split_to_array(lower(title), '[^\\p{{L}}\\p{{Nd}}]+') IF x <> '']) AS word FROM v_article)) hashed
   CROSS JOIN range(0, 60) r(bit)
   GROUP BY id, published_at, bit)

@@ -9,6 +9,7 @@ from tickerloom.operators import features as ft
 from tickerloom.operators import scoring as sc
 from tickerloom.operators import similarity as sim
 from tickerloom.operators.dedupe import keep_last_in_batch
+from tickerloom.operators.features import tag_events
 from tickerloom.plans.frames import (
     PARAMS,
     contribs,
@@ -268,18 +269,53 @@ def forward_return(spark, sf):
 
 @query(
     "returns_asof",
-    """SELECT id, ticker, ts, score, entry_ts, entry_close, round(forward_return, 6) AS forward_return
-    FROM v_return""",
+    """SELECT id, ticker, ts, score, ts + INTERVAL 1 HOUR AS known_at, entry_ts, entry_close,
+      round(forward_return, 6) AS forward_return FROM v_return""",
 )
 def returns_asof(spark, sf):
     return rounded(hourly_returns(spark, sf), "forward_return")
 
 
-@query("leak_check", "SELECT count(*) AS look_ahead_rows FROM v_return WHERE entry_ts <= ts")
+@query("leak_check", "SELECT count(*) AS look_ahead_rows FROM v_return WHERE entry_ts < ts + INTERVAL 1 HOUR")
 def leak_check(spark, sf):
     return bt.look_ahead_rows(hourly_returns(spark, sf)).agg(F.count("*").alias("look_ahead_rows"))
 
 
+def _asof_sql(bars: str) -> str:
+    return f"""SELECT s.id, s.ticker, s.ts, s.score, s.ts + INTERVAL 1 HOUR AS known_at, b.ts AS entry_ts, b.c AS entry_close,
+      round(b.forward_return, 6) AS forward_return
+    FROM v_signal s ASOF LEFT JOIN {bars} b ON b.ticker = s.ticker AND s.ts + INTERVAL 1 HOUR <= b.ts"""
+
+
+def _minute_returns(spark, sf, sessions):
+    own = signals(spark, sf).select("id", "ticker", "ts", "score")
+    return rounded(bt.signal_returns(own, v.bars(spark, sf, "1m"), "1m", sessions=sessions), "forward_return")
+
+
+@query("returns_asof_1m", _asof_sql("v_fwd1m"))
+def returns_asof_1m(spark, sf):
+    """Entries on minute bars: never within the hour that a signal sums up."""
+    return _minute_returns(spark, sf, False)
+
+
+@query("returns_session", _asof_sql("v_fwdsession"))
+def returns_session(spark, sf):
+    """Entries on minute bars within New York market hours; all events lie in winter time."""
+    return _minute_returns(spark, sf, True)
+
+
+@query(
+    "signal_tags",
+    """SELECT ticker, date_trunc('hour', ts)::TIMESTAMP AS ts, coalesce(string_agg(DISTINCT tag, ',' ORDER BY tag), '') AS event_tags
+    FROM (SELECT ticker, ts, CASE WHEN event_type = 'view' THEN 'regulatory' ELSE tag END AS tag FROM v_scored) GROUP BY 1, 2""",
+)
+def signal_tags(spark, sf):
+    """Signals keep a tag that has no boost."""
+    tagged = tag_events(v.scored_mentions(spark, sf).drop("event_tags"), v.EVENT_TAGS | {"regulatory": "view"}, F.col("event_type"))
+    out = joined_text(sc.assemble_signals(tagged, None, PARAMS), "event_tags")
+    return out.select("ticker", "ts", F.coalesce("event_tags", F.lit("")).alias("event_tags"))
+
+
 @query(
     "cross_rank",
     """SELECT ticker, date, score, round(score_rank, 6) AS score_rank,

@@ -58,12 +58,15 @@ def stream_velocity(spark, sf):
 
 @query("stream_dedupe", "SELECT DISTINCT url FROM v_clean")
 def stream_dedupe(spark, sf):
-    """Landed items with their canonical address; the items of one run lie within the delay."""
+    """Landed items with their canonical address; an address counts once within 24 hours of its first item.
+
+    The items of this run lie within that time or in one batch, so each address comes out once.
+    """
     path = land(spark, landed_items(v.raw_items(spark, sf)), "items")
     landed = map_news_items(jobs.file_stream(spark, path, RAW_LANDED, "json"))
     keyed = landed.select(tx.canonical_url(tx.validated_url(F.col("url"))).alias("url"), "published_at")
     root = work_dir(spark, "stream-dedupe")
-    log = jobs.run_to_log(jobs.first_by_url(keyed, "3650 days"), root, "append")
+    log = jobs.run_to_log(jobs.first_by_url(keyed, "24 hours"), root, "append")
     return spark.read.parquet(log).select("url")
 
 
@@ -78,3 +81,18 @@ def stream_upsert(spark, sf):
     path = land(spark, landed_items(v.raw_items(spark, sf)), "items")
     log = jobs.ingest_articles(spark, path, work_dir(spark, "stream-upsert"))
     return jobs.read_log(spark, log, ["url"]).select("id", "url", "hash", "credibility")
+
+
+@query(
+    "stream_quarantine",
+    """SELECT source_id, concat_ws(',', CASE WHEN NOT length(title) <= 512 OR title IS NULL THEN 'title' END,
+        CASE WHEN length(text) > 20000 THEN 'text' END, CASE WHEN NOT length(lang) BETWEEN 2 AND 5 OR lang IS NULL THEN 'lang' END)
+      AS errors FROM v_raw
+    WHERE NOT coalesce(length(title) <= 512 AND length(text) <= 20000 AND length(lang) BETWEEN 2 AND 5, false)""",
+)
+def stream_quarantine(spark, sf):
+    """Landed items that the streaming ingest turns away, with the rules that they break."""
+    path = land(spark, landed_items(v.raw_items(spark, sf)), "items")
+    root = work_dir(spark, "stream-quarantine")
+    jobs.ingest_articles(spark, path, root)
+    return spark.read.parquet(f"{root}/quarantine").select("source_id", F.array_join("errors", ",").alias("errors"))

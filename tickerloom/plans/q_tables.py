@@ -153,7 +153,7 @@ _COPIES = """SELECT * FROM v_clean QUALIFY row_number() OVER (PARTITION BY url O
     "upsert_articles",
     f"""SELECT coalesce(o.id, n.new_id) AS id, n.url, n.title, n.hash, n.credibility, n.published_at,
       TIMESTAMP '2024-03-01 00:00:00' AS retrieved_at
-    FROM (SELECT *, CAST(concat('0x', substr(sha1(url), 1, 15)) AS BIGINT) AS new_id FROM ({_COPIES})) n
+    FROM (SELECT *, CAST(CAST(concat('0x', substr(sha1(url), 1, 16)) AS UBIGINT) >> 1 AS BIGINT) AS new_id FROM ({_COPIES})) n
     LEFT JOIN (SELECT url, min(id) AS id FROM v_article GROUP BY url) o ON o.url = n.url""",
 )
 def upsert_articles(spark, sf):
@@ -206,7 +206,7 @@ def merge_by_key(spark, sf):
 )
 def replace_links(spark, sf):
     """Articles that the linker has seen get its links, the others keep what they had."""
-    new = ln.stored_links(ln.link_cashtags(v.linker_articles(spark, sf), v.tickers(spark, sf)))
+    new = ln.stored_links(ln.link_cashtags(v.linker_articles(spark, sf), v.linker_tickers(spark, sf)))
     return mt.replace_links(v.links(spark, sf), new).select("article_id", "ticker", "confidence", "method")
 
 
@@ -283,14 +283,17 @@ def append_tickers(spark, sf):
 
 @query(
     "update_tickers",
-    """SELECT t.symbol, t.name, coalesce('X' || e.n, t.exchange) AS exchange FROM v_ticker t LEFT JOIN
-    (SELECT ticker, count(*) AS n FROM v_mention GROUP BY ticker) e ON e.ticker = t.symbol""",
+    """SELECT t.symbol, t.name, CASE WHEN e.n % 2 = 0 THEN 'X' || e.n WHEN e.n IS NULL THEN t.exchange END AS exchange
+    FROM v_ticker t LEFT JOIN (SELECT ticker, count(*) AS n FROM v_mention GROUP BY ticker) e ON e.ticker = t.symbol""",
 )
 def update_tickers(spark, sf):
-    """The exchange of mentioned tickers is set; the unknown column and unknown symbols change nothing."""
+    """The exchange of mentioned tickers is set, for odd counts to null, after an older update of each that doesn't
+    count; the unknown column and unknown symbols change nothing."""
     counted = v.mentions(spark, sf).groupBy(F.col("ticker").alias("symbol")).agg(F.count("*").alias("n"))
-    updates = counted.select("symbol", F.concat(F.lit("X"), "n").alias("exchange"), F.col("n").alias("no_such_column"))
-    return mt.update_by_key(v.tickers(spark, sf), updates, "symbol").select("symbol", "name", "exchange")
+    last = F.when(F.pmod("n", F.lit(2)) == 0, F.concat(F.lit("X"), "n"))
+    updates = counted.select("symbol", last.alias("exchange"), F.col("n").alias("no_such_column"), F.lit(2).alias("no"))
+    older = updates.withColumns({"exchange": F.lit("old"), "no": F.lit(1)})
+    return mt.update_by_key(v.tickers(spark, sf), older.unionByName(updates), "symbol", ["no"]).select("symbol", "name", "exchange")
 
 
 @query(
@@ -409,22 +412,23 @@ _SPLIT = "2024-01-01 08:00:00"
 @query(
     "dq_report",
     f"""SELECT 'duplicate_url_pct' AS metric, round((count(*) - count(DISTINCT url)) / count(*) * 100.0::DOUBLE, 6) AS value FROM v_clean
-    UNION ALL SELECT 'duplicate_hash_pct', round((count(*) - count(DISTINCT hash)) / count(*) * 100.0::DOUBLE, 6) FROM v_clean
+    UNION ALL SELECT 'duplicate_hash_pct', round((count(*) FILTER (WHERE hash <> '') - count(DISTINCT hash) FILTER (WHERE hash <> ''))
+      / count(*) * 100.0::DOUBLE, 6) FROM v_clean
     UNION ALL SELECT 'language_drift', round(sum(abs(a / nullif(ta, 0) - b / nullif(tb, 0))) / 2, 6) FROM (SELECT lang,
         CAST(count(*) FILTER (WHERE published_at < TIMESTAMP '{_SPLIT}') AS DOUBLE) AS a,
         CAST(count(*) FILTER (WHERE published_at >= TIMESTAMP '{_SPLIT}') AS DOUBLE) AS b,
         (SELECT count(*) FROM v_clean WHERE published_at < TIMESTAMP '{_SPLIT}') AS ta,
         (SELECT count(*) FROM v_clean WHERE published_at >= TIMESTAMP '{_SPLIT}') AS tb FROM v_clean GROUP BY lang)
-    UNION ALL SELECT 'linker_precision', round(avg(CASE WHEN k.ticker = l.truth THEN 1.0::DOUBLE ELSE 0 END), 6)
+    UNION ALL SELECT 'linker_precision', round(avg(CASE WHEN list_contains(l.named, k.ticker) THEN 1.0::DOUBLE ELSE 0 END), 6)
       FROM (SELECT DISTINCT article_id, ticker FROM (SELECT article_id, ticker FROM v_cashtag UNION ALL SELECT article_id, ticker FROM v_dict)) k
       JOIN v_linker l ON l.id = k.article_id WHERE l.id IN (SELECT doc_id FROM labels)""",
 )
 def dq_report(spark, sf):
     """Linker precision is judged on the labelled documents."""
     source = v.linker_articles(spark, sf)
-    labelled = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
-    truth = source.join(labelled, "id", "left_semi").select(F.col("id").alias("article_id"), F.col("truth").alias("ticker"))
-    links = ln.link_tickers(source, v.tickers(spark, sf))
+    labelled = v.table(spark, sf, "labels").select(F.col("doc_id").alias("article_id"))
+    truth = v.linker_truth(spark, sf).join(labelled, "article_id", "left_semi")
+    links = ln.link_tickers(source, v.linker_tickers(spark, sf))
     report = ql.quality_report(v.clean_articles(spark, sf), links, truth, _SPLIT)
     return rounded(report, "value")
 

@@ -264,10 +264,10 @@ def quarantine_bars(spark, sf):
 def quarantine_signals(spark, sf):
     """Signals that would list every mention of their hour; only those with at most two pass."""
     m = v.mentions(spark, sf).withColumn("ts", F.date_trunc("hour", "ts"))
-    counted = m.groupBy("ticker", "ts").agg(F.count("*").alias("n"))
+    counted = m.groupBy("ticker", "ts").agg(F.collect_list("article_id").alias("contributors"))
     listed = counted.select(
         signal_id(ts="ts").alias("signal_id"), "ticker", "ts", F.lit(None).cast("array<string>").alias("event_tags"),
-        F.array_repeat(F.lit(1).cast("bigint"), F.least(F.col("n"), F.lit(3)).cast("int")).alias("contributors"),
+        "contributors",
     )
     return _errors(vd.check_signals(listed), "signal_id")
 
@@ -319,6 +319,12 @@ def orphans(spark, sf):
     return out
 
 
+@query("ambiguous_ids", "SELECT id, count(*) AS keys FROM (SELECT DISTINCT id, url FROM v_clean) GROUP BY id HAVING count(*) > 1")
+def ambiguous_ids(spark, sf):
+    """No two addresses share an id."""
+    return vd.ambiguous_ids(v.clean_articles(spark, sf), "id", ["url"])
+
+
 @query("dup_keys", "SELECT url, count(*) AS copies FROM v_article GROUP BY url HAVING count(*) > 1")
 def dup_keys(spark, sf):
     return vd.duplicate_keys(v.articles(spark, sf), ["url"])
@@ -395,12 +401,12 @@ def _shown_links(links):
 
 @query("cashtag_links", _link_sql("SELECT * FROM v_cashtag"))
 def cashtag_links(spark, sf):
-    return _shown_links(ln.link_cashtags(v.linker_articles(spark, sf), v.tickers(spark, sf)))
+    return _shown_links(ln.link_cashtags(v.linker_articles(spark, sf), v.linker_tickers(spark, sf)))
 
 
 @query("dict_links", _link_sql("SELECT * FROM v_dict"))
 def dict_links(spark, sf):
-    return _shown_links(ln.link_dictionary(v.linker_articles(spark, sf), v.tickers(spark, sf)))
+    return _shown_links(ln.link_dictionary(v.linker_articles(spark, sf), v.linker_tickers(spark, sf)))
 
 
 _ALL_LINKS = (
@@ -411,7 +417,7 @@ _ALL_LINKS = (
 
 @query("link_tickers", _link_sql(_ALL_LINKS))
 def link_tickers(spark, sf):
-    return _shown_links(ln.link_tickers(v.linker_articles(spark, sf), v.tickers(spark, sf)))
+    return _shown_links(ln.link_tickers(v.linker_articles(spark, sf), v.linker_tickers(spark, sf)))
 
 
 @query(
@@ -419,15 +425,37 @@ def link_tickers(spark, sf):
     _link_sql("SELECT * FROM v_cashtag").replace("SELECT article_id,", "SELECT article_id + 1000000000 AS article_id,", 1),
 )
 def links_stored(spark, sf):
-    linked = ln.link_cashtags(v.linker_articles(spark, sf), v.tickers(spark, sf))
+    linked = ln.link_cashtags(v.linker_articles(spark, sf), v.linker_tickers(spark, sf))
     return _shown_links(ln.stored_links(linked, F.col("article_id") + 1000000000))
 
 
-@query("cashtag_spans", """SELECT id AS article_id, truth AS ticker, '0-' || (length(truth) + 1) AS first_span
-    FROM v_linker WHERE truth IN (SELECT symbol FROM v_ticker)""")
+_SPAN_SQL = r"""SELECT * FROM (WITH RECURSIVE a AS (SELECT l.id, c.ticker, l.text, c.term FROM v_linker l JOIN ({found}) c ON c.article_id = l.id),
+    w AS (SELECT id, ticker, term, text, CAST(0 AS BIGINT) AS done, strpos(text, term) AS pos FROM a
+      UNION ALL SELECT id, ticker, term, text, done + pos + length(term) - 1,
+        strpos(substr(text, CAST(done + pos + length(term) AS BIGINT)), term) FROM w WHERE pos > 0)
+    SELECT id AS article_id, ticker, string_agg(s || '-' || e, ',' ORDER BY s) AS spans FROM (SELECT DISTINCT id, ticker,
+        done + pos - 1 AS s, done + pos - 1 + length(term) AS e FROM w WHERE pos > 0
+        AND (done + pos = 1 OR NOT regexp_matches(substr(text, CAST(done + pos - 1 AS BIGINT), 1), '[\p{L}\p{Nd}$#]'))
+        AND NOT regexp_matches(substr(text, CAST(done + pos + length(term) AS BIGINT), 1), '[\p{L}\p{Nd}#]'))
+    GROUP BY id, ticker)"""
+
+
+def _shown_spans(spans):
+    each = F.transform("char_spans", lambda s: F.concat_ws("-", s["start"], s["end"]))
+    return spans.select("article_id", "ticker", F.array_join(each, ",").alias("spans"))
+
+
+@query("cashtag_spans", _SPAN_SQL.replace("{found}", "SELECT article_id, ticker, term FROM v_cashtag"))
 def cashtag_spans(spark, sf):
-    """Every text starts with its cashtag, so that is where the first span lies."""
-    spans = ln.cashtag_spans(v.linker_articles(spark, sf), v.tickers(spark, sf))
-    first = F.col("char_spans")[0]
-    at_start = spans.filter(first["start"] == 0)
-    return at_start.select("article_id", "ticker", F.concat_ws("-", first["start"], first["end"]).alias("first_span"))
+    """All places of all known cashtags."""
+    return _shown_spans(ln.cashtag_spans(v.linker_articles(spark, sf), v.linker_tickers(spark, sf)))
+
+
+@query(
+    "link_spans",
+    _SPAN_SQL.replace("{found}", "SELECT article_id, ticker, term FROM v_cashtag UNION SELECT article_id, ticker, term FROM v_dict"),
+)
+def link_spans(spark, sf):
+    """All places of all matched terms of every link, whatever the method."""
+    articles = v.linker_articles(spark, sf)
+    return _shown_spans(ln.with_spans(ln.link_tickers(articles, v.linker_tickers(spark, sf)), articles))

@@ -8,11 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.fields import as_utc, has_offset
-from tickerloom.params import SEC_FORMS
+from tickerloom.params import CASHTAG_PATTERN, SEC_FORMS
 from tickerloom.schemas import PRICE_BAR, RAW_LANDED, TICKER_CSV
 
-_CASHTAG = r"\$[A-Z.\-]{1,10}"
-
 
 def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     """The landed NDJSON as it is; a line that does not parse keeps its text in ``_corrupt``."""
@@ -24,15 +22,18 @@ def read_raw_json(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def map_news_items(landed: DataFrame) -> DataFrame:
-    """Landed rows to raw items: timestamps parsed to UTC (no offset, no timestamp), language lower-cased."""
+def map_news_items(landed: DataFrame, keep_corrupt: bool = False) -> DataFrame:
+    """Landed rows to raw items: timestamps parsed to UTC (no offset, no timestamp), language lower-cased.
+
+    ``keep_corrupt`` carries the text of lines that didn't parse along.
+    """
 
     def instant(col: str):
         return F.when(has_offset(F.col(col)), as_utc(F.col(col))).alias(col)
 
     return landed.select(
         "source", "source_id", "url", instant("published_at"), instant("retrieved_at"), "title", "text",
-        F.lower("lang").alias("lang"), "license", "author", "meta",
+        F.lower("lang").alias("lang"), "license", "author", "meta", *(["_corrupt"] if keep_corrupt else []),
     )
 
 
@@ -43,7 +44,7 @@ def map_filings(landed: DataFrame, forms: list[str] = SEC_FORMS) -> DataFrame:
 
 def map_posts(landed: DataFrame) -> DataFrame:
     """Social posts, only those that name a ticker with a cashtag."""
-    return map_news_items(landed).filter(F.col("text").rlike(_CASHTAG))
+    return map_news_items(landed).filter(F.col("text").rlike(CASHTAG_PATTERN))
 
 
 def keep_fields(df: DataFrame, fields: list[str]) -> DataFrame:

@@ -78,7 +78,7 @@ def raw_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("?utm_source=feed"), F.lit("#top"), F.lit("")), (F.pmod("doc_id", F.lit(3)) + 1).cast("int")
     )
     address = F.concat(
-        F.lit("https://"), F.col("source"), F.lit(".example.com/a/"), F.substring(F.sha1("text"), 1, 12), suffix
+        F.lit("https://"), F.col("source"), F.lit(".example.com/a/"), F.sha1("text"), suffix
     )
     return table(spark, sf_dir, "documents").select(
         source.alias("source"),
@@ -169,11 +169,28 @@ def tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def linker_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents with a known cashtag in front and a known name at the end, for the linker."""
+    """Documents with a known cashtag in front, and two known names and a cashtag before a stop at the end."""
+
+    def number(modulus: int) -> Column:
+        return F.pmod("doc_id", F.lit(modulus))
+
     body = F.concat(
-        F.lit("$"), letters(F.pmod("doc_id", F.lit(97))), F.lit(" "), F.col("text"),
-        F.lit(" Supplier#"), F.lpad(F.pmod("doc_id", F.lit(89)).cast("string"), 9, "0"), F.lit("."),
+        F.lit("$"), letters(number(97)), F.lit(" "), F.col("text"),
+        F.lit(" Supplier#"), F.lpad(number(89).cast("string"), 9, "0"), F.lit(". Supplier No "),
+        number(83).cast("string"), F.lit(", see $"), letters(number(79)), F.lit("."),
     )
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"), body.alias("text"), letters(F.pmod("doc_id", F.lit(97))).alias("truth")
+    named = F.array(*[letters(number(m)) for m in (97, 89, 83, 79)])
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), body.alias("text"), named.alias("named"))
+
+
+def linker_tickers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ticker dimension with one more alias, of three words."""
+    phrase = F.concat(F.lit("Supplier No "), F.regexp_replace("cik", "^0+(?=.)", ""))
+    own = F.coalesce("aliases", F.array().cast("array<string>"))
+    return tickers(spark, sf_dir).withColumn("aliases", F.array_union(own, F.array(phrase)))
+
+
+def linker_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linker_articles(spark, sf_dir).select(
+        F.col("id").alias("article_id"), F.explode(F.array_distinct("named")).alias("ticker")
     )

@@ -5,25 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.operators.dedupe import keep_last_in_batch
+from tickerloom.session import stored
+
 ZONES = ("raw", "clean", "features")
 
 
 def write_zone(
-    df: DataFrame, root: str, zone: str, table: str, ts: str, sort: list[str] | None = None, files_per_date: int = 16
+    df: DataFrame, root: str, zone: str, table: str, ts: str, sort: list[str] | None = None, mode: str = "replace"
 ) -> str:
-    """Replace the dates present in ``df`` and leave the other dates as they are.
+    """Write rows by date. ``replace`` replaces the dates present in ``df`` and leaves the others as they are;
+    ``append`` adds the rows to whatever the dates hold.
 
-    Rows are spread over (date, salt) so that a heavy day is written by several tasks (up to
-    ``files_per_date``), and sorted so that row-group statistics can skip.
+    Rows are rebalanced by date, so that Spark cuts a heavy day into tasks of its usual partition size and packs
+    light ones, and sorted so that row-group statistics can skip.
     """
+    if mode not in ("replace", "append"):
+        raise ValueError(f"no such mode: {mode}")
     if zone not in ZONES:
         raise ValueError(f"no such zone: {zone}")
     path = f"{root.rstrip('/')}/{zone}/{table}"
     dated = df.withColumn("date", F.to_date(ts))
     (
-        dated.repartition("date", F.pmod(F.xxhash64(ts, *(sort or [])), F.lit(files_per_date)))
+        dated.hint("rebalance", "date")
         .sortWithinPartitions("date", *(sort or []), ts)
-        .write.mode("overwrite")
+        .write.mode("append" if mode == "append" else "overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
@@ -39,3 +45,30 @@ def read_zone(spark: SparkSession, root: str, zone: str, table: str, start=None,
     if end is not None:
         df = df.filter(F.col("date") <= F.lit(end).cast("date"))
     return df
+
+
+def drop_dates(spark: SparkSession, root: str, zone: str, table: str, before=None, dates: list | None = None) -> list[str]:
+    """Delete whole date folders, those before a date or those listed, without reading a row; gives what went."""
+    jvm, path = spark.sparkContext._jvm, f"{root.rstrip('/')}/{zone}/{table}"
+    top = jvm.org.apache.hadoop.fs.Path(path)
+    fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    wanted, gone = {str(d) for d in dates or []}, []
+    for status in fs.listStatus(top):
+        name = status.getPath().getName()
+        date = name.removeprefix("date=")
+        if name.startswith("date=") and (date in wanted or (before is not None and date < str(before))):
+            fs.delete(status.getPath(), True)
+            gone.append(date)
+    return sorted(gone)
+
+
+def upsert_zone(df: DataFrame, root: str, zone: str, table: str, ts: str, keys: list[str], seq: list[str]) -> str:
+    """Upsert by key within the date of a row: only the dates present in ``df`` are read and written again."""
+    spark = df.sparkSession
+    path = f"{root.rstrip('/')}/{zone}/{table}"
+    new = stored(keep_last_in_batch(df.withColumn("date", F.to_date(ts)), ["date", *keys], seq), "zone-upsert")
+    touched = [r.date for r in new.select("date").distinct().collect()]
+    old = spark.read.schema(new.schema).parquet(path).filter(F.col("date").isin(touched))
+    kept = old.join(new.select("date", *keys), ["date", *keys], "left_anti")
+    merged = stored(kept.unionByName(new).drop("date"), "zone-merged")
+    return write_zone(merged, root, zone, table, ts, keys)

@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tickerloom.operators.dedupe import keep_last_in_batch
 from tickerloom.operators.normalize import normalize_articles
-from tickerloom.operators.validate import check_raw_items, valid_rows
+from tickerloom.operators.validate import check_raw_items, quarantined_rows, valid_rows
 from tickerloom.schemas import RAW_LANDED
 from tickerloom.sources.readers import map_news_items
 
@@ -61,17 +61,26 @@ def compact_log(spark: SparkSession, log: str, keys: list[str], target: str) ->
 # Articles
 
 def ingest_articles(spark: SparkSession, landed_path: str, root: str, **options: Any) -> str:
-    """Landed items, mapped, validated, normalised, and upserted by URL; invalid items do not get through."""
+    """Landed items, mapped, validated, normalised, and upserted by URL into the log whose path is returned.
+
+    Items that break a rule, and lines that don't parse, go to ``root/quarantine`` with the names of the rules, one
+    folder per micro-batch as in the log; nothing is lost.
+    """
+    options = {"columnNameOfCorruptRecord": "_corrupt"} | options
     landed = file_stream(spark, landed_path, RAW_LANDED, "json", **options)
-    clean = normalize_articles(valid_rows(check_raw_items(map_news_items(landed))))
+    checked = check_raw_items(map_news_items(landed, keep_corrupt=True))
+    unreadable = F.when(F.col("_corrupt").isNotNull(), F.array(F.lit("unreadable"))).otherwise(F.col("errors"))
     log = f"{root}/log"
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
-        last = keep_last_in_batch(batch, ["url"], ["retrieved_at", "published_at", "hash"])
+        good = normalize_articles(valid_rows(batch).drop("_corrupt"))
+        last = keep_last_in_batch(good, ["url"], ["retrieved_at", "published_at", "hash"])
         last.write.mode("overwrite").parquet(f"{log}/batch={batch_id}")
+        quarantined_rows(batch).write.mode("overwrite").parquet(f"{root}/quarantine/batch={batch_id}")
 
     query = (
-        clean.writeStream.foreachBatch(upsert)
+        checked.withColumn("errors", unreadable)
+        .writeStream.foreachBatch(upsert)
         .option("checkpointLocation", f"{root}/checkpoint")
         .trigger(availableNow=True)
         .start()
