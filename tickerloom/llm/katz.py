@@ -28,8 +28,9 @@ from tickerloom.llm.common import Batches, bytes_of, fold_of
 from tickerloom.session import stored
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-#: Codes of the end and the beginning of a text; no word has them.
-END, BEGIN = np.uint64(1), np.uint64(2)
+#: Codes of the end and the beginning of a text. Codes of words are ``SHORT`` or more; below it, from ``FIRST`` on, the
+#: most frequent words have short codes, their places among them, so that packed occurrences take few bytes.
+END, BEGIN, FIRST, SHORT = np.uint64(1), np.uint64(2), np.uint64(3), np.uint64(1 << 20)
 #: Counts up to this are discounted.
 SMALL = 5
 #: Words that every task knows, occurrences that a map task packs at once, and that a partition holds.
@@ -52,7 +53,7 @@ def codes_of(text: bytes) -> np.ndarray:
     """Codes of the words of a whole text, then of its end."""
     words = text.translate(_LOWER).split()
     code = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
-    return np.append(np.where(code <= BEGIN, code + np.uint64(3), code), END)
+    return np.append(np.where(code < SHORT, code + SHORT, code), END)
 
 
 def mixed(code: np.ndarray) -> np.ndarray:
@@ -86,7 +87,7 @@ def discounts(counts: list[int]) -> np.ndarray:
 
 @dataclass
 class Unigrams:
-    """Totals, discounts, and the most frequent words."""
+    """Totals, discounts, and the most frequent words. Its methods take short codes where they say so."""
 
     tokens: int
     types: int
@@ -106,13 +107,19 @@ class Unigrams:
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.tokens + 0.5 * (self.types + 1)))
 
-    def look_up(self, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of frequent words, and which words are known to be frequent."""
+    def short(self, code: np.ndarray) -> np.ndarray:
+        """Codes with the frequent words' codes made short."""
         if not len(self.head):
-            return np.zeros(len(code), np.int64), np.zeros(len(code), bool)
+            return code
         at = np.minimum(np.searchsorted(self.head, code), len(self.head) - 1)
-        known = self.head[at] == code
-        return np.where(known, self.head_count[at], 0), known
+        return np.where(self.head[at] == code, at.astype(np.uint64) + FIRST, code)
+
+    def look_up(self, short: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of frequent words, and which words are frequent."""
+        known = (short >= FIRST) & (short < SHORT)
+        count = np.zeros(len(short), np.int64)
+        count[known] = self.head_count[(short[known] - FIRST).astype(np.int64)]
+        return count, known
 
     def pieces(self, context: np.ndarray, part_tokens: int) -> np.ndarray:
         """Into how many pieces the occurrences of a context are split."""
@@ -161,9 +168,11 @@ def _count_words(batches: Batches) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(code.view(np.int64)), pa.array(n)], names=["code", "n"])
 
 
-def _occurrences(batches: Batches) -> Iterator[tuple[np.ndarray, ...]]:
-    """Context, word, row and training mark of every occurrence."""
+def _occurrences(uni: Unigrams, batches: Batches) -> Iterator[tuple[np.ndarray, ...]]:
+    """Context, word, row and training mark of every occurrence, in short codes."""
     for rows, train, codes, sizes in _texts(batches):
+        distinct, at = np.unique(codes, return_inverse=True)
+        codes = uni.short(distinct)[at]
         context = np.r_[BEGIN, codes[:-1]]
         context[np.cumsum(sizes)[:-1]] = BEGIN
         yield context, codes, np.repeat(rows, sizes), np.repeat(train, sizes)
@@ -173,14 +182,35 @@ _PARTS = pa.schema([("part", pa.int32()), ("kind", pa.string()), ("data", pa.bin
 _PARTS_SQL = "part int, kind string, data binary"
 
 
+def _packed(context: np.ndarray, word: np.ndarray, row: np.ndarray, train: np.ndarray, count: np.ndarray) -> bytes:
+    """Occurrences in order of context and word. Counts are packed only for words that aren't frequent."""
+    new = np.flatnonzero(np.r_[True, context[1:] != context[:-1]])
+    sizes = np.diff(np.r_[new, len(context)]).astype(np.int32)
+    base = row.min()
+    mark = (row - base) << 1 | train
+    mark = mark.astype(np.uint32) if mark.max() < 1 << 32 else mark
+    rare = word >= SHORT
+    return pack(context[new], sizes, word if rare.any() else word.astype(np.uint32), np.array([base]), mark, count[rare].astype(np.int32))
+
+
+def _unpacked(uni: Unigrams, data: bytes) -> tuple[np.ndarray, ...]:
+    context, sizes, word, base, mark, rare = unpack(data)
+    word, mark = word.astype(np.uint64), mark.astype(np.int64)
+    count, known = uni.look_up(word)
+    if len(rare):
+        count[~known] = rare
+    return np.repeat(context, sizes), word, (mark >> 1) + base[0], (mark & 1).astype(bool), count
+
+
 def _dealt(part: np.ndarray, kind: str, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
     """Arrays cut by part, each cut packed, in batches of bounded bytes."""
-    order = np.argsort(part, kind="stable")
+    order = np.lexsort((arrays[1], arrays[0], part)) if kind != "count" else np.argsort(part, kind="stable")
     part, arrays = part[order], [a[order] for a in arrays]
     cut = np.flatnonzero(np.r_[True, part[1:] != part[:-1], True]) if len(part) else np.zeros(1, int)
     out, held = [], 0
     for a, b in zip(cut[:-1], cut[1:], strict=True):
-        data = pack(*(x[a:b] for x in arrays))
+        own = [x[a:b] for x in arrays]
+        data = pack(*own) if kind == "count" else _packed(*own)
         out.append((int(part[a]), kind, data))
         held += len(data)
         if held > 4 << 20 or b == len(part):
@@ -261,6 +291,8 @@ def _score(uni: Unigrams, bi: Bigrams, data: bytes) -> tuple[np.ndarray, np.ndar
 
 
 def _learn_words(texts: DataFrame, head_words: int) -> tuple[DataFrame, Unigrams]:
+    if head_words > int(SHORT - FIRST):
+        raise ValueError(f"at most {SHORT - FIRST} words have short codes")
     counts = texts.filter("train").mapInArrow(_count_words, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
     counts = stored(counts, "katz-words")
     end = int(END)
@@ -309,29 +341,29 @@ def score_texts(
     # Rare words: their occurrences meet their counts.
     def rare(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = words.value
-        for context, word, row, train in _occurrences(batches):
+        for context, word, row, train in _occurrences(own, batches):
             count, known = own.look_up(word)
             yield from _sums(row, tokens=np.ones(len(row)), known=known.astype(float), base=np.where(known, own.base(count), 0.0))
             part = (mixed(word[~known]) % np.uint64(parts)).astype(np.int64)
-            yield from _dealt(part, "rare", context[~known], word[~known], row[~known], train[~known])
+            yield from _dealt(part, "rare", *(a[~known] for a in (context, word, row, train, count)))
 
     def rare_counts(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = words.value
         for batch in batches:
             code, n = batch.column("code").to_numpy().view(np.uint64), batch.column("n").to_numpy()
-            tail = ~own.look_up(code)[1]
+            tail = own.short(code) >= SHORT
             yield from _dealt((mixed(code[tail]) % np.uint64(parts)).astype(np.int64), "count", code[tail], n[tail])
 
     def resolve(batches: Batches) -> Iterator[pa.RecordBatch]:
-        own, known, open_packs = words.value, [], []
+        own, known, open_packs = words.value, [], []  # all of one part
         for kind, data in _gather(batches):
             if kind == "sum":
                 yield _rows([(0, kind, data)])
             else:
-                (known if kind == "count" else open_packs).append(unpack(data))
+                (known.append(unpack(data)) if kind == "count" else open_packs.append(_unpacked(own, data)))
         if not open_packs:
             return
-        context, word, row, train = _joined(open_packs, 4)
+        context, word, row, train, _ = _joined(open_packs, 5)
         count = np.zeros(len(word), np.int64)
         if known:
             code, n = _joined(known, 2)
@@ -350,14 +382,14 @@ def score_texts(
     # All bigrams: merged by context.
     def common(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = words.value
-        for context, word, row, train in _occurrences(batches):
+        for context, word, row, train in _occurrences(own, batches):
             count, known = own.look_up(word)
             context, word, row, train, count = (a[known] for a in (context, word, row, train, count))
             part = _context_part(own, context, word, parts, part_tokens)
             yield from _dealt(part, "gram", context, word, row, train, count)
 
     def merge(batches: Batches) -> Iterator[pa.RecordBatch]:
-        packs = [unpack(data) for _, data in _gather(batches)]
+        packs = [_unpacked(words.value, data) for _, data in _gather(batches)]
         if packs:
             yield _rows([(0, kind, data) for kind, data in _merge(words.value, packs, part_tokens)])
 
