@@ -45,11 +45,12 @@ def _majority_bits(hashes: pd.Series) -> pd.Series:
     n = hashes.map(len).to_numpy()
     out = np.zeros(len(n), dtype="int64")
     if n.sum():
-        positions = np.arange(_BITS)
-        bits = (np.concatenate(hashes.to_numpy())[:, None] >> positions) & 1
+        every = np.concatenate(hashes.to_numpy())
         starts = np.concatenate([[0], np.cumsum(n[n > 0])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0)
-        out[n > 0] = ((2 * ones > n[n > 0, None]).astype("int64") << positions).sum(axis=1)
+        # One bit at a time: a batch of very long titles takes a few numbers per word, not one per word and bit.
+        for bit in range(_BITS):
+            ones = np.add.reduceat((every >> bit) & 1, starts)
+            out[n > 0] |= (2 * ones > n[n > 0]).astype("int64") << bit
     return pd.Series(out)
 
 

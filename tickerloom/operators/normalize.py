@@ -92,16 +92,22 @@ def _distinct_lines(text: Column) -> Column:
     return F.array_distinct(F.filter(trimmed, lambda s: s != ""))
 
 
-def strip_boilerplate(docs: DataFrame, min_share: float, min_docs: int = 2) -> DataFrame:
-    """Remove each source's repeated lines from its documents, without taking the documents apart."""
+def strip_boilerplate(docs: DataFrame, min_share: float, min_docs: int = 2, salts: int = 64) -> DataFrame:
+    """Remove each source's repeated lines from its documents, without taking the documents apart.
+
+    The short lists are repeated ``salts`` times and documents are dealt by their text as well as their source, so that
+    one source with a great part of all documents meets its list in many tasks.
+    """
     drop = (
         boilerplate_lines(docs, min_share, min_docs)
         .groupBy("source")
         .agg(F.collect_set("line").alias("drop_lines"))
+        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     )
+    docs = docs.withColumn("_salt", F.pmod(F.xxhash64("text"), F.lit(salts)).cast("int"))
     kept = F.filter(
         F.split("text", "\n"),
         lambda s: ~F.array_contains(F.col("drop_lines"), F.trim(s)),
     )
     stripped = F.when(F.col("drop_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    return docs.join(drop, "source", "left").withColumn("text", stripped).drop("drop_lines")
+    return docs.join(drop, ["source", "_salt"], "left").withColumn("text", stripped).drop("drop_lines", "_salt")

@@ -7,7 +7,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans, KMeansModel
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tickerloom.functions.blocks import block_join
 from tickerloom.functions.vectors import cosine, unit
+from tickerloom.session import stored
 
 
 def similar_to_vector(embeds: DataFrame, query: Sequence[float], limit: int = 10, threshold: float = 0.7) -> DataFrame:
@@ -27,8 +28,8 @@ def similar_to_vector(embeds: DataFrame, query: Sequence[float], limit: int = 10
 
 def similar_to_article(embeds: DataFrame, article_id: int, limit: int = 10, threshold: float = 0.7) -> DataFrame:
     """As above against a stored vector, the article itself left out; an unknown id gives no rows."""
-    stored = embeds.filter(F.col("article_id") == article_id).select("embedding").scalar()
-    others = embeds.filter(F.col("article_id") != article_id).withColumn("_stored", stored)
+    own = embeds.filter(F.col("article_id") == article_id).select("embedding").scalar()
+    others = embeds.filter(F.col("article_id") != article_id).withColumn("_stored", own)
     scored = others.select("article_id", cosine(F.col("embedding"), F.col("_stored")).alias("similarity"))
     return scored.filter(F.col("similarity") > threshold).orderBy(F.desc("similarity"), "article_id").limit(limit)
 
@@ -64,30 +65,75 @@ def similar_topk(
 ) -> DataFrame:
     """Exact top k for every row of ``queries`` (query_id, embedding), an article never matching itself.
 
-    Queries and articles meet block against block; each meeting hands on k rows per query at most.
+    Queries go to the tasks in blocks of at most ``block_rows``, and every block passes over the embeddings where they
+    lie: these are never shuffled, and a task hands on k rows per query of the block at most.
     """
-    left = queries.select("query_id", unit(F.col("embedding")).alias("vec"), F.lit(0).alias("all"))
-    right = embeds.select("article_id", unit(F.col("embedding")).alias("vec"), F.lit(0).alias("all"))
-    found = block_join(
-        left.filter("vec is not null"), right.filter("vec is not null"), ["all"], "query_id", "article_id",
-        _topk_kernel(k, threshold), _TOPK_SCHEMA, block_rows,
-    )
+    asked = stored(
+        queries.select("query_id", unit(F.col("embedding")).alias("vec")).filter("vec is not null")
+        .withColumn("_n", F.monotonically_increasing_id()),
+        "similar-queries",
+    )
+    articles = embeds.select("article_id", unit(F.col("embedding")).alias("vec")).filter("vec is not null")
+    found, last = None, -1
+    while True:
+        # The next block in the order of the row numbers, a bounded read.
+        rows = asked.filter(F.col("_n") > last).orderBy("_n").limit(block_rows).collect()
+        if not rows:
+            break
+        last = rows[-1]._n
+        block = embeds.sparkSession.sparkContext.broadcast(
+            (np.array([r.query_id for r in rows]), np.array([r.vec for r in rows], dtype="float64"))
+        )
+        part = articles.mapInPandas(_topk_of_block(block, k, threshold), _TOPK_SCHEMA)
+        found = part if found is None else found.unionByName(part)
+    if found is None:
+        return _best(embeds.sparkSession.createDataFrame([], _TOPK_SCHEMA), k)
     return _best(found, k)
 
 
-def fit_cells(embeds: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10) -> KMeansModel:
-    """Cluster unit vectors into the cells of an inverted-file index."""
+def _topk_of_block(block, k: int, threshold: float):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        ids, vecs = block.value
+        best = pd.DataFrame({"query_id": [], "article_id": [], "similarity": []})
+        for batch in batches:
+            if not len(batch):
+                continue
+            sims = vecs @ np.stack(batch["vec"].to_numpy()).T
+            articles = batch["article_id"].to_numpy()
+            q, a = np.nonzero((sims > threshold) & (articles[None, :] != ids[:, None]))
+            new = pd.DataFrame({"query_id": ids[q], "article_id": articles[a], "similarity": sims[q, a]})
+            both = pd.concat([best, new]).sort_values(["query_id", "similarity", "article_id"], ascending=[True, False, True])
+            best = both.groupby("query_id", sort=False).head(k)
+        yield best.astype({"query_id": "int64", "article_id": "int64", "similarity": "float64"})
+
+    return run
+
+
+def fit_cells(embeds: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10) -> np.ndarray:
+    """Centres of the cells of an inverted-file index, from clustering the unit vectors."""
     features = embeds.select(array_to_vector(unit(F.col("embedding"))).alias("features")).filter("features is not null")
     features = features.persist(StorageLevel.DISK_ONLY)  # read once per iteration
     try:
-        return KMeans(k=lists, seed=seed, maxIter=max_iter).fit(features)
+        return np.stack(KMeans(k=lists, seed=seed, maxIter=max_iter).fit(features).clusterCenters())
     finally:
         features.unpersist()
 
 
-def assign_cells(embeds: DataFrame, model: KMeansModel, probes: int = 1) -> DataFrame:
+def chosen_cells(embeds: DataFrame, lists: int = 100) -> np.ndarray:
+    """Centres by a fixed rule: the unit vectors of the ``lists`` articles whose ids hash lowest."""
+    hashed = F.sha1(F.col("article_id").cast("string"))
+    vec = unit(F.col("embedding"))
+    rows = embeds.select(hashed.alias("h"), vec.alias("vec")).filter("vec is not null").orderBy("h").limit(lists).collect()
+    return np.array([r.vec for r in rows])
+
+
+def lists_for(rows: int, per_list: int = 1000, least: int = 16) -> int:
+    """How many cells to use, so that a cell holds about as many articles however many there are."""
+    return max(least, -(-rows // per_list))
+
+
+def assign_cells(embeds: DataFrame, centers: np.ndarray, probes: int = 1) -> DataFrame:
     """Add ``cells``: the ``probes`` nearest cells of each vector, nearest first."""
-    centers = np.stack(model.clusterCenters())
     squares = (centers**2).sum(axis=1)[None, :]
 
     def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -105,21 +151,21 @@ def assign_cells(embeds: DataFrame, model: KMeansModel, probes: int = 1) -> Data
 def ann_topk(
     embeds: DataFrame,
     queries: DataFrame,
-    model: KMeansModel,
+    centers: np.ndarray,
     k: int = 10,
     threshold: float = 0.7,
     probes: int = 10,
     block_rows: int = 4096,
 ) -> DataFrame:
     """Approximate top k: a query is compared with the articles of its nearest cells only."""
-    left = assign_cells(queries, model, probes).select("query_id", "vec", F.explode("cells").alias("cell"))
-    right = assign_cells(embeds, model).select("article_id", "vec", F.col("cells")[0].alias("cell"))
+    left = assign_cells(queries, centers, probes).select("query_id", "vec", F.explode("cells").alias("cell"))
+    right = assign_cells(embeds, centers).select("article_id", "vec", F.col("cells")[0].alias("cell"))
     found = block_join(
         left, right, ["cell"], "query_id", "article_id", _topk_kernel(k, threshold), _TOPK_SCHEMA, block_rows
     )
     return _best(found, k)
 
 
-def topics(embeds: DataFrame, model: KMeansModel) -> DataFrame:
+def topics(embeds: DataFrame, centers: np.ndarray) -> DataFrame:
     """Add the topic (cell) of each article."""
-    return assign_cells(embeds, model).withColumn("topic", F.col("cells")[0]).drop("vec", "cells")
+    return assign_cells(embeds, centers).withColumn("topic", F.col("cells")[0]).drop("vec", "cells")

@@ -188,20 +188,42 @@ def similar_topk_batch(spark, sf):
     return rounded(sim.similar_topk(embeds, queries, 5, _THRESHOLD), "similarity")
 
 
-@query("ann_topk")
+_CELLS = """centre AS (SELECT row_number() OVER (ORDER BY sha1(CAST(article_id AS VARCHAR))) - 1 AS cell, embedding FROM v_embed
+      QUALIFY row_number() OVER (ORDER BY sha1(CAST(article_id AS VARCHAR))) <= greatest(16, (SELECT ceil(count(*) / 1000.0) FROM v_embed))),
+    near AS (SELECT e.*, c.cell, row_number() OVER (PARTITION BY e.article_id
+        ORDER BY list_cosine_similarity(e.embedding, c.embedding) DESC, c.cell) AS place FROM v_embed e CROSS JOIN centre c)"""
+
+
+@query(
+    "ann_topk",
+    f"""SELECT * FROM (WITH {_CELLS}
+    SELECT query_id, article_id, round(similarity, 6) AS similarity, rank FROM (
+      SELECT a.article_id AS query_id, b.article_id, list_cosine_similarity(a.embedding, b.embedding) AS similarity,
+        row_number() OVER (PARTITION BY a.article_id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC,
+          b.article_id) AS rank
+      FROM near a JOIN near b ON a.cell = b.cell AND a.article_id <> b.article_id AND a.place <= 6 AND b.place = 1
+      WHERE list_cosine_similarity(a.embedding, b.embedding) > {_THRESHOLD}) WHERE rank <= 5)""",
+)
 def ann_topk(spark, sf):
-    """Approximate neighbours of every article through the nearest cells; recall is measured in the tests."""
+    """Approximate neighbours of every article through the nearest cells; recall is measured in the tests.
+
+    The number of cells follows the number of articles, and centres follow a rule that SQL can repeat.
+    """
     embeds = v.embeddings(spark, sf)
-    model = sim.fit_cells(embeds, lists=16)
+    centers = sim.chosen_cells(embeds, sim.lists_for(embeds.count()))
     queries = embeds.select(F.col("article_id").alias("query_id"), "embedding")
-    return rounded(sim.ann_topk(embeds, queries, model, 5, _THRESHOLD, probes=6), "similarity")
+    return rounded(sim.ann_topk(embeds, queries, centers, 5, _THRESHOLD, probes=6), "similarity")
 
 
-@query("topics")
+@query(
+    "topics",
+    f"""SELECT * FROM (WITH {_CELLS} SELECT CAST(cell AS INTEGER) AS topic, ticker, CAST(published_at AS DATE) AS date,
+      count(*) AS articles FROM near WHERE place = 1 GROUP BY 1, 2, 3)""",
+)
 def topics(spark, sf):
     """Articles per topic, ticker and day: the narrative heatmap."""
     embeds = v.embeddings(spark, sf)
-    placed = sim.topics(embeds, sim.fit_cells(embeds, lists=8))
+    placed = sim.topics(embeds, sim.chosen_cells(embeds, sim.lists_for(embeds.count())))
     return placed.groupBy("topic", "ticker", F.to_date("published_at").alias("date")).agg(F.count("*").alias("articles"))
 
 

@@ -22,6 +22,12 @@ def _signal_query(sql: str) -> str:
     return f"SELECT {_SIG_SQL} FROM v_signal {sql}"
 
 
+@query("full_scan", "SELECT symbol, name FROM v_ticker")
+def full_scan(spark, sf):
+    """All rows of a table; without a limit, or with 0, none is left out."""
+    return lk.scan(v.tickers(spark, sf).select("symbol", "name"))
+
+
 @query("recent_articles", f"SELECT {_ART_SQL} FROM v_article ORDER BY published_at DESC, id LIMIT 100")
 def recent_articles(spark, sf):
     return lk.recent_articles(v.articles(spark, sf).select(*_ART), 100)
