@@ -199,7 +199,7 @@ FEATURES = 4
 def features(words: int, found: list[tuple[str, int, int, float]], terms: list[Term]) -> list[float]:
     evidence = sum(terms[t].weight * c * (MISSPELLED if e else 1.0) for _, t, e, c in found)
     distinct = len({t for _, t, _, c in found if c >= 0.5})
-    return [math.log1p(evidence), min(evidence, 2.0), math.log1p(distinct), math.log1p(100 * evidence / max(20, words))]
+    return [math.log1p(evidence), min(evidence, 2.0), math.log1p(distinct), math.log1p(100 * evidence / max(200, words))]
 
 
 def _units(text: str) -> dict[str, set[int]]:
@@ -283,7 +283,8 @@ def fit(
     )
     share = F.col("toxic") / toxic
     sure = share / (share + (F.col("clean") + 0.5) / clean)
-    kept = units.filter((F.col("around") >= surroundings) & (F.col("toxic") >= max(4, support * toxic)) & (sure >= precision))
+    # Words that copies of a text repeat have fewer surroundings than documents; inserted terms have more.
+    kept = units.filter((F.col("around") >= F.greatest(F.lit(surroundings), F.col("toxic") / 2)) & (F.col("toxic") >= max(4, support * toxic)) & (sure >= precision))
     rows = kept.orderBy(F.desc("around"), "unit").limit(MAX_TERMS).collect()
     model = Model(choose_terms([(r.unit, r.toxic, r.clean) for r in rows], toxic, clean))
 
@@ -306,13 +307,21 @@ def fit(
     def measured(batches: Batches) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
         for batch in batches:
-            x = [features(*hits(t, automaton, model.benign), model.terms) for t in texts_of(batch)]
-            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
-
-    got = sample.mapInArrow(measured, "label int, x array<double>").collect()  # at most 2 * rows_per_class short rows
+            x, y = [], []
+            for label, text in zip(batch.column("label").to_pylist(), texts_of(batch), strict=True):
+                words, found = hits(text, automaton, model.benign)
+                x.append(features(words, found, model.terms))
+                y.append(label)
+                if label and len(found) > 1:
+                    # One abusive term is enough, so each toxic text also stands for its middle hit alone.
+                    x.append(features(words, [sorted(found, key=lambda h: model.terms[h[1]].weight * h[3])[len(found) // 2]], model.terms))
+                    y.append(label)
+            yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
+
+    got = sample.mapInArrow(measured, "label int, x array<double>").collect()  # at most 3 * rows_per_class short rows
     x = np.array([r.x for r in got]).reshape(-1, FEATURES)
     y = np.array([r.label for r in got], float)
-    weight = np.where(y == 1, 0.5 / toxic, 0.5 / clean) * len(y)
+    weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / clean) * len(y)
     model.coefficients = logistic(x, y, weight).tolist()
     return model
 
