@@ -146,6 +146,11 @@ def hit_rate(returns: DataFrame) -> DataFrame:
     )
 
 
+def report_json(report: DataFrame) -> DataFrame:
+    """A report as one JSON object per row, in the column ``json``; measures that are null are left out."""
+    return report.select(F.to_json(F.struct("*")).alias("json"))
+
+
 def backtest_report(
     returns: DataFrame, universe: DataFrame | None = None, start: Any = None, end: Any = None, by: str = "date"
 ) -> DataFrame:

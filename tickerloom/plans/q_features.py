@@ -395,6 +395,18 @@ def backtest_report(spark, sf):
     return rounded(bt.backtest_report(daily_returns(spark, sf)), "mean_ic", "top_decile_return", "hit_rate")
 
 
+@query(
+    "backtest_json",
+    """SELECT round(avg(CASE WHEN sign(score) = sign(forward_return) THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate,
+      count(*) AS signals FROM v_ranked""",
+)
+def backtest_json(spark, sf):
+    """Measures read back from the report's JSON."""
+    told = bt.report_json(bt.backtest_report(daily_returns(spark, sf)))
+    out = told.select(F.from_json("json", "hit_rate double, signals bigint").alias("r")).select("r.*")
+    return rounded(out, "hit_rate")
+
+
 _IN_WINDOW = """(SELECT * FROM v_dayret WHERE date BETWEEN DATE '2024-01-08' AND DATE '2024-01-21' AND ticker IN
   (SELECT symbol FROM v_ticker WHERE valid_to IS NULL) AND score IS NOT NULL AND forward_return IS NOT NULL)"""
 

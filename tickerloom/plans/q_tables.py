@@ -11,6 +11,7 @@ from tickerloom.operators import dedupe as dd
 from tickerloom.operators import linking as ln
 from tickerloom.operators import maintenance as mt
 from tickerloom.operators import quality as ql
+from tickerloom.operators import stats as st
 from tickerloom.operators import validate as vd
 from tickerloom.operators.features import hashed_embeddings
 from tickerloom.operators.scoring import signal_id
@@ -404,6 +405,51 @@ def retention(spark, sf):
     )
 
 
+# Zones in batches
+
+def _dated_articles(spark, sf):
+    return v.articles(spark, sf).select("id", "url", (F.col("published_at") + F.make_dt_interval(F.pmod("id", F.lit(5)))).alias("ts"))
+
+
+_DATED = "SELECT id, url, published_at + to_days(CAST(id % 5 AS INTEGER)) AS ts FROM v_article"
+
+
+@query("zone_append", _DATED)
+def zone_append(spark, sf):
+    """Two batches of the same days: nothing of the first is lost."""
+    root = work_dir(spark, "zone-append")
+    rows = _dated_articles(spark, sf)
+    for half in (0, 1):
+        zn.write_zone(rows.filter(F.pmod("id", F.lit(2)) == half), root, "clean", "article", "ts", ["id"], mode="append")
+    return zn.read_zone(spark, root, "clean", "article").drop("date")
+
+
+@query("zone_upsert", f"SELECT id, CASE WHEN id % 3 = 0 AND id % 5 = 1 THEN 'new' ELSE url END AS url, ts FROM ({_DATED})")
+def zone_upsert(spark, sf):
+    """A batch upserted into one day; other days aren't touched."""
+    root = work_dir(spark, "zone-upsert")
+    rows = _dated_articles(spark, sf)
+    zn.write_zone(rows, root, "clean", "article", "ts", ["id"])
+    some = rows.filter((F.pmod("id", F.lit(3)) == 0) & (F.pmod("id", F.lit(5)) == 1)).withColumn("url", F.lit("new"))
+    zn.upsert_zone(some, root, "clean", "article", "ts", ["id"], ["url"])
+    return zn.read_zone(spark, root, "clean", "article").drop("date")
+
+
+@query("zone_retention", f"SELECT * FROM ({_DATED}) WHERE ts >= TIMESTAMP '2024-01-03 00:00:00'")
+def zone_retention(spark, sf):
+    """Old days dropped as whole folders."""
+    root = work_dir(spark, "zone-retention")
+    zn.write_zone(_dated_articles(spark, sf), root, "clean", "article", "ts", ["id"])
+    zn.drop_dates(spark, root, "clean", "article", before="2024-01-03")
+    return zn.read_zone(spark, root, "clean", "article").drop("date")
+
+
+@query("bar_rollup_minutes", "SELECT * FROM v_bar1h")
+def bar_rollup_minutes(spark, sf):
+    """Hourly bars from minute bars."""
+    return st.roll_up_bars(v.bars(spark, sf, "1m"), "1h", "hour")
+
+
 # Quality
 
 _SPLIT = "2024-01-01 08:00:00"
