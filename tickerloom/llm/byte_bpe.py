@@ -32,7 +32,7 @@ _NEVER = 1 << 62
 #: Longest byte string that is merged directly without halving it.
 LEAF_BYTES = 4
 #: Entries of a worker's memories of whole pieces and of leaves and windows; either is emptied when it is full.
-MEMORY_PIECES, MEMORY_PARTS = 300_000, 300_000
+MEMORY_PIECES, MEMORY_PARTS = 200_000, 150_000
 #: A rank file beyond this size isn't sent to the workers.
 MAX_RANK_BYTES = 64 << 20
 
