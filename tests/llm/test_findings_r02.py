@@ -39,3 +39,24 @@ def test_near_copies_by_jaccard(spark, tmp_path, paired, monkeypatch):
     assert not [p for p in similar if p[0] in left and p[1] in left]
     # What is left out is a copy of an earlier one.
     assert set(range(len(texts))) - left <= {b for _, b in similar}
+
+
+def test_pages_with_comment_and_several_articles():
+    from tickerloom.llm.html_text import main_text
+
+    body = [f"Paragraph {i} of the body has words enough to be read as running text of the page." for i in range(6)]
+    paragraphs = "".join(f"<p>{p}</p>" for p in body)
+    says = [f"Reader {i} says something about it here, at some length as well." for i in range(3)]
+    for mark in ('class="comment"', 'class="comment-body odd"', 'id="comment-7"', 'itemprop="comment"', "class='user-comment'"):
+        comments = "".join(f"<article {mark}><p>{s}</p></article>" for s in says)
+        for page in (f"<div class=content>{paragraphs}</div><section>{comments}</section>", f"<article>{paragraphs}<div>{comments}</div></article>"):
+            assert main_text(page) == " ".join(body)
+    # Comments without any mark are outweighed by a body outside of them.
+    unmarked = "".join(f"<article><p>{s}</p></article>" for s in says)
+    assert main_text(f"<div class=content>{paragraphs * 2}</div>{unmarked}") == " ".join(body * 2)
+    # Articles of like size stay in order, teasers go, and so do scraps between adverts.
+    teaser = "<article><a href=x>More</a><p>A short teaser.</p></article>"
+    page = f"<article class='post has-comments'>{paragraphs}</article>{teaser}<article class='comments-open'><h2>Second</h2>{paragraphs}</article>"
+    assert main_text(page) == " ".join([*body, "Second", *body])
+    advert = "<div class=ad>Buy</div>" * 3
+    assert main_text(f"<article>{advert}<p>|</p>{advert}{paragraphs}<p>No.</p></article>") == " ".join([*body, "No."])

@@ -2,8 +2,9 @@
 
 Markup is stripped and every block element ends a line. A line weighs what it has of text outside links; lines in menus,
 footers, adverts, forms, comments and the like weigh nothing. Weights are summed over a sliding window of lines: the text
-begins where the sum surges and ends where it has dived. A page that names its article has the text inside it only, where
-any text is a surge; on others a region must rise above a threshold, or be the highest of the page.
+begins where the sum surges and ends where it has dived; it must rise above a threshold, or be the highest of its part of
+the page. Each article element is a part, whose lines weigh more and count with their links, and what is outside of them
+is another. The marked text is kept, unless the regions outside hold much more. An article that is a comment weighs nothing.
 """
 
 from __future__ import annotations
@@ -18,8 +19,11 @@ from pyspark.sql import DataFrame
 
 from tickerloom.llm.common import Batches, texts_of
 
-#: Lines of a window, and the sum from which it is text on a page that doesn't name its article.
+#: Lines of a window, and the sum from which it is text.
 WINDOW, SURGE = 3, 86
+#: How much more a line inside an article element weighs, and how many times the text of the largest article the regions
+#: outside must hold to be taken instead.
+MARKED, OUTWEIGHS = 16, 3
 
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure"
@@ -38,6 +42,8 @@ _BOILERPLATE_NAMES = frozenset(
     " recommendations widget widgets form login search copyright legal pagination pager toolbar skip header".split()
 )
 _BOILERPLATE_STARTS = ("advert", "comment", "cookie", "navig", "navbar", "sidebar")
+#: Class or id of an article element that is a reader's comment.
+_COMMENT = re.compile(r"(?:(?!has|no|with|allow|show)[a-z]+[-_])?(?:comments?|reply|replies)(?:[-_](?!open|closed|off).*)?")
 #: Elements that close themselves when another of them begins.
 _SIBLINGS = {"p": "p", "li": "li", "dd": "dd", "dt": "dt", "option": "option", "tr": "tr", "td": "td", "th": "th"}
 
@@ -71,7 +77,12 @@ def _marks(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
         return True, False
     if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
         return True, False
-    names = re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}")
+    own = f"{found.get('class', '')} {found.get('id', '')}"
+    if tag == "article" and (
+        any(map(_COMMENT.fullmatch, own.split())) or found.get("itemprop") == "comment" or found.get("itemtype", "").endswith("/comment")
+    ):
+        return True, False
+    names = re.split(r"[^a-z0-9]+", own)
     for name in names:
         if name.startswith(_BOILERPLATE_STARTS) or (name in _BOILERPLATE_NAMES and not (name == "header" and in_article)):
             # A wrapper that only names its layout doesn't hide the body or the article.
@@ -167,25 +178,32 @@ def regions(weights: list[int], window: int, surge: int) -> list[tuple[int, int]
     return merged
 
 
+def _text_regions(lines: list[Line], weights: list[int], window: int, surge: int) -> tuple[list[Line], int]:
+    """Lines of the regions of a part of a page, and how many characters they have outside links."""
+    highest = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
+    spans = regions(weights, window, max(1, min(surge, highest)))
+    own = [line for a, b in spans for line, w in zip(lines[a:b], weights[a:b], strict=True) if w]
+    return own, sum(line.weight for line in own)
+
+
 def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     """The main text of a whole page; empty if it has none."""
     lines = lines_of(page)
-    size: dict[int, int] = {}
+    parts: dict[int, list[Line]] = {}
     for line in lines:
-        if line.article and not line.boilerplate:
-            size[line.article] = size.get(line.article, 0) + len(line.text)
-    if size:
+        parts.setdefault(line.article, []).append(line)
+    outside = parts.pop(0, [])
+    taken, size = _text_regions(outside, [line.weight for line in outside], window, surge)
+    found = {}
+    for article, own in parts.items():
+        weights = [0 if line.boilerplate else MARKED * len(line.text) for line in own]
+        found[article] = _text_regions(own, weights, window, surge)
+    largest = max((n for _, n in found.values()), default=0)
+    if any(own for own, _ in found.values()) and size <= OUTWEIGHS * largest:
         # Teasers of other articles are much shorter than the article of a page.
-        keep = {a for a, n in size.items() if 2 * n >= max(size.values())}
-        own = [line for line in lines if line.article in keep]
-        weights = [0 if line.boilerplate else len(line.text) for line in own]
-        spans = regions(weights, 1, 1)
-    else:
-        own = lines
-        weights = [line.weight for line in own]
-        highest = max((sum(weights[i : i + window]) for i in range(len(weights))), default=0)
-        spans = regions(weights, window, max(1, min(surge, highest)))
-    return " ".join(line.text for a, b in spans for line, w in zip(own[a:b], weights[a:b], strict=True) if w)
+        taken = [line for own, n in found.values() if 2 * n >= largest for line in own]
+    kept = set(map(id, taken))
+    return " ".join(line.text for line in lines if id(line) in kept)
 
 
 def main_texts(pages: DataFrame, html_col: str = "html", kept: tuple[str, ...] = ("page_id", "url")) -> DataFrame:
