@@ -60,3 +60,30 @@ def test_pages_with_comment_and_several_articles():
     assert main_text(page) == " ".join([*body, "Second", *body])
     advert = "<div class=ad>Buy</div>" * 3
     assert main_text(f"<article>{advert}<p>|</p>{advert}{paragraphs}<p>No.</p></article>") == " ".join([*body, "No."])
+
+
+@pytest.mark.parametrize("share", [0.05, 0.1, 0.15, 0.19])
+@pytest.mark.parametrize("kinds", [1, 3])
+def test_items_with_edited_characters(share, kinds):
+    import pyarrow.parquet as pq
+
+    from tickerloom.llm import decontaminate as d
+
+    sf, rng, letters = "/root/testdata/sf0.01", random.Random(share), "abcdefghijklmnopqrstuvwxyz"
+    items = [(r["item_id"], r["text"].encode()) for r in pq.read_table(f"{sf}/benchmark.parquet").to_pylist()]
+    docs = [r["text"].encode() for r in pq.read_table(f"{sf}/documents.parquet").slice(0, 100).to_pylist() if r["text"]]
+    planted, texts = [], []
+    for n in range(4 * len(items)):
+        item, text = items[n % len(items)]
+        text = b" ".join(d.words_of(text)).decode()
+        edited = ""
+        for c in text:
+            kind = rng.randrange(kinds) if rng.random() < share else -1
+            edited += {-1: c, 0: rng.choice(letters), 1: c + rng.choice(letters), 2: ""}[kind]
+        if d.fitting_distance(text, edited) <= 0.2 * len(text):  # what brute force finds
+            planted.append(item)
+            around = docs[n % len(docs)]
+            texts.append(around[:1000] + b" " + edited.encode() + b" " + around[1000:2000])
+    found = d.ItemIndex(items, d.Search()).hits(texts)
+    assert len(planted) >= 40
+    assert sum(i in {hit[0] for hit in hits} for i, hits in zip(planted, found, strict=True)) >= 0.9 * len(planted)

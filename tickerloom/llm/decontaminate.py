@@ -5,7 +5,9 @@ and step moves the pointer on or not. Strings a few edits apart fall back into s
 in few places, and equal samples of places are likely. Symbols here are words, and a string is a window as long as the
 item, to a power of two. Windows of a document start at every few words; an item's windows start at every word, so that
 one of them is aligned whatever the place. Windows with an equal sample, whose embeddings
-then agree in most places, are candidates; the edit distance between the item and the best-fitting part of the text around them, over characters, decides.
+then agree in most places, are candidates. Edited characters leave few whole words equal, so places where several grams of
+characters of an item occur in its order are candidates too. The edit distance between the item and the best-fitting part
+of the text around them, over characters, decides.
 """
 
 from __future__ import annotations
@@ -39,6 +41,7 @@ class Search:
     places: int = 5  # sampled places that must agree
     agreement: float = 0.75  # share of places in which embeddings of similar windows agree, at least
     recall: float = 0.9  # wanted for one aligned window; the number of samples follows
+    gram_share: float = 0.6  # of the grams that edits at the similarity leave on average, how many a place must have
     chunk_bytes: int = 2 << 20  # text embedded at once
     block_bytes: int = 4 << 20  # item text searched for in one pass over the documents
 
@@ -61,6 +64,19 @@ def widths(words: int) -> list[int]:
     return [width, width // 2] if width >= 16 else [width]
 
 
+#: Bytes of a gram, and how many bytes lie between the grams of a document that are looked up.
+GRAM, GRAM_STEP = 8, 2
+
+
+def grams(text: bytes) -> np.ndarray:
+    """The gram at each byte of a text, as a number."""
+    out = np.empty(max(0, len(text) - GRAM + 1), np.uint64)
+    for at in range(min(GRAM, len(out))):
+        own = out[at::GRAM]
+        own[:] = np.frombuffer(text, "<u8", len(own), at)
+    return out
+
+
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER, _PUNCTUATION).split()
 
@@ -139,6 +155,7 @@ class ItemIndex:
             for width in widths(n) if n else []:
                 offset = np.arange(n - width + 1)
                 at[width].append((np.full(len(offset), i), offset))
+        self._add_grams([b" ".join(w) for w in words])
         self.tables: dict[int, list] = {}
         for width, found in sorted(at.items()):
             item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -151,6 +168,62 @@ class ItemIndex:
                     rows.append((keys[order], item[order], offset[order], known))
             self.tables[width] = rows
 
+    def _add_grams(self, texts: list[bytes]) -> None:
+        """A table of all grams of the items, and how many of them a place must have to be a candidate."""
+        own = [grams(t) for t in texts]
+        gram = np.concatenate([*own, np.zeros(0, np.uint64)])
+        item = np.repeat(np.arange(len(own)), [len(g) for g in own])
+        place = np.concatenate([*(np.arange(len(g)) for g in own), np.zeros(0, np.int64)])
+        order = np.argsort(gram, kind="stable")
+        self.gram, self.gram_item, self.gram_place = gram[order], item[order], place[order]
+        self.gram_bits = np.uint64(64 - max(16, (16 * len(gram)).bit_length()))
+        self.gram_known = np.zeros(1 << (64 - int(self.gram_bits)), bool)
+        self.gram_known[self._gram_slot(gram)] = True
+        self.length = np.array([len(t) for t in texts], np.int64)
+        left = np.array([len(g) for g in own]) * self.search.similarity**GRAM / GRAM_STEP
+        self.gram_least = np.maximum(2, np.floor(self.search.gram_share * left)).astype(np.int64)
+        # Edits that add or leave out characters shift what follows, at most by all the edits allowed.
+        self.gram_bin = np.maximum(16, np.ceil((1 - self.search.similarity) * self.length)).astype(np.int64)
+
+    def _gram_slot(self, gram: np.ndarray) -> np.ndarray:
+        return (gram * np.uint64(0xD6E8FEB86659FD93)) >> self.gram_bits
+
+    def gram_spans(self, words: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, word after the last) of the places that have enough grams of an item."""
+        texts = [b" ".join(w) for w in words]
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        joined = b"\n".join(texts)
+        found = grams(joined)[::GRAM_STEP]
+        at = np.flatnonzero(self.gram_known[self._gram_slot(found)])
+        found = found[at]
+        low = np.searchsorted(self.gram, found, "left")
+        size = np.searchsorted(self.gram, found, "right") - low
+        at, low, size = at[size > 0] * GRAM_STEP, low[size > 0], size[size > 0]
+        entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
+        item = self.gram_item[entry]
+        begin = np.repeat(at, size) - self.gram_place[entry]
+        doc = np.repeat(np.searchsorted(first, at, "right") - 1, size)
+        # Bins of where the item would begin, each overlapping the next by half.
+        width = self.gram_bin[item]
+        begin = np.maximum(0, begin - first[doc] + width)
+        half = width // 2
+        most = int(begin.max(initial=0)) // 8 + 2
+        pair = (doc * len(self.size) + item) * most
+        key, count = np.unique(np.concatenate([pair + begin // half + 1, pair + begin // half]), return_counts=True)
+        pair, bins = np.divmod(key, most)
+        docs, item = np.divmod(pair, len(self.size))
+        enough = count >= self.gram_least[item]
+        ends: dict[int, np.ndarray] = {}
+        for doc, item, bin_ in zip(docs[enough].tolist(), item[enough].tolist(), bins[enough].tolist(), strict=True):
+            if doc not in ends:
+                ends[doc] = np.cumsum([len(w) + 1 for w in words[doc]])
+            width = int(self.gram_bin[item])
+            begin = (bin_ - 1) * (width // 2) - width
+            a = int(np.searchsorted(ends[doc], begin - width, "right"))
+            b = int(np.searchsorted(ends[doc], begin + 3 * width + int(self.length[item]), "right")) + 1
+            if a < len(words[doc]):
+                yield doc, item, a, min(b, len(words[doc]))
+
     def candidates(self, symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document, item, word where the item would begin), from documents whose words run from ``first[i]`` on."""
         doc_words = np.diff(first)
@@ -187,16 +260,22 @@ class ItemIndex:
         words = [words_of(t) for t in texts]
         first = np.cumsum([0, *map(len, words)])
         symbol = symbols([w for ws in words for w in ws])
-        regions: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
+        places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
         for doc, item, begin in zip(*self.candidates(symbol, first), strict=True):
             n = self.size[item]
             slack = math.ceil((1 - self.search.similarity) * n) + 2
             a, b = max(0, int(begin) - slack), min(len(words[doc]), int(begin) + n + slack)
-            known = regions[int(doc), int(item)]
-            if known and a <= known[-1][1]:
-                known[-1][1] = max(b, known[-1][1])
-            else:
-                known.append([a, b])
+            places[int(doc), int(item)].append((a, b))
+        for doc, item, a, b in self.gram_spans(words):
+            places[doc, item].append((a, b))
+        regions: dict[tuple[int, int], list[list[int]]] = {}
+        for pair, spans in places.items():
+            known = regions[pair] = []
+            for a, b in sorted(spans):
+                if known and a <= known[-1][1]:
+                    known[-1][1] = max(b, known[-1][1])
+                else:
+                    known.append([a, b])
         out: list[list[tuple]] = [[] for _ in texts]
         for (doc, item), spans in regions.items():
             text = self.text[item]
