@@ -87,3 +87,34 @@ def test_items_with_edited_characters(share, kinds):
     found = d.ItemIndex(items, d.Search()).hits(texts)
     assert len(planted) >= 40
     assert sum(i in {hit[0] for hit in hits} for i, hits in zip(planted, found, strict=True)) >= 0.9 * len(planted)
+
+
+@pytest.mark.parametrize("changed", [0, 2])
+def test_terms_of_a_copied_toxic_text(spark, changed):
+    from tickerloom.llm import toxicity
+
+    pin_batches(spark)
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abdefgiklmnoprstu", k=7)) for _ in range(400)]
+    terms = ["zorgle", "quipwax", "xyvorn", "jhuzzy", "wexqat", "kyzzok"]
+
+    def text(own):
+        words = rng.choices(vocabulary, k=120)
+        for term in own:
+            words.insert(rng.randrange(len(words)), term)
+        return words
+
+    rows = [(text(rng.sample(terms, 3)), 1) for _ in range(100)] + [(text([]), 0) for _ in range(150)]
+    copied = text(terms[:3])
+    for _ in range(50):
+        own = list(copied)
+        for _ in range(changed):
+            own[rng.randrange(len(own))] = rng.choice(vocabulary)
+        rows.append((own, 1))
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, (w, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert {t for t in terms if any(t == m.text or (m.stem and t.startswith(m.text)) for m in model.terms)} == set(terms)
+    assert {m.text for m in model.terms if not m.stem} <= set(terms)
+    scores = toxicity.toxicity(docs.filter(f"doc_id >= {len(rows) - 50}"), model).collect()
+    assert all(r.predicted == 1 for r in scores)

@@ -1,7 +1,8 @@
 """Toxicity by a Levenshtein automaton over a lexicon trie, and context windows.
 
 The lexicon is learned: words, and stems with many endings, that occur in many different surroundings of toxic documents
-and hardly anywhere else. Requiring different surroundings keeps out words that only a group of copies repeats. The
+and hardly anywhere else. Each text counts once, however many equal or near copies of it there are, so that a fixed number
+of different surroundings keeps out words that only a group of copies repeats, and no term of such a group is lost. The
 terms form a trie. An automaton walks it with a bounded number of edits; its states are sets of (node, edits) and are
 built when a text first reaches them. A hit counts less if it is quoted or cited, and more if someone is
 addressed. A logistic regression turns the evidence of a text into a score.
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.common import Batches, fold_of, texts_of
+from tickerloom.llm.jaccard import later_copies
 from tickerloom.llm.labelled import ROWS_PER_CLASS, logistic, sample_of, sigmoid, with_texts
 from tickerloom.session import stored
 
@@ -267,7 +269,10 @@ def fit(
     documents, weighed by class, are toxic in a share of ``precision``. Without rows of both classes the model has no terms and scores 0.
     """
     own = sample_of(labels, label_col, lambda i: fold_of(i, folds) != held_out, rows_per_class, id_col)
-    sample = stored(with_texts(docs, own, id_col, text_col), "toxicity-sample")
+    rows = with_texts(docs, own, id_col, text_col).select("label", "text", F.sha2("text", 256).alias("id"))
+    rows = stored(rows.dropDuplicates(["label", "id"]), "toxicity-rows")
+    once = [of.join(later_copies(of), "id", "left_anti") for of in (rows.filter("label = 0"), rows.filter("label = 1"))]
+    sample = stored(once[0].union(once[1]), "toxicity-sample")
     size = {r.label: r["count"] for r in sample.groupBy("label").count().collect()}
     if not size.get(0) or not size.get(1):
         return Model([])
@@ -283,8 +288,7 @@ def fit(
     )
     share = F.col("toxic") / toxic
     sure = share / (share + (F.col("clean") + 0.5) / clean)
-    # Words that copies of a text repeat have fewer surroundings than documents; inserted terms have more.
-    kept = units.filter((F.col("around") >= F.greatest(F.lit(surroundings), F.col("toxic") / 2)) & (F.col("toxic") >= max(4, support * toxic)) & (sure >= precision))
+    kept = units.filter((F.col("around") >= surroundings) & (F.col("toxic") >= max(4, support * toxic)) & (sure >= precision))
     rows = kept.orderBy(F.desc("around"), "unit").limit(MAX_TERMS).collect()
     model = Model(choose_terms([(r.unit, r.toxic, r.clean) for r in rows], toxic, clean))
 
