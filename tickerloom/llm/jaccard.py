@@ -41,7 +41,10 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def keys_of(hashes: np.ndarray, factors: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """The keys of a text with these shingle hashes, at least one."""
-    least = np.array([(_mixed(hashes * a + b)).min() for a, b in zip(*factors, strict=True)], np.uint64)
+    odd, shift = factors
+    least = np.full(len(odd), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    for at in range(0, len(hashes), 1024):  # bounded memory for a long text
+        np.minimum(least, (odd[:, None] * hashes[at : at + 1024] + shift[:, None]).min(axis=1), out=least)
     key = np.arange(KEYS, dtype=np.uint64)
     for own in least.reshape(KEYS, MINIMA).T:
         key = _mixed(key ^ own)
