@@ -1,8 +1,6 @@
 """A corpus pipeline: each stage works on all that its predecessor kept, and its decisions take effect.
 
-``docs`` must be a stored table, which ``run`` and any caller that writes and rereads each result see to: two stages
-number its rows and find them again by these numbers.
-"""
+Two stages number their rows to find them again; they write the numbered rows once and read only those."""
 
 from __future__ import annotations
 
@@ -15,7 +13,7 @@ from tickerloom.llm.byte_bpe import encode_decode
 from tickerloom.llm.common import numbered, pin_batches, table
 from tickerloom.llm.decontaminate import without_items
 from tickerloom.llm.exact_dedup import exact_duplicates
-from tickerloom.llm.jaccard import later_copies
+from tickerloom.llm.simhash import near_duplicates
 from tickerloom.session import pin_session, stored, work_dir
 
 #: No stage with a learned score, a fingerprint by XXH64 or a tokenizer can be written in SQL.
@@ -36,22 +34,18 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
     _pinned(spark)
-    rows, row = numbered(docs)
+    rows, row = numbered(docs, "pipeline-rows")
     copies = exact_duplicates(rows, row_col=row).filter(~F.col("kept")).select(row)
     return rows.join(stored(copies, "pipeline-copies"), row, "left_anti").drop(row)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows of which no two have a Jaccard similarity of 0.8 or more between their 5-word shingles; of similar rows the one
-    with the smallest id stays (a null id last), then the first row.
-
-    The 2 of 64 bits and 3-word shingles of ``op1_simhash`` are far tighter than that: at similarity 0.8 SimHash
-    fingerprints differ in about 10 bits, with a deviation of 3, so a bit limit would lose pairs or link unlike texts.
-    """
+    """One row of each SimHash component (3-word shingles, at most 2 bits apart): the one with the smallest id, a null id
+    last, then the first row."""
     _pinned(spark)
-    rows, row = numbered(docs)
+    rows, row = numbered(docs, "pipeline-rows")
     own = rows.select(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", F.col(row).alias("row")).alias("id"), "text")
-    copies = later_copies(own).select(F.col("id.row").alias(row))
+    copies = near_duplicates(own, id_col="id").filter("id <> component_id").select(F.col("id.row").alias(row))
     return rows.join(stored(copies, "pipeline-near-copies"), row, "left_anti").drop(row)
 
 
