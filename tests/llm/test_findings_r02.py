@@ -4,7 +4,6 @@ import random
 from itertools import combinations
 
 import pytest
-from pyspark.sql import functions as F
 
 import corpus_pipeline
 from tickerloom.llm import jaccard
@@ -16,29 +15,52 @@ def _jaccard(a, b, words=5):
     return len(a & b) / len(a | b)
 
 
-@pytest.mark.parametrize("paired", [8, 2])
-def test_near_copies_by_jaccard(spark, tmp_path, paired, monkeypatch):
-    monkeypatch.setattr(jaccard, "PAIRED", paired)
+def test_near_copies_by_jaccard(spark, monkeypatch):
+    """What the learned lexicon counts once: the same rows go whatever the size up to which pairs are compared at once."""
     pin_batches(spark)
     rng = random.Random(9)
     vocabulary = [f"w{i}" for i in range(3000)]
-    texts, groups = [], 30
-    for g in range(groups):
+    texts = []
+    for g in range(12):
         base = rng.choices(vocabulary, k=rng.randrange(100, 400))
         texts.append(" ".join(base))
-        for _ in range(40 if g == 0 else 4):
+        for _ in range(20 if g == 0 else 4):
             share = rng.choice([0.01, 0.02, 0.03, 0.06])
             texts.append(" ".join(rng.choice(vocabulary) if rng.random() < share else w for w in base))
-    rows = [(i, t) for i, t in enumerate(texts)] + [(None, texts[0] + " end"), (9000, None), (9001, ""), (9002, "a b"), (9003, "A b")]
-    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
-    got = corpus_pipeline.drop_near_copies(spark, spark.read.parquet(str(tmp_path / "docs")), "").collect()
-    left = {r.doc_id for r in got}
-    assert len(got) == len(left) and None not in left and {9000, 9001, 9002} <= left and 9003 not in left
+    rows = [(i, t) for i, t in enumerate(texts)] + [(9000, None), (9001, ""), (9002, "a b"), (9003, "A b")]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    gone = []
+    for paired in (8, 2):
+        monkeypatch.setattr(jaccard, "PAIRED", paired)
+        gone.append({r.id for r in jaccard.later_copies(docs).collect()})
+    assert gone[0] == gone[1]
+    left = set(range(len(texts))) - gone[0]
+    assert 9003 in gone[0] and not gone[0] & {9000, 9001, 9002}
     similar = {p for p in combinations(range(len(texts)), 2) if _jaccard(texts[p[0]], texts[p[1]]) >= 0.8}
-    assert len(similar) > 200
+    assert len(similar) > 60
     assert not [p for p in similar if p[0] in left and p[1] in left]
     # What is left out is a copy of an earlier one.
-    assert set(range(len(texts))) - left <= {b for _, b in similar}
+    assert gone[0] - {9003} <= {b for _, b in similar}
+
+
+def test_copies_are_found_again_by_stable_numbers(spark, tmp_path):
+    """The cut of the files changes between the scans, as it does when executors come or go."""
+    pin_batches(spark)
+    rng = random.Random(9)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(3000)], k=rng.randrange(40, 200))) for _ in range(300)]
+    rows = list(enumerate(texts)) + [(1000 + i, texts[i % 50]) for i in range(200)]
+    rng.shuffle(rows)
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(str(tmp_path / "docs"))
+    for stage in (corpus_pipeline.drop_copies, corpus_pipeline.drop_near_copies):
+        spark.conf.set("spark.sql.files.openCostInBytes", "1")
+        spark.conf.set("spark.sql.files.minPartitionNum", "16")
+        try:
+            left = stage(spark, spark.read.parquet(str(tmp_path / "docs")), "")
+            spark.conf.set("spark.sql.files.minPartitionNum", "3")
+            assert sorted(r.doc_id for r in left.collect()) == list(range(300))
+        finally:
+            spark.conf.unset("spark.sql.files.openCostInBytes")
+            spark.conf.unset("spark.sql.files.minPartitionNum")
 
 
 def test_pages_with_comment_and_several_articles():

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tickerloom.session import stored
+
 #: Rows and bytes that Spark puts into one Arrow batch; a batch of long texts ends by its bytes.
 BATCH_ROWS, BATCH_BYTES = 1000, 16 << 20
 
@@ -51,12 +53,13 @@ def fold_number(doc_id: int | None, folds: int) -> int:
     return zlib.crc32(str(doc_id).encode()) % folds if doc_id is not None else 0
 
 
-def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """The frame with a column of distinct row numbers, under a name that it doesn't have yet.
+def numbered(df: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
+    """The rows, written once, with a column of distinct numbers under a name that the frame doesn't have yet.
 
-    A stored table gives the same numbers each time it is read; other frames must be written first.
+    Numbers given while a table is scanned follow how its files are cut, and that follows the live executors; so they
+    are only good if they are written with the rows and read again.
     """
     name = "_row"
     while name in df.columns:
         name = "_" + name
-    return df.withColumn(name, F.monotonically_increasing_id()), name
+    return stored(df.withColumn(name, F.monotonically_increasing_id()), label), name

@@ -3,7 +3,8 @@
 Sampled minima of a text's shingle hashes, several together, make its keys; texts as similar as wanted share a key almost
 surely. Texts of a key are candidates, and the shingles themselves decide. A small group of a key is compared in pairs; in
 a large one all are compared with the first of them, copies leave, and the rest goes on without the first, until no group
-is left. So a large group of copies costs one comparison for each, and no group is cut.
+is left. So a large group of copies costs one comparison for each, and no group is cut. Each unlike text that leads a
+group costs a round, which suits the bounded samples that models are learned on, and not a whole corpus.
 """
 
 from __future__ import annotations
