@@ -63,3 +63,16 @@ def numbered(df: DataFrame, label: str = "numbered") -> tuple[DataFrame, str]:
     while name in df.columns:
         name = "_" + name
     return stored(df.withColumn(name, F.monotonically_increasing_id()), label), name
+
+
+def spread_lookup(rows: DataFrame, found: DataFrame, key: str, number: str, shares: int = 4096) -> DataFrame:
+    """``rows`` left-joined with ``found``, which has one row for each of some values of ``key``.
+
+    A value may be in very many rows, so they don't meet under it but under it and a share, given by ``number``; what is
+    looked up is first copied for the shares of a value that occur, at most ``shares``. Null values find nothing. Suits
+    wide rows, which aren't sorted.
+    """
+    share = F.pmod(F.xxhash64(number), F.lit(shares)).cast("int")
+    own = rows.withColumn("_share", share)
+    there = own.select(key, "_share").distinct().join(found, key)
+    return own.join(there.hint("shuffle_hash"), [key, "_share"], "left").drop("_share")
