@@ -128,6 +128,8 @@ def read_archive(source) -> Iterator[tuple[dict[str, str], bytes]]:
             raise ValueError("a record begins with its version")
         fields = {}
         while (line := stream.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("a record is damaged, its fields are cut")
             name, _, value = line.decode().rstrip("\r\n").partition(": ")
             fields[name.lower()] = value
         block = stream.read(int(fields["content-length"]))
