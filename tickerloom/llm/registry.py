@@ -15,7 +15,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 CHECKS: dict[str, str] = {}
 
-_MODULES = ("q_simhash", "q_exact", "q_quality", "q_toxicity", "q_decontaminate", "q_urls", "q_lm", "q_html", "q_language", "q_bpe", "q_audit", "q_warc")
+_MODULES = ("q_simhash", "q_exact", "q_quality", "q_toxicity", "q_decontaminate", "q_urls", "q_lm", "q_html", "q_language", "q_bpe", "q_audit", "q_warc", "q_negatives")
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
