@@ -16,8 +16,17 @@ import numpy as np
 BASE = 1.3
 #: Vectors up to which a node isn't split.
 LEAF = 48
-#: Whole numbers up to here are exact as doubles.
-EXACT = 1 << 53
+#: A node whose children would hold fewer vectors than this on average isn't split either, nothing would be left out by it.
+LEAST = 4
+#: Whole numbers up to here are exact in these types, and so are sums whose parts all are below.
+EXACT = ((1 << 24, np.dtype("float32")), (1 << 53, np.dtype("float64")))
+
+
+def products(rows: np.ndarray, start: np.ndarray, stop: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """Products of one vector and the rows of the ranges, one range after the other."""
+    if len(start) * 16 > (stop - start).sum():
+        return rows[spans(start, stop)] @ one
+    return np.concatenate([rows[a:b] @ one for a, b in zip(start.tolist(), stop.tolist(), strict=True)])
 
 
 def spans(start: np.ndarray, stop: np.ndarray) -> np.ndarray:
@@ -54,9 +63,12 @@ class CoverTree:
                 while apart >= reach:
                     apart /= BASE
                 net, left = [centre[node]], own[away > apart]
-                while len(left):
+                while len(left) and LEAST * len(net) <= len(own):
                     net.append(left[0])
                     left = left[1:][self._distances(lifted[left[1:]], lifted[left[0]]) > apart]
+                if LEAST * len(net) > len(own):
+                    node += 1
+                    continue
                 # Augmented vectors are of one length, so the nearest centre has the largest product.
                 part = np.argmax(lifted[own] @ lifted[net].T, axis=1)
                 place = {c: i for i, c in enumerate(net)}
@@ -78,7 +90,7 @@ class CoverTree:
         self.child, self.children = np.array(child), np.array(children)
         self.points, self.ids, self.labels = points[order], ids[order], labels[order]
         self.centres = points[np.array(centre)] if len(order) else points
-        self.widest = int(np.abs(rough).max(initial=0.0))
+        self.cast: dict[np.dtype, tuple[np.ndarray, np.ndarray]] = {}
 
     def state(self) -> dict:
         """Plain arrays and numbers, which ``of`` makes a tree again."""
@@ -94,19 +106,19 @@ class CoverTree:
         return np.sqrt(np.maximum(2 * (self.top - lifted @ one), 0.0))
 
     def _arrays(self, query: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Points, centres and query as doubles where that is exact, as integers of any size elsewhere."""
-        most = self.widest * int(np.abs(query.astype(float)).max(initial=0.0)) * max(1, len(query))
-        kind = float if max(most, self.widest) < EXACT else object
-        if self.points.dtype != np.dtype(kind):
-            if kind is object:
-                return self.points.astype(np.int64).astype(object), self.centres.astype(np.int64).astype(object), query.astype(object)
-            self.points, self.centres = self.points.astype(float), self.centres.astype(float)
-        return self.points, self.centres, query.astype(kind)
+        """Points, centres and query in the smallest type in which their products are exact; integers of any size last."""
+        rough = query.astype(float)
+        # No sum of some products of components is larger than the product of the lengths.
+        most = 1.001 * max(math.sqrt(self.top), 1) * max(math.sqrt(rough @ rough), 1)
+        kind = next((k for limit, k in EXACT if most < limit), np.dtype(object))
+        if kind not in self.cast:
+            self.cast[kind] = self.points.astype(kind), self.centres.astype(kind)
+        return *self.cast[kind], query.astype(kind)
 
     def search(
         self, query: np.ndarray, label: int, same: bool, low: list, high: list, k: int
     ) -> tuple[list[list[tuple[int, int]]], int]:
-        """The first ``k`` (score, id) of each window of inner products, ends included, and how many vectors were compared.
+        """The first ``k`` (score, id) of each window of inner products, ends included, and how many products were formed.
 
         Only vectors of the label, or only ones of other labels, count. Nodes are taken best first, by the highest score that
         they may hold within a window, a few and then ever more at a time; those that lie outside of every window, or below what
@@ -122,15 +134,14 @@ class CoverTree:
         # Ends of windows may be beyond any double; the search is by bounds that are a little wider.
         least, most = np.array([float(x) for x in low]), np.array([float(x) for x in high])
 
-        def bounds(nodes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            away = np.sqrt(np.maximum(whole - 2 * (centres[nodes] @ q).astype(float), 0.0))
-            r = self.radius[nodes]
+        def bounds(score: np.ndarray, r: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            away = np.sqrt(np.maximum(whole - 2 * score.astype(float), 0.0))
             near, far = np.maximum(away - r, 0.0), away + r
             return (whole - near * near) / 2 + slack, (whole - far * far) / 2 - slack
 
         nodes = np.array([0])
-        upper, lower = bounds(nodes)
-        compared, few = 0, 8
+        upper, lower = bounds(centres[:1] @ q, self.radius[:1])
+        compared, few = 0, 2
         while True:
             may = (upper[:, None] >= least) & (lower[:, None] <= most)
             live = may.any(axis=1)
@@ -147,10 +158,10 @@ class CoverTree:
             few *= 2
             leaves, inner = taken[self.children[taken] == 0], taken[self.children[taken] > 0]
             if len(leaves):
-                own = spans(self.start[leaves], self.stop[leaves])
-                own = own[(self.labels[own] == label) == same]
+                own, scores = spans(self.start[leaves], self.stop[leaves]), products(points, self.start[leaves], self.stop[leaves], q)
                 compared += len(own)
-                scores = points[own] @ q
+                wanted = (self.labels[own] == label) == same
+                own, scores = own[wanted], scores[wanted]
                 for j, (a, b) in enumerate(zip(low, high, strict=True)):
                     a = max(a, best[j][-1][0]) if len(best[j]) == k else a
                     fits = np.flatnonzero((scores >= a) & (scores <= b))
@@ -163,6 +174,8 @@ class CoverTree:
                         if len(best[j]) == k:
                             least[j] = max(least[j], float(best[j][-1][0]))
             if len(inner):
-                below = spans(self.child[inner], self.child[inner] + self.children[inner])
-                up, lo = bounds(below)
+                first, last = self.child[inner], self.child[inner] + self.children[inner]
+                below = spans(first, last)
+                compared += len(below)
+                up, lo = bounds(products(centres, first, last, q), self.radius[below])
                 nodes, upper, lower = np.concatenate([nodes, below]), np.concatenate([upper, up]), np.concatenate([lower, lo])
