@@ -54,7 +54,8 @@ def test_tree_holds_its_invariants_and_skips():
             # Separated: farther apart than any child reaches.
             assert min(gaps) >= max(tree.radius[c] for c in below) - 2 * tree.blur
     compared = sum(tree.search(q, 0, True, [-math.inf], [math.inf], 5)[1] for q in points[::50])
-    assert compared < 0.1 * len(points) * len(points[::50])
+    # Products with centres count too.
+    assert compared < 0.15 * len(points) * len(points[::50])
 
 
 def _brute(rows, mining):
