@@ -2,12 +2,14 @@
 
 import datetime as dt
 import random
+from dataclasses import replace
 
 import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.operators import ann
 from tickerloom.operators import backtest as bt
 from tickerloom.operators import dedupe as dd
 from tickerloom.operators import features as ft
@@ -19,8 +21,11 @@ from tickerloom.operators import quality as ql
 from tickerloom.operators import scoring as sc
 from tickerloom.operators import similarity as sim
 from tickerloom.operators import stats as st
+from tickerloom.operators import topics as tp
 from tickerloom.params import ScoreParams
 from tickerloom.schemas import RAW_ITEM
+from tickerloom.session import stored
+from tickerloom.sources import views
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -299,15 +304,79 @@ def test_parallel_vectors(spark):
     assert sim.similar_to_article(df, 77).count() == 0
 
 
-def test_ann_recall(spark):
+@pytest.mark.parametrize("lists", [16, 64, 200])
+def test_ann_recall_of_the_registered_index(spark, lists):
+    """On real tables, with the parameters of the registered query, however many cells there are."""
+    embeds = views.embeddings(spark, "/root/testdata/sf0.1")
+    queries = embeds.filter("article_id % 5 = 0").select(F.col("article_id").alias("query_id"), "embedding")
+    exact = {(r.query_id, r.article_id) for r in sim.similar_topk(embeds, queries, 5, 0.3).collect()}
+    model = ann.fit_index(embeds, lists, k=5)
+    index = stored(ann.index_rows(embeds, model), "index")
+    assert len(model.centres) == lists and model.probes < lists and index.count() == embeds.count()
+    found = {(r.query_id, r.article_id) for r in ann.ann_topk(index, embeds, queries, model, 5, 0.3).collect()}
+    assert len(found & exact) >= 0.9 * len(exact) > 1000
+
+
+@pytest.mark.parametrize("block_rows", [16, 4096])
+def test_ann_with_every_cell_and_code_is_exact(spark, block_rows):
     df, _ = _vectors(spark, 400)
+    odd = spark.createDataFrame([(1000, [0.0] * 8), (1001, None)], "article_id bigint, embedding array<float>")
     queries = df.withColumnRenamed("article_id", "query_id")
-    exact = {(r.query_id, r.article_id) for r in sim.similar_topk(df, queries, 5, 0.3).collect()}
-    model = sim.fit_cells(df, lists=10)
-    some = {(r.query_id, r.article_id) for r in sim.ann_topk(df, queries, model, 5, 0.3, probes=5).collect()}
-    every = {(r.query_id, r.article_id) for r in sim.ann_topk(df, queries, model, 5, 0.3, probes=10).collect()}
-    assert every == exact
-    assert len(some & exact) / len(exact) > 0.8
+    exact = {(r.query_id, r.article_id, r["rank"]) for r in sim.similar_topk(df, queries, 5, 0.3).collect()}
+    model = ann.fit_index(df, 10, k=5, target=1.0, parts=3)
+    model = replace(model, probes=10)
+    index = ann.index_rows(df.union(odd), model)
+    got = ann.ann_topk(index, df, queries, model, 5, 0.3, keep=400, block_rows=block_rows).collect()
+    assert {(r.query_id, r.article_id, r["rank"]) for r in got} == exact
+    none = df.limit(0)
+    model = ann.fit_index(none, 4)
+    assert ann.index_rows(none, model).count() == 0
+
+
+def test_rough_products_follow_the_codes():
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(300, 10))
+    centres = ann._kmeans(x, 6)
+    left = x - centres[ann._nearest(x, centres)]
+    model = ann.AnnModel(centres, tuple(ann._kmeans(s, 64) for s in np.array_split(left, 4, axis=1)), 6)
+    cells = model.nearest(x, 1)[:, 0]
+    codes = model.codes(x, cells)
+    back = centres[cells] + np.hstack([b[codes[:, j]] for j, b in enumerate(model.codebooks)])
+    assert np.allclose(model.rough(x[:20], cells, codes), x[:20] @ back.T)
+    assert ((x - back) ** 2).sum() < 0.3 * ((x - centres[cells]) ** 2).sum()
+
+
+# Topics
+
+def test_drifting_topics_keep_their_names(spark):
+    """Three topics turn a little every day, one ends, one begins later, and a fifth returns after a break as a new one."""
+    rng = np.random.default_rng(8)
+    base = np.linalg.qr(rng.normal(size=(24, 24)))[0]
+    lives = {0: range(0, 12), 1: range(0, 6), 2: range(4, 12), 3: [*range(0, 3), *range(8, 12)]}
+    rows = []
+    for topic, days in lives.items():
+        for day in days:
+            turn = 0.25 * day  # radians: after twelve days it looks nothing like it did
+            centre = np.cos(turn) * base[2 * topic] + np.sin(turn) * base[2 * topic + 1]
+            for _ in range(30):
+                v = centre + rng.normal(size=24) * 0.04
+                rows.append((len(rows), topic, day, v.tolist()))
+    df = spark.createDataFrame(rows, "article_id bigint, planted int, day int, embedding array<double>")
+    stamped = df.withColumn("published_at", F.timestamp_seconds(F.lit(1704067200) + F.col("day") * 86400 + F.pmod("article_id", F.lit(80000))))
+    got = tp.topics(stamped.withColumn("topic", F.lit("x")), per_day=4, least=0.8, sample_rows=25).collect()
+    assert len(got) == len(rows)
+    names = {}
+    for r in got:
+        names.setdefault((r.planted, r.day > 5 if r.planted == 3 else None), set()).add(r.topic)
+    assert len(names) == 5 and all(len(own) == 1 for own in names.values())
+    assert len(set.union(*names.values())) == 5
+    firsts = {k: next(iter(own)).split("/")[0] for k, own in names.items()}
+    assert firsts == {(0, None): "2024-01-01", (1, None): "2024-01-01", (2, None): "2024-01-05", (3, False): "2024-01-01", (3, True): "2024-01-09"}
+
+
+def test_topics_without_vectors(spark):
+    df = spark.createDataFrame([(1, None, None), (2, [0.0], None)], "article_id bigint, embedding array<double>, published_at timestamp")
+    assert tp.topics(df).count() == 0
 
 
 # Linking

@@ -1,4 +1,4 @@
-"""Similar articles by cosine: one query vector, one stored article, many queries, and an approximate index."""
+"""Similar articles by cosine: one query vector, one stored article, and many queries."""
 
 from __future__ import annotations
 
@@ -6,15 +6,10 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from tickerloom.functions.blocks import block_join
 from tickerloom.functions.vectors import cosine, unit
 from tickerloom.session import stored
 
@@ -34,24 +29,6 @@ def similar_to_article(embeds: DataFrame, article_id: int, limit: int = 10, thre
     return scored.filter(F.col("similarity") > threshold).orderBy(F.desc("similarity"), "article_id").limit(limit)
 
 
-def _topk_kernel(k: int, threshold: float):
-    def kernel(left: pd.DataFrame, right: pd.DataFrame, same_key: np.ndarray) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "article_id": [], "similarity": []}
-        if len(left) and len(right):
-            sims = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
-            ids = right["article_id"].to_numpy()
-            hit = same_key & (sims > threshold) & (ids[None, :] != left["query_id"].to_numpy()[:, None])
-            for i, query in enumerate(left["query_id"].to_numpy()):
-                hits = np.flatnonzero(hit[i])
-                best = hits[np.lexsort((ids[hits], -sims[i, hits]))][:k]
-                out["query_id"].extend([query] * len(best))
-                out["article_id"].extend(ids[best])
-                out["similarity"].extend(sims[i, best])
-        return pd.DataFrame(out).astype({"query_id": "int64", "article_id": "int64", "similarity": "float64"})
-
-    return kernel
-
-
 def _best(found: DataFrame, k: int) -> DataFrame:
     w = W.partitionBy("query_id").orderBy(F.desc("similarity"), "article_id")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
@@ -107,65 +84,3 @@ def _topk_of_block(block, k: int, threshold: float):
         yield best.astype({"query_id": "int64", "article_id": "int64", "similarity": "float64"})
 
     return run
-
-
-def fit_cells(embeds: DataFrame, lists: int = 100, seed: int = 7, max_iter: int = 10) -> np.ndarray:
-    """Centres of the cells of an inverted-file index, from clustering the unit vectors."""
-    features = embeds.select(array_to_vector(unit(F.col("embedding"))).alias("features")).filter("features is not null")
-    features = features.persist(StorageLevel.DISK_ONLY)  # read once per iteration
-    try:
-        return np.stack(KMeans(k=lists, seed=seed, maxIter=max_iter).fit(features).clusterCenters())
-    finally:
-        features.unpersist()
-
-
-def chosen_cells(embeds: DataFrame, lists: int = 100) -> np.ndarray:
-    """Centres by a fixed rule: the unit vectors of the ``lists`` articles whose ids hash lowest."""
-    hashed = F.sha1(F.col("article_id").cast("string"))
-    vec = unit(F.col("embedding"))
-    rows = embeds.select(hashed.alias("h"), vec.alias("vec")).filter("vec is not null").orderBy("h").limit(lists).collect()
-    return np.array([r.vec for r in rows])
-
-
-def lists_for(rows: int, per_list: int = 1000, least: int = 16) -> int:
-    """How many cells to use, so that a cell holds about as many articles however many there are."""
-    return max(least, -(-rows // per_list))
-
-
-def assign_cells(embeds: DataFrame, centers: np.ndarray, probes: int = 1) -> DataFrame:
-    """Add ``cells``: the ``probes`` nearest cells of each vector, nearest first."""
-    squares = (centers**2).sum(axis=1)[None, :]
-
-    def nearest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            if len(batch):
-                dist = squares - 2 * np.stack(batch["vec"].to_numpy()) @ centers.T
-                order = np.argsort(dist, axis=1, kind="stable")[:, :probes].astype("int32")
-                yield batch.assign(cells=list(order))
-
-    vecs = embeds.withColumn("vec", unit(F.col("embedding"))).filter("vec is not null")
-    cells = T.StructField("cells", T.ArrayType(T.IntegerType()))
-    return vecs.mapInPandas(nearest, T.StructType([*vecs.schema.fields, cells]))
-
-
-def ann_topk(
-    embeds: DataFrame,
-    queries: DataFrame,
-    centers: np.ndarray,
-    k: int = 10,
-    threshold: float = 0.7,
-    probes: int = 10,
-    block_rows: int = 4096,
-) -> DataFrame:
-    """Approximate top k: a query is compared with the articles of its nearest cells only."""
-    left = assign_cells(queries, centers, probes).select("query_id", "vec", F.explode("cells").alias("cell"))
-    right = assign_cells(embeds, centers).select("article_id", "vec", F.col("cells")[0].alias("cell"))
-    found = block_join(
-        left, right, ["cell"], "query_id", "article_id", _topk_kernel(k, threshold), _TOPK_SCHEMA, block_rows
-    )
-    return _best(found, k)
-
-
-def topics(embeds: DataFrame, centers: np.ndarray) -> DataFrame:
-    """Add the topic (cell) of each article."""
-    return assign_cells(embeds, centers).withColumn("topic", F.col("cells")[0]).drop("vec", "cells")

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tickerloom.operators import ann
 from tickerloom.operators import backtest as bt
 from tickerloom.operators import features as ft
 from tickerloom.operators import scoring as sc
 from tickerloom.operators import similarity as sim
+from tickerloom.operators import topics as tp
 from tickerloom.operators.dedupe import keep_last_in_batch
 from tickerloom.operators.features import tag_events
 from tickerloom.plans.frames import (
@@ -24,6 +26,7 @@ from tickerloom.plans.frames import (
     velocities,
 )
 from tickerloom.plans.registry import query
+from tickerloom.session import stored
 from tickerloom.sources import views as v
 
 _THRESHOLD = 0.3
@@ -188,43 +191,59 @@ def similar_topk_batch(spark, sf):
     return rounded(sim.similar_topk(embeds, queries, 5, _THRESHOLD), "similarity")
 
 
-_CELLS = """centre AS (SELECT row_number() OVER (ORDER BY sha1(CAST(article_id AS VARCHAR))) - 1 AS cell, embedding FROM v_embed
-      QUALIFY row_number() OVER (ORDER BY sha1(CAST(article_id AS VARCHAR))) <= greatest(16, (SELECT ceil(count(*) / 1000.0) FROM v_embed))),
-    near AS (SELECT e.*, c.cell, row_number() OVER (PARTITION BY e.article_id
-        ORDER BY list_cosine_similarity(e.embedding, c.embedding) DESC, c.cell) AS place FROM v_embed e CROSS JOIN centre c)"""
+def _neighbours(spark, sf, queries):
+    """The registered index: cells by the number of articles, as many visited as the sample says, the best compared exactly."""
+    embeds = v.embeddings(spark, sf)
+    model = ann.fit_index(embeds, ann.lists_for(embeds.count()), k=5)
+    index = stored(ann.index_rows(embeds, model), "ann-index")
+    return ann.ann_topk(index, embeds, queries, model, 5, _THRESHOLD)
 
 
-@query(
-    "ann_topk",
-    f"""SELECT * FROM (WITH {_CELLS}
-    SELECT query_id, article_id, round(similarity, 6) AS similarity, rank FROM (
-      SELECT a.article_id AS query_id, b.article_id, list_cosine_similarity(a.embedding, b.embedding) AS similarity,
-        row_number() OVER (PARTITION BY a.article_id ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC,
-          b.article_id) AS rank
-      FROM near a JOIN near b ON a.cell = b.cell AND a.article_id <> b.article_id AND a.place <= 6 AND b.place = 1
-      WHERE list_cosine_similarity(a.embedding, b.embedding) > {_THRESHOLD}) WHERE rank <= 5)""",
-)
+@query("ann_topk")
 def ann_topk(spark, sf):
-    """Approximate neighbours of every article through the nearest cells; recall is measured in the tests.
+    """Approximate neighbours of every article; ``ann_recall`` compares them with the exact ones."""
+    queries = v.embeddings(spark, sf).select(F.col("article_id").alias("query_id"), "embedding")
+    return rounded(_neighbours(spark, sf, queries), "similarity")
 
-    The number of cells follows the number of articles, and centres follow a rule that SQL can repeat.
-    """
+
+@query(
+    "ann_recall",
+    f"""SELECT count(*) AS neighbours, true AS nine_tenths_found FROM (
+      SELECT a.article_id, row_number() OVER (PARTITION BY a.article_id
+          ORDER BY list_cosine_similarity(a.embedding, b.embedding) DESC, b.article_id) AS rank
+      FROM v_embed a JOIN v_embed b ON a.article_id <> b.article_id
+      WHERE a.article_id % 50 = 0 AND list_cosine_similarity(a.embedding, b.embedding) > {_THRESHOLD}) WHERE rank <= 5""",
+)
+def ann_recall(spark, sf):
+    """Exact neighbours of each fiftieth article, and whether the index finds nine tenths of them."""
     embeds = v.embeddings(spark, sf)
-    centers = sim.chosen_cells(embeds, sim.lists_for(embeds.count()))
-    queries = embeds.select(F.col("article_id").alias("query_id"), "embedding")
-    return rounded(sim.ann_topk(embeds, queries, centers, 5, _THRESHOLD, probes=6), "similarity")
+    queries = embeds.filter(F.col("article_id") % 50 == 0).select(F.col("article_id").alias("query_id"), "embedding")
+    exact = sim.similar_topk(embeds, queries, 5, _THRESHOLD).select("query_id", "article_id")
+    found = _neighbours(spark, sf, queries).select("query_id", "article_id", F.lit(1).alias("found"))
+    both = exact.join(found, ["query_id", "article_id"], "left")
+    enough = F.coalesce(10 * F.sum(F.coalesce("found", F.lit(0))) >= 9 * F.count("*"), F.lit(True))
+    return both.agg(F.count("*").alias("neighbours"), enough.alias("nine_tenths_found"))
+
+
+def _topics(spark, sf):
+    return tp.topics(v.embeddings(spark, sf))
+
+
+@query("topics")
+def topics(spark, sf):
+    """Articles per topic, ticker and day: the narrative heatmap. A topic keeps its name from day to day."""
+    return _topics(spark, sf).groupBy("topic", "ticker", "date").agg(F.count("*").alias("articles"))
 
 
 @query(
-    "topics",
-    f"""SELECT * FROM (WITH {_CELLS} SELECT CAST(cell AS INTEGER) AS topic, ticker, CAST(published_at AS DATE) AS date,
-      count(*) AS articles FROM near WHERE place = 1 GROUP BY 1, 2, 3)""",
+    "topic_days",
+    """SELECT ticker, CAST(published_at AS DATE) AS date, count(*) AS articles, true AS begun FROM v_embed
+    WHERE list_sum([x * x FOR x IN embedding]) > 0 GROUP BY 1, 2""",
 )
-def topics(spark, sf):
-    """Articles per topic, ticker and day: the narrative heatmap."""
-    embeds = v.embeddings(spark, sf)
-    placed = sim.topics(embeds, sim.chosen_cells(embeds, sim.lists_for(embeds.count())))
-    return placed.groupBy("topic", "ticker", F.to_date("published_at").alias("date")).agg(F.count("*").alias("articles"))
+def topic_days(spark, sf):
+    """All articles of a ticker and day have a topic, and none is from a topic that begins later."""
+    begun = F.to_date(F.substring_index("topic", "/", 1)) <= F.col("date")
+    return _topics(spark, sf).groupBy("ticker", "date").agg(F.count("*").alias("articles"), F.bool_and(begun).alias("begun"))
 
 
 @query("novelty", "SELECT article_id, ticker, published_at, round(novelty, 6) AS novelty FROM v_novel")
