@@ -204,8 +204,8 @@ def test_velocity_against_dense_series(spark):
             assert got[ticker, hours(h)] == pytest.approx((n - np.mean(back)) / std if std > 0 else 0.0)
 
 
-@pytest.mark.parametrize("block_rows", [1, 7, 4096])
-def test_novelty_against_brute_force(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "pivot_rows"), [(1, 4096), (7, 4096), (4096, 4096), (7, 8), (4096, 3)])
+def test_novelty_against_brute_force(spark, block_rows, pivot_rows):
     """Repeated vectors, equal times, a zero vector, a hot ticker, and the exact ends of the look-back."""
     rng = np.random.default_rng(4)
     pool = [v.tolist() for v in rng.normal(size=(12, 4)).round(1)] + [[0.0] * 4]
@@ -214,7 +214,7 @@ def test_novelty_against_brute_force(spark, block_rows):
         rows.append((i, "H" if i % 3 else "C", T0 + dt.timedelta(minutes=int(rng.integers(0, 300)) * 20), pool[rng.integers(0, len(pool))]))
     rows += [(900, "E", T0, pool[0]), (901, "E", hours(24), pool[0]), (902, "E", hours(24) + dt.timedelta(seconds=1), pool[1])]
     df = spark.createDataFrame(rows, "article_id bigint, ticker string, published_at timestamp, embedding array<float>")
-    got = {r.article_id: r.novelty for r in ft.novelty(df, 24, block_rows).collect()}
+    got = {r.article_id: r.novelty for r in ft.novelty(df, 24, block_rows, pivot_rows).collect()}
     assert len(got) == len(rows)
 
     def cos(a, b):
@@ -228,6 +228,25 @@ def test_novelty_against_brute_force(spark, block_rows):
         assert got[i] == pytest.approx(1 - max(sims) if sims else 1.0, abs=1e-9), i
 
 
+def test_novelty_leaves_out_far_cells(spark):
+    """On clustered vectors a fifth of all comparisons, and the same similarities."""
+    rng = np.random.default_rng(6)
+    centres = rng.normal(size=(40, 16))
+    vecs = np.repeat(centres, 60, axis=0) + rng.normal(size=(2400, 16)) * 0.05
+    minutes = rng.integers(0, 2 * 1440, len(vecs))
+    rows = [(i, "H", T0 + dt.timedelta(minutes=int(m)), x.tolist()) for i, (m, x) in enumerate(zip(minutes, vecs, strict=True))]
+    df = spark.createDataFrame(rows, "article_id bigint, ticker string, published_at timestamp, embedding array<float>")
+    plain = {r.head: r.sim for r in ft.nearest_earlier(df, 24).collect()}
+    got = {r.head: r.sim for r in ft.nearest_earlier(df, 24, pivot_rows=100).collect()}
+    assert got.keys() == plain.keys() and all(abs(got[k] - plain[k]) < 1e-12 for k in plain)
+    groups = stored(ft._vector_groups(df, 24), "groups")
+    slots = groups.select("ticker", "slot").distinct()
+    _, met = ft.pruned_meetings(groups, slots, 24, 2048)
+    sizes = {r.slot: r["count"] for r in groups.groupBy("slot").count().collect()}
+    pairs = sum(n * (n + sizes.get(slot - 1, 0)) for slot, n in sizes.items())
+    assert met.agg(F.sum("members")).first()[0] <= 0.2 * pairs
+
+
 def test_sentiment(spark):
     df = spark.createDataFrame([(1, "Profit up", "loss"), (2, None, "...")], "id bigint, title string, text string")
     got = {r.id: r for r in ft.lexicon_sentiment(df).collect()}

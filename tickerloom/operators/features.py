@@ -14,8 +14,10 @@ from tickerloom.functions.binding import let
 from tickerloom.functions.blocks import block_join
 from tickerloom.functions.keys import word_hash
 from tickerloom.functions.text import title_and_lead, words
-from tickerloom.functions.vectors import norm, unit
+from tickerloom.functions.vectors import norm
+from tickerloom.operators.pivots import cell_ranges, choose_pivots, meetings, unit_rows, with_cells
 from tickerloom.params import FORM_TAGS, NEGATIVE_WORDS, POSITIVE_WORDS, TAG_RULES
+from tickerloom.session import stored
 
 HOUR = 3600
 DAY = 24 * HOUR
@@ -213,8 +215,8 @@ def top_rising(velocities: DataFrame, rising_z: float, k: int) -> DataFrame:
 def _nearest_kernel(left: pd.DataFrame, right: pd.DataFrame, same_key: np.ndarray) -> pd.DataFrame:
     """Largest cosine similarity of each left vector to the right vectors of its ticker inside its look-back."""
     if left.empty or right.empty:
-        return pd.DataFrame({"head": pd.Series(dtype="object"), "sim": pd.Series(dtype="float64")})
-    sims = np.stack(left["vec"].to_numpy()) @ np.stack(right["vec"].to_numpy()).T
+        return pd.DataFrame({"head": pd.Series(dtype="object"), "slot": pd.Series(dtype="int64"), "sim": pd.Series(dtype="float64")})
+    sims = unit_rows(left["embedding"]) @ unit_rows(right["embedding"]).T
     own_slot = (left["slot"].to_numpy() == left["own_slot"].to_numpy())[:, None]
     inside = same_key & np.where(
         own_slot,
@@ -223,7 +225,7 @@ def _nearest_kernel(left: pd.DataFrame, right: pd.DataFrame, same_key: np.ndarra
     )
     best = np.where(inside, sims, -np.inf).max(axis=1)
     seen = np.isfinite(best)
-    return pd.DataFrame({"head": left["head"].to_numpy()[seen], "sim": best[seen]})
+    return pd.DataFrame({"head": left["head"].to_numpy()[seen], "slot": left["slot"].to_numpy()[seen], "sim": best[seen]})
 
 
 def _head(ticker: str, slot: Column | str, embedding: str) -> Column:
@@ -242,31 +244,75 @@ def _vector_groups(embeds: DataFrame, hours: int) -> DataFrame:
     )
 
 
-def nearest_earlier(embeds: DataFrame, hours: int = 24, block_rows: int = 2048) -> DataFrame:
-    """Per distinct vector of a ticker and time slot, the similarity of the nearest vector in the look-back.
+_SIMS = "head string, slot bigint, sim double"
 
-    Slots are as wide as the look-back [t - hours, t), so a vector needs its own slot and the one before. A
-    group of equal vectors is one row: in the own slot only its first time matters, in the earlier slot only
-    its last. Slots of any size are worked off block by block.
+
+def _sides(groups: DataFrame, hours: int) -> tuple[DataFrame, DataFrame]:
+    """Vectors that look back, once for each slot that they look into, and vectors that are found there.
+
+    Vectors are shipped as they are stored, and made unit vectors where they meet.
     """
-    groups = _vector_groups(embeds, hours).withColumn("vec", unit(F.col("embedding"))).filter("vec is not null")
     left = groups.select(
         "ticker",
         F.col("slot").alias("own_slot"),
         "head",
-        "vec",
+        "embedding",
         "first_us",
         (F.col("first_us") - hours * HOUR * 1_000_000).alias("since_us"),
         F.explode(F.array(F.col("slot"), F.col("slot") - 1)).alias("slot"),
     )
-    right = groups.select("ticker", "slot", F.col("head").alias("other"), "vec", "first_us", "last_us")
-    sims = block_join(
-        left, right, ["ticker", "slot"], "head", "other", _nearest_kernel, "head string, sim double", block_rows
-    )
-    return sims.groupBy("head").agg(F.max("sim").alias("sim"))
+    return left, groups.select("ticker", "slot", F.col("head").alias("other"), "embedding", "first_us", "last_us")
+
 
+def pruned_meetings(
+    groups: DataFrame, slots: DataFrame, hours: int, block_rows: int, pivots: int = 16
+) -> tuple[DataFrame, DataFrame]:
+    """Similarities of nearest predecessors in the given slots, and which cells each vector met (with ``members``).
+
+    Every vector meets its own cell; then those cells of the slot that may hold something more similar than that.
+    """
+    keys = ["ticker", "slot"]
+    sides = [side.join(slots, keys, "left_semi") for side in _sides(groups, hours)]
+    points = choose_pivots(sides[1], pivots)
+    left, right = (stored(with_cells(side, points), "novelty-cells") for side in sides)
 
-def novelty(embeds: DataFrame, hours: int = 24, block_rows: int = 2048) -> DataFrame:
+    def met(rows: DataFrame) -> DataFrame:
+        return block_join(rows, right, [*keys, "cell"], "head", "other", _nearest_kernel, _SIMS, block_rows)
+
+    at_home = stored(met(left), "novelty-home")
+    ranges = cell_ranges(right, keys, len(points))
+    best = at_home.groupBy("head", "slot").agg(F.max("sim").alias("sim"))
+    found = best.join(left.select("head", *keys).distinct(), ["head", "slot"]).select("head", *keys, "sim")
+    further = stored(meetings(left, ranges, keys, len(points), found), "novelty-further")
+    home = left.join(ranges.select(*keys, "cell", "members"), [*keys, "cell"]).select("head", *keys, "cell", "members")
+    return at_home.unionByName(met(further.drop("members"))), home.unionByName(further.select("head", *keys, "cell", "members"))
+
+
+def nearest_earlier(embeds: DataFrame, hours: int = 24, block_rows: int = 2048, pivot_rows: int = 8192) -> DataFrame:
+    """Per distinct vector of a ticker and time slot, the similarity of the nearest vector in the look-back.
+
+    Slots are as wide as the look-back [t - hours, t), so a vector needs its own slot and the one before. A
+    group of equal vectors is one row: in the own slot only its first time matters, in the earlier slot only
+    its last. Slots are worked off block by block; in those of more than ``pivot_rows`` vectors, cells around pivots are left
+    out where angles say that nothing more similar can be in them. Both ways are exact.
+    """
+    keys = ["ticker", "slot"]
+    groups = _vector_groups(embeds, hours).filter(norm(F.col("embedding")) > 0)
+    heavy = None
+    if embeds.limit(pivot_rows + 1).count() > pivot_rows:
+        sizes = groups.groupBy(*keys).agg(F.count("*").alias("_n"))
+        heavy = stored(sizes.filter(F.col("_n") > pivot_rows).select(*keys), "novelty-heavy")
+    left, right = _sides(groups, hours)
+    if heavy is None or heavy.isEmpty():
+        sims = block_join(left, right, keys, "head", "other", _nearest_kernel, _SIMS, block_rows)
+        return sims.groupBy("head").agg(F.max("sim").alias("sim"))
+    pruned, _ = pruned_meetings(groups, heavy, hours, block_rows)
+    left, right = (side.join(heavy, keys, "left_anti") for side in (left, right))
+    sims = block_join(left, right, keys, "head", "other", _nearest_kernel, _SIMS, block_rows)
+    return sims.unionByName(pruned).groupBy("head").agg(F.max("sim").alias("sim"))
+
+
+def novelty(embeds: DataFrame, hours: int = 24, block_rows: int = 2048, pivot_rows: int = 8192) -> DataFrame:
     """1 minus the largest cosine similarity to the ticker's articles of the preceding hours; 1 when none.
 
     Input: article_id, ticker, published_at, embedding. An article that repeats a vector of its own slot has
@@ -284,7 +330,7 @@ def novelty(embeds: DataFrame, hours: int = 24, block_rows: int = 2048) -> DataF
         (norm(F.col("embedding")) > 0).alias("_long"),
     )
     firsts = _vector_groups(embeds, hours).select("head", "first_us")
-    nearest = firsts.join(nearest_earlier(embeds, hours, block_rows), "head", "left")
+    nearest = firsts.join(nearest_earlier(embeds, hours, block_rows, pivot_rows), "head", "left")
     repeat = F.col("_long") & (F.col("_us") > F.col("first_us"))
     similarity = F.when(repeat, F.lit(1.0)).otherwise(F.coalesce("sim", F.lit(0.0)))
     return (
