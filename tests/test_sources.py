@@ -157,3 +157,34 @@ def test_repeats_across_batches(spark):
     stream = jobs.file_stream(spark, path, spark.read.parquet(path).schema, "parquet", maxFilesPerTrigger=1)
     log = jobs.run_to_log(jobs.first_by_url(stream), work_dir(spark, "d"), "append")
     assert spark.read.parquet(log).count() == 1
+
+
+def test_silent_tickers_leave_no_state(spark):
+    """Timers drop a ticker's counts and first hour once the watermark has passed its look-back; the runs end by themselves."""
+    jobs.use_rocksdb_state(spark)
+    root = work_dir(spark, "silent")
+    start = dt.datetime(2024, 1, 1)
+
+    def run(hours):
+        rows = [(start + dt.timedelta(hours=h), t) for h, t in hours]
+        spark.createDataFrame(rows, "ts timestamp, ticker string").coalesce(1).write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema("ts timestamp, ticker string").parquet(f"{root}/in")
+        log = jobs.run_to_log(jobs.running_velocity(stream, days=2), root, "append")
+        options = {"path": f"{root}/checkpoint", "operatorId": 0}
+        held = {
+            name: [r.key[0] for r in spark.read.format("statestore").options(stateVarName=name, **options).load().collect()]
+            for name in ("first", "counts")
+        }
+        return held, {(r.ticker, r.hour): r.velocity for r in jobs.read_log(spark, log, ["ticker", "hour"]).collect()}
+
+    held, _ = run([(h, "A") for h in range(5)] + [(1, "B")])
+    assert set(held["first"]) == {"A", "B"} and len(held["counts"]) >= 4
+    held, _ = run([(30, "B")])
+    assert set(held["first"]) == {"A", "B"}
+    held, got = run([(60, "C")])
+    # A's last hour is 4, and 48 hours after it nothing can look back at it.
+    assert set(held["first"]) == {"B"} and set(held["counts"]) == {"B"}
+    assert got["B", start + dt.timedelta(hours=30)] > 0
+    held, got = run([(300, "D"), (300, "A")])
+    assert held == {"first": [], "counts": []}
+    assert len(got) == 8

@@ -22,7 +22,7 @@ from tickerloom.operators.validate import check_raw_items, quarantined_rows, val
 from tickerloom.schemas import RAW_LANDED
 from tickerloom.sources.readers import map_news_items
 
-HOUR_US = 3_600_000_000
+HOUR_US, HOUR_MS = 3_600_000_000, 3_600_000
 
 
 def file_stream(spark: SparkSession, path: str, schema: T.StructType, fmt: str, **options: Any) -> DataFrame:
@@ -124,13 +124,15 @@ VELOCITY_SCHEMA = T.StructType(
 class VelocityProcessor(StatefulProcessor):
     """z-score of each closed hour against the ticker's preceding days.
 
-    Kept per ticker: its first hour, and the non-zero hourly counts of the look-back.
+    Kept per ticker: its first hour, and the non-zero hourly counts of the look-back. A timer in event time drops both once
+    the watermark has passed the look-back of the ticker's last hour; a ticker that speaks again after that begins anew.
     """
 
     def __init__(self, days: int) -> None:
         self.hours = days * 24
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.first = handle.getValueState("first", T.StructType([T.StructField("hour", T.LongType())]))
         self.counts = handle.getMapState(
             "counts",
@@ -138,6 +140,10 @@ class VelocityProcessor(StatefulProcessor):
             T.StructType([T.StructField("n", T.LongType())]),
         )
 
+    def _expiry(self, hour: int) -> int:
+        """Milliseconds at which no further hour can have this one in its look-back."""
+        return (hour + self.hours + 1) * HOUR_MS
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values("hour")
         hours = (arrived["hour"].astype("datetime64[us]").astype("int64") // HOUR_US).tolist()
@@ -150,8 +156,12 @@ class VelocityProcessor(StatefulProcessor):
             scores.append(self._score(n, min(hour - first, self.hours), sum(back), sum(c * c for c in back)))
             held[hour] = n
             self.counts.updateValue((hour,), (n,))
-        for hour in [h for h in held if h < hours[-1] - self.hours]:
+        last = max(held)
+        for hour in [h for h in held if h < last - self.hours]:
             self.counts.removeKey((hour,))
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(self._expiry(last))
         yield pd.DataFrame(
             {
                 "ticker": key[0],
@@ -161,6 +171,11 @@ class VelocityProcessor(StatefulProcessor):
             }
         )
 
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+        self.first.clear()
+        self.counts.clear()
+        yield from ()
+
     @staticmethod
     def _score(count: int, n: int, total: int, squares: int) -> float:
         spread = squares * n - total * total
@@ -180,7 +195,7 @@ def running_velocity(stream: DataFrame, days: int = 30, delay: str = "1 hour") -
     return (
         hourly_mentions(stream, delay)
         .groupBy("ticker")
-        .transformWithStateInPandas(VelocityProcessor(days), VELOCITY_SCHEMA, "append", "none")
+        .transformWithStateInPandas(VelocityProcessor(days), VELOCITY_SCHEMA, "append", "eventTime")
     )
 
 
