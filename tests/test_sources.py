@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators import features as ft
 from tickerloom.session import work_dir
+from tickerloom.sources import locator
 from tickerloom.sources import readers as rd
 from tickerloom.sources import zones as zn
 from tickerloom.streaming import jobs
@@ -188,3 +189,50 @@ def test_silent_tickers_leave_no_state(spark):
     held, got = run([(300, "D"), (300, "A")])
     assert held == {"first": [], "counts": []}
     assert len(got) == 8
+
+
+def test_upsert_by_key_whatever_the_date(spark):
+    """Keys that change their date leave one row, and only folders that hold a key are written again."""
+    root = work_dir(spark, "moves")
+    start = dt.datetime(2024, 1, 1)
+    rows = [(f"u{d}-{i}", start + dt.timedelta(days=d, hours=i % 24), 0) for d in range(20) for i in range(50)]
+    frame = lambda rows: spark.createDataFrame(rows, "url string, ts timestamp, x int")
+    path = zn.write_zone(frame(rows), root, "clean", "t", "ts", ["url"])
+    files = lambda: {r.date: r.f for r in spark.read.parquet(path).select("date", F.input_file_name().alias("f")).distinct().collect()}
+    before = files()
+    batch = [("u3-7", start + dt.timedelta(days=9), 1), ("u3-8", start + dt.timedelta(days=3), 1), ("new", start + dt.timedelta(days=30), 1)]
+    may, holding = locator.dates_holding(spark, root, "clean", "t", ["url"], frame(batch))
+    assert holding == ["2024-01-04"] and len(may) <= 3
+    # Every date is found for its own keys, and few others are.
+    for d in (0, 7, 19):
+        some = [(f"u{d}-{i}", start, 0) for i in range(50)]
+        may, holding = locator.dates_holding(spark, root, "clean", "t", ["url"], frame(some))
+        assert holding == [str((start + dt.timedelta(days=d)).date())] and len(may) <= 12
+    assert locator.dates_holding(spark, root, "clean", "t", ["url"], frame([]))[1] == []
+    for _ in range(2):  # again: a repeated batch changes nothing
+        zn.upsert_zone(frame(batch), root, "clean", "t", "ts", ["url"], ["x"])
+        got = {r.url: (r.ts, r.x) for r in spark.read.parquet(path).collect()}
+        assert len(got) == spark.read.parquet(path).count() == 1001
+        assert got["u3-7"] == (start + dt.timedelta(days=9), 1) and got["new"][1] == 1
+    changed = {d for d, f in files().items() if before.get(d) != f}
+    assert {str(d) for d in changed} == {"2024-01-04", "2024-01-10", "2024-01-31"}
+    # A date that loses its last row loses its folder, and a rewritten date its summaries.
+    zn.upsert_zone(frame([("new", start, 2)]), root, "clean", "t", "ts", ["url"], ["x"])
+    assert "2024-01-31" not in locator.date_folders(spark, path)
+    zn.write_zone(frame([("only", start, 3)]), root, "clean", "t", "ts", ["url"])
+    assert locator.dates_holding(spark, root, "clean", "t", ["url"], frame([("only", start, 0)]))[1] == ["2024-01-01"]
+    assert locator.dates_holding(spark, root, "clean", "t", ["url"], frame([("new", start, 0)]))[1] == []
+
+
+def test_filters_of_many_keys(spark):
+    root = work_dir(spark, "many")
+    rows = spark.range(40_000).select("id", F.timestamp_seconds(F.lit(1704067200) + F.pmod("id", F.lit(4)) * 86400).alias("ts"))
+    zn.write_zone(rows, root, "clean", "t", "ts")
+    locator.refresh(spark, root, "clean", "t", ["id"])
+    bloom = spark.read.parquet(f"{root}/clean/t.keys/bloom")
+    assert {r.buckets for r in bloom.select("buckets").distinct().collect()} == {4}
+    for n in (8, 5000, 39_999):
+        may, holding = locator.dates_holding(spark, root, "clean", "t", ["id"], spark.createDataFrame([(n,)], "id bigint"))
+        assert holding == [f"2024-01-0{n % 4 + 1}"] and set(holding) <= set(may)
+    strangers = spark.range(10**6, 10**6 + 20)
+    assert locator.dates_holding(spark, root, "clean", "t", ["id"], strangers)[1] == []

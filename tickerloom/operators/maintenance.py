@@ -20,21 +20,22 @@ def merge_by_key(
     keep_old: list[str] | None = None,
     drop_unmatched: bool = False,
 ) -> DataFrame:
-    """Upsert: a new row overwrites every field of its key, nulls included, except the ``keep_old`` columns."""
-    kept = set(keep_old or [])
-    batch = keep_last_in_batch(new, [key], seq).select(
-        F.col(key), *[F.col(c).alias(f"_new_{c}") for c in old.columns if c != key], F.lit(True).alias("_new")
-    )
-    joined = old.withColumn("_old", F.lit(True)).join(batch, key, "right" if drop_unmatched else "full")
-
-    def choose(c: str) -> Column:
-        if c == key:
-            return F.col(c)
-        if c in kept:
-            return F.when(F.col("_old"), F.col(c)).otherwise(F.col(f"_new_{c}")).alias(c)
-        return F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(F.col(c)).alias(c)
+    """Upsert: a new row overwrites every field of its key, nulls included, except the ``keep_old`` columns.
 
-    return joined.select(*[choose(c) for c in old.columns])
+    Old rows pass by an anti join and aren't shuffled when the batch is small; of the old table only the kept columns of the
+    batch's keys are joined. ``drop_unmatched`` leaves the batch's keys alone.
+    """
+    kept = keep_old or []
+    batch = keep_last_in_batch(new, [key], seq).select(*[F.col(c) for c in old.columns])
+    if kept:
+        known = old.select(F.col(key), F.struct(*kept).alias("_old"))
+        joined = batch.join(known, key, "left")
+        # A known row keeps its value even if that is null.
+        value = {c: F.when(F.col("_old").isNotNull(), F.col(f"_old.{c}")).otherwise(F.col(c)).alias(c) for c in kept}
+        batch = joined.select(*[value.get(c, F.col(c)) for c in old.columns])
+    if drop_unmatched:
+        return batch
+    return old.join(batch.select(key), key, "left_anti").unionByName(batch)
 
 
 def upsert_articles(old: DataFrame, batch: DataFrame, retrieved_at: Any, seq: list[str]) -> DataFrame:

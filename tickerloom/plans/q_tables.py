@@ -257,8 +257,15 @@ def insert_signals(spark, sf):
 
 @query(
     "upsert_embeds",
-    """SELECT d.doc_id AS article_id, CAST(CASE WHEN d.doc_id IN (SELECT doc_id FROM labels) THEN 16 ELSE 64 END AS BIGINT) AS dims
-    FROM (SELECT doc_id FROM labels UNION SELECT vec_id FROM embeddings) d""",
+    r"""SELECT article_id, array_to_string([CAST(round(1000000 * x) AS BIGINT) FOR x IN embedding], ',') AS embedding,
+      CAST(len(embedding) AS BIGINT) AS dims FROM (
+        SELECT vec_id AS article_id, CAST(embedding AS DOUBLE[]) AS embedding FROM embeddings WHERE vec_id NOT IN (SELECT doc_id FROM labels)
+        UNION ALL SELECT id, [c / sqrt(list_sum([y * y FOR y IN counts])) FOR c IN counts]
+        FROM (SELECT id, [CAST(len([s FOR s IN slots IF s = i]) AS DOUBLE) FOR i IN range(0, 16)] AS counts
+          FROM (SELECT id, [CAST(concat('0x', substr(sha1(x), 1, 15)) AS BIGINT) % 16
+              FOR x IN regexp_split_to_array(lower(title || ' ' || substr(text, 1, 200)), '[^\p{L}\p{Nd}]+') IF x <> ''] AS slots
+            FROM v_article WHERE id IN (SELECT doc_id FROM labels)))
+        WHERE list_sum(counts) > 0)""",
 )
 def upsert_embeds(spark, sf):
     """New vectors for the labelled documents replace or join the stored ones."""
@@ -266,7 +273,8 @@ def upsert_embeds(spark, sf):
     labelled = v.table(spark, sf, "labels").select(F.col("doc_id").alias("id"))
     new = hashed_embeddings(v.articles(spark, sf).join(labelled, "id", "left_semi"), dims=16, lead=200)
     merged = mt.upsert_embeddings(old, new, ["model"])
-    return merged.select("article_id", F.col("dims").cast("bigint").alias("dims"))
+    whole = F.transform("embedding", lambda x: F.round(x * 1000000).cast("bigint"))
+    return merged.select("article_id", F.array_join(whole, ",").alias("embedding"), F.col("dims").cast("bigint").alias("dims"))
 
 
 @query(
@@ -435,6 +443,22 @@ def zone_upsert(spark, sf):
     return zn.read_zone(spark, root, "clean", "article").drop("date")
 
 
+@query(
+    "zone_move",
+    f"""SELECT id, url, CASE WHEN id % 7 = 2 THEN ts + INTERVAL 2 DAY ELSE ts END AS ts FROM ({_DATED})
+    UNION ALL SELECT -1, 'later', (SELECT max(ts) + INTERVAL 5 DAY FROM ({_DATED}))""",
+)
+def zone_move(spark, sf):
+    """A batch in which some addresses change their day: each keeps one row, found by the key summaries."""
+    root = work_dir(spark, "zone-move")
+    rows = _dated_articles(spark, sf)
+    zn.write_zone(rows, root, "clean", "article", "ts", ["id"])
+    moved = rows.filter(F.pmod("id", F.lit(7)) == 2).withColumn("ts", F.col("ts") + F.expr("INTERVAL 2 DAY"))
+    last = rows.agg(F.lit(-1).cast("bigint").alias("id"), F.lit("later").alias("url"), (F.max("ts") + F.expr("INTERVAL 5 DAY")).alias("ts"))
+    zn.upsert_zone(moved.unionByName(last), root, "clean", "article", "ts", ["id"], ["url"])
+    return zn.read_zone(spark, root, "clean", "article").drop("date")
+
+
 @query("zone_retention", f"SELECT * FROM ({_DATED}) WHERE ts >= TIMESTAMP '2024-01-03 00:00:00'")
 def zone_retention(spark, sf):
     """Old days dropped as whole folders."""

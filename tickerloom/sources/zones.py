@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.operators.dedupe import keep_last_in_batch
 from tickerloom.session import stored
+from tickerloom.sources import locator
 
 ZONES = ("raw", "clean", "features")
 
@@ -25,16 +26,24 @@ def write_zone(
     if zone not in ZONES:
         raise ValueError(f"no such zone: {zone}")
     path = f"{root.rstrip('/')}/{zone}/{table}"
+    if locator.exists(df.sparkSession, root, zone, table):
+        df = stored(df, "zone-rows")
+        dates = [str(r.date) for r in df.select(F.to_date(ts).alias("date")).distinct().collect()]
+        locator.forget(df.sparkSession, root, zone, table, dates)
+    _write(df, path, ts, sort or [], "append" if mode == "append" else "overwrite")
+    return path
+
+
+def _write(df: DataFrame, path: str, ts: str, sort: list[str], mode: str) -> None:
     dated = df.withColumn("date", F.to_date(ts))
     (
         dated.hint("rebalance", "date")
-        .sortWithinPartitions("date", *(sort or []), ts)
-        .write.mode("append" if mode == "append" else "overwrite")
+        .sortWithinPartitions("date", *sort, ts)
+        .write.mode(mode)
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("date")
         .parquet(path)
     )
-    return path
 
 
 def read_zone(spark: SparkSession, root: str, zone: str, table: str, start=None, end=None) -> DataFrame:
@@ -52,6 +61,8 @@ def drop_dates(spark: SparkSession, root: str, zone: str, table: str, before=Non
     jvm, path = spark.sparkContext._jvm, f"{root.rstrip('/')}/{zone}/{table}"
     top = jvm.org.apache.hadoop.fs.Path(path)
     fs = top.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(top):
+        return []
     wanted, gone = {str(d) for d in dates or []}, []
     for status in fs.listStatus(top):
         name = status.getPath().getName()
@@ -59,16 +70,28 @@ def drop_dates(spark: SparkSession, root: str, zone: str, table: str, before=Non
         if name.startswith("date=") and (date in wanted or (before is not None and date < str(before))):
             fs.delete(status.getPath(), True)
             gone.append(date)
+    locator.forget(spark, root, zone, table, gone)
     return sorted(gone)
 
 
 def upsert_zone(df: DataFrame, root: str, zone: str, table: str, ts: str, keys: list[str], seq: list[str]) -> str:
-    """Upsert by key within the date of a row: only the dates present in ``df`` are read and written again."""
+    """Upsert by key, whatever the date: a key that changes its date leaves its old one.
+
+    The summaries of ``locator`` say which dates hold keys of the batch; only these and the batch's own dates are read and
+    written again. A run that breaks off may be repeated.
+    """
     spark = df.sparkSession
     path = f"{root.rstrip('/')}/{zone}/{table}"
-    new = stored(keep_last_in_batch(df.withColumn("date", F.to_date(ts)), ["date", *keys], seq), "zone-upsert")
-    touched = [r.date for r in new.select("date").distinct().collect()]
-    old = spark.read.schema(new.schema).parquet(path).filter(F.col("date").isin(touched))
-    kept = old.join(new.select("date", *keys), ["date", *keys], "left_anti")
+    new = stored(keep_last_in_batch(df.withColumn("date", F.to_date(ts)), keys, seq), "zone-upsert")
+    _, holding = locator.dates_holding(spark, root, zone, table, keys, new)
+    touched = sorted({*holding, *(str(r.date) for r in new.select("date").distinct().collect())})
+    old = spark.read.schema(new.schema).parquet(path).filter(F.col("date").isin([F.lit(d).cast("date") for d in touched]))
+    kept = old.join(new.select(*keys), keys, "left_anti")
     merged = stored(kept.unionByName(new).drop("date"), "zone-merged")
-    return write_zone(merged, root, zone, table, ts, keys)
+    left = {str(r.date) for r in merged.select(F.to_date(ts).alias("date")).distinct().collect()}
+    locator.forget(spark, root, zone, table, touched)
+    _write(merged, path, ts, keys, "overwrite")
+    # A date whose rows have all moved away isn't written, so its folder goes.
+    drop_dates(spark, root, zone, table, dates=[d for d in touched if d not in left])
+    locator.refresh(spark, root, zone, table, keys)
+    return path
