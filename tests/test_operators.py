@@ -416,6 +416,33 @@ def test_linker(spark):
     assert [(s.start, s.end) for s in spans.char_spans] == [(2, 7), (10, 15)]
 
 
+@pytest.mark.parametrize("max_heads", [0, 5000])
+def test_phrases_begin_at_first_words(spark, max_heads):
+    """Terms of one to four words with common first words, against all runs of words."""
+    rng = random.Random(11)
+    words = ["Big", "Blue", "Sky", "Oil", "Co", "#1", "x"]
+    names = {" ".join(rng.choices(words, k=rng.choice([1, 2, 3, 4]))) for _ in range(25)}
+    tickers = spark.createDataFrame(
+        [(f"T{chr(65 + i)}", n, [f"{n} Inc", "Oil"] if i % 3 else None) for i, n in enumerate(sorted(names))],
+        "symbol string, name string, aliases array<string>",
+    )
+    marks = [" ", ", ", " - ", " (", ") "]
+    texts = ["".join(w + rng.choice(marks) for w in rng.choices([*words, "Inc", "TA", "$TB", "other"], k=40)) for _ in range(60)] + [None, "", "Oil"]
+    articles = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    terms = {(r.term, r.ticker) for r in ln.alias_terms(tickers).collect()}
+    import re
+
+    want = set()
+    for i, text in enumerate(texts):
+        tokens = re.findall(r"[\w$#]\S*[\w#]|[\w#]", text or "")
+        runs = {" ".join(tokens[a : a + n]) for n in range(1, 6) for a in range(len(tokens) - n + 1)}
+        want |= {(i, ticker, term) for term, ticker in terms if term in runs and not term.startswith("$")}
+    got = ln.mentions(articles, tickers, cashtags=False, max_heads=max_heads).select("article_id", "ticker", "term").collect()
+    assert len(got) == len(set(got)) and {tuple(r) for r in got} == want and len(want) > 100
+    both = ln.mentions(articles, tickers, max_heads=max_heads).filter("method = 'cashtag'").select("article_id").distinct().count()
+    assert both == sum("$TB" in (t or "") for t in texts)
+
+
 def test_cashtag_boundaries(spark):
     tickers = spark.createDataFrame([("AAPL", "x", None), ("BRK.B", "y", None), ("A", "z", None)], "symbol string, name string, aliases array<string>")
     cases = {

@@ -30,25 +30,37 @@ def _tokens(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(_WORD), 0)
 
 
-def phrase_lengths(terms: DataFrame) -> list[int]:
-    """The different numbers of words that the terms of a dictionary have; runs a small job over the dictionary."""
-    lengths = terms.select(F.size(_tokens(F.col("term"))).alias("n")).distinct().filter("n > 0").collect()
-    return sorted(r.n for r in lengths)
+def term_heads(terms: DataFrame) -> DataFrame:
+    """``head``, the first word of terms, and ``lengths``, the numbers of words of the terms that begin with it."""
+    tokens = _tokens(F.col("term"))
+    counted = terms.select(tokens[0].alias("head"), F.size(tokens).alias("n")).filter("head is not null")
+    return counted.groupBy("head").agg(F.array_sort(F.collect_set("n")).alias("lengths"))
 
 
-def _phrases(text: Column, lengths: list[int]) -> Column:
-    """Distinct runs of words of the whole text, of each of the given lengths."""
+def _runs(tokens: Column, start: Column, lengths: Column) -> Column:
+    """Runs of words from a place on, of each of the lengths, as far as there are words."""
+    whole = F.filter(lengths, lambda n: start + n <= F.size(tokens))
+    return F.transform(whole, lambda n: F.array_join(F.slice(tokens, start + 1, n), " "))
 
-    def all_runs(tokens: Column) -> Column:
-        def runs(n: int) -> Column:
-            starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-            return F.coalesce(
-                F.transform(starts, lambda i: F.array_join(F.slice(tokens, i, n), " ")), F.array().cast("array<string>")
-            )
 
-        return F.array_distinct(F.concat(F.array().cast("array<string>"), *[tokens if n == 1 else runs(n) for n in lengths]))
+def _phrases(text: Column, heads: dict[str, list[int]]) -> Column:
+    """Distinct runs of words of the whole text that begin with the first word of a term and are as long as its terms."""
+    groups: dict[tuple[int, ...], list[str]] = {}
+    for head, lengths in heads.items():
+        groups.setdefault(tuple(lengths), []).append(head)
 
-    return let(_tokens(text), all_runs)
+    def found(tokens: Column) -> Column:
+        def at(word: Column, i: Column) -> Column:
+            out = F.lit(None).cast("array<string>")
+            for lengths, own in groups.items():
+                runs = F.array(word) if lengths == (1,) else _runs(tokens, i, F.array(*[F.lit(n) for n in lengths]))
+                out = F.when(word.isin(own), runs).otherwise(out)
+            return out
+
+        hits = F.filter(F.transform(tokens, at), lambda runs: runs.isNotNull())
+        return F.array_distinct(F.flatten(F.coalesce(hits, F.array().cast("array<array<string>>"))))
+
+    return let(_tokens(text), found) if groups else F.array().cast("array<string>")
 
 
 def _links(found: DataFrame) -> DataFrame:
@@ -67,33 +79,52 @@ def _links(found: DataFrame) -> DataFrame:
     )
 
 
-def _dictionary(tickers: DataFrame, cashtags: bool, aliases: bool) -> tuple[DataFrame, list[int]]:
-    """Terms to look for, a cashtag with its dollar sign, and the lengths of phrases they need."""
+def _dictionary(tickers: DataFrame, cashtags: bool, aliases: bool, min_symbol: int) -> DataFrame:
+    """Terms to look for, a cashtag with its dollar sign."""
     tags = tickers.select(
         F.concat(F.lit("$"), "symbol").alias("term"), F.col("symbol").alias("ticker"), F.lit("cashtag").alias("method")
     )
     if not aliases:
-        return tags, []
-    terms = alias_terms(tickers)
-    return (tags.unionByName(terms) if cashtags else terms), phrase_lengths(terms)
+        return tags
+    terms = alias_terms(tickers, min_symbol)
+    return tags.unionByName(terms) if cashtags else terms
 
 
-def mentions(articles: DataFrame, tickers: DataFrame, cashtags: bool = True, aliases: bool = True) -> DataFrame:
-    """Cashtags, symbols and synonyms of known tickers: (article_id, ticker, method, term), from one pass over the text.
+def _phrase_rows(articles: DataFrame, heads: DataFrame, max_heads: int) -> DataFrame:
+    """``article_id`` and ``term`` for every run of words that may be a term.
 
-    Phrases are as long as the dictionary's terms are. Spark broadcasts the dictionary when its size allows.
+    A small dictionary's first words travel with the plan, and words are looked up where they are found; otherwise the distinct
+    words of each article meet them in a join, whose strategy Spark chooses by size.
+    """
+    few = heads.limit(max_heads + 1).collect()
+    if len(few) <= max_heads:
+        plain = {r.head: list(r.lengths) for r in few if not r.head.startswith("$")}
+        return articles.select(F.col("id").alias("article_id"), F.explode(_phrases(F.col("text"), plain)).alias("term"))
+    worded = articles.select(F.col("id").alias("article_id"), _tokens(F.col("text")).alias("tokens"))
+    met = worded.select("article_id", "tokens", F.explode(F.array_distinct("tokens")).alias("head")).join(heads, "head")
+    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == F.col("head"))
+    runs = F.flatten(F.transform(places, lambda i: _runs(F.col("tokens"), i, F.col("lengths"))))
+    return met.filter(~F.col("head").startswith("$")).select("article_id", F.explode(F.array_distinct(runs)).alias("term"))
+
+
+def mentions(
+    articles: DataFrame, tickers: DataFrame, cashtags: bool = True, aliases: bool = True, min_symbol: int = 2, max_heads: int = 5000
+) -> DataFrame:
+    """Cashtags, symbols and synonyms of known tickers: (article_id, ticker, method, term).
+
+    A phrase is formed only where the first word of a term stands. A word such as $ABC is left to the cashtags, which know
+    where a tag ends. Bare symbols of fewer than ``min_symbol`` letters aren't looked for.
     """
-    terms, lengths = _dictionary(tickers, cashtags, aliases)
-    found = F.array().cast("array<string>")
+    terms = _dictionary(tickers, cashtags, aliases, min_symbol)
+    found = None
     if cashtags:
         tags = F.array_distinct(F.regexp_extract_all("text", F.lit(CASHTAG_PATTERN), 1))
-        found = F.concat(found, F.transform(tags, lambda t: F.concat(F.lit("$"), t)))
+        tagged = articles.filter(F.contains("text", F.lit("$")))
+        found = tagged.select(F.col("id").alias("article_id"), F.explode(F.transform(tags, lambda t: F.concat(F.lit("$"), t))).alias("term"))
     if aliases:
-        # A word such as $ABC is left to the cashtags, which know where a tag ends.
-        plain = F.filter(_phrases(F.col("text"), lengths), lambda p: ~p.startswith("$"))
-        found = F.concat(found, plain)
-    candidates = articles.select(F.col("id").alias("article_id"), F.explode(found).alias("term"))
-    return candidates.join(terms, "term").select("article_id", "ticker", "method", "term")
+        phrases = _phrase_rows(articles, term_heads(terms), max_heads)
+        found = phrases if found is None else found.unionByName(phrases)
+    return found.join(terms, "term").select("article_id", "ticker", "method", "term")
 
 
 def link_cashtags(articles: DataFrame, tickers: DataFrame) -> DataFrame:
