@@ -124,15 +124,27 @@ def hashed_embeddings(articles: DataFrame, dims: int, lead: int, model: str = "h
     body = title_and_lead(F.col("title"), F.col("text"), lead)
     slots = F.transform(words(body), lambda w: F.pmod(word_hash(w), F.lit(dims)).cast("int"))
 
-    def counts(ss: Column) -> Column:
-        return F.transform(
-            F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.size(F.filter(ss, lambda s: s == i)).cast("double")
-        )
+    def counts(sorted_slots: Column) -> Column:
+        """Counts of all slots in one pass: after each run of equal slots its length, and zeros for the slots between."""
+        places = F.transform(sorted_slots, lambda s, i: F.struct(s.alias("slot"), i.alias("at")))
+        ends = F.filter(places, lambda p: F.coalesce(F.get(sorted_slots, p["at"] + 1) != p["slot"], F.lit(True)))
+        start = F.struct(F.lit(-1).alias("slot"), F.lit(-1).alias("at"))
+
+        def pieces(ends: Column) -> Column:
+            def piece(end: Column, i: Column) -> Column:
+                last = F.coalesce(F.get(ends, i - 1), start)
+                zeros = F.array_repeat(F.lit(0.0), end["slot"] - last["slot"] - 1)
+                return F.concat(zeros, F.array((end["at"] - last["at"]).cast("double")))
+
+            tail = F.array_repeat(F.lit(0.0), dims - 1 - F.element_at(ends, -1)["slot"])
+            return F.concat(F.flatten(F.transform(ends, piece)), tail)
+
+        return let(ends, pieces)
 
     worded = articles.filter(body.rlike(r"[\p{L}\p{Nd}]"))
     return worded.select(
         F.col("id").alias("article_id"),
-        let(let(slots, counts), unit).alias("embedding"),
+        let(let(F.array_sort(slots), counts), unit).alias("embedding"),
         F.lit(model).alias("model"),
         F.lit(dims).alias("dims"),
     )

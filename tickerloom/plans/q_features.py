@@ -135,16 +135,16 @@ def sentiment_by_ticker(spark, sf):
 @query(
     "hash_embed",
     r"""SELECT id AS article_id, array_to_string([CAST(round(1000000 * c / sqrt(list_sum([y * y FOR y IN counts]))) AS BIGINT)
-        FOR c IN counts], ',') AS embedding, CAST(16 AS BIGINT) AS dims
-    FROM (SELECT id, [CAST(len([s FOR s IN slots IF s = i]) AS DOUBLE) FOR i IN range(0, 16)] AS counts
-      FROM (SELECT id, [CAST(concat('0x', substr(sha1(x), 1, 15)) AS BIGINT) % 16
+        FOR c IN counts], ',') AS embedding, CAST(384 AS BIGINT) AS dims
+    FROM (SELECT id, [CAST(len([s FOR s IN slots IF s = i]) AS DOUBLE) FOR i IN range(0, 384)] AS counts
+      FROM (SELECT id, [CAST(concat('0x', substr(sha1(x), 1, 15)) AS BIGINT) % 384
           FOR x IN regexp_split_to_array(lower(title || ' ' || substr(text, 1, 400)), '[^\p{L}\p{Nd}]+') IF x <> ''] AS slots
         FROM v_article))
     WHERE list_sum(counts) > 0""",
 )
 def hash_embed(spark, sf):
     """Hashed word vectors of title and lead, shown in millionths."""
-    embedded = ft.hashed_embeddings(v.articles(spark, sf), dims=16, lead=400)
+    embedded = ft.hashed_embeddings(v.articles(spark, sf), dims=384, lead=400)
     whole = F.transform("embedding", lambda x: F.round(x * 1000000).cast("bigint"))
     return embedded.select(
         "article_id", F.array_join(whole, ",").alias("embedding"), F.col("dims").cast("bigint").alias("dims")
