@@ -82,10 +82,15 @@ def contributors(mentions: DataFrame, params: ScoreParams) -> DataFrame:
     )
 
 
-def explain(signals: DataFrame, contribs: DataFrame, articles: DataFrame, chars: int = 200) -> DataFrame:
-    """Contributing articles of each signal with excerpt, weight and attribution."""
+def explain(
+    signals: DataFrame, contribs: DataFrame, articles: DataFrame, chars: int = 200, article_key: str = "article_id"
+) -> DataFrame:
+    """Contributing articles of each signal with excerpt, weight and attribution.
+
+    ``article_key`` names the column of ``contribs`` that holds the number of the stored article.
+    """
     shown = articles.select(
-        F.col("id").alias("article_id"), "title", F.substring("text", 1, chars).alias("excerpt"), "source", "license", "url", "retrieved_at"
+        F.col("id").alias(article_key), "title", F.substring("text", 1, chars).alias("excerpt"), "source", "license", "url", "retrieved_at"
     )
     keyed = signals.select(F.col("id").alias("signal_id"), "ticker", "ts", "score")
-    return contribs.join(shown, "article_id").join(keyed, "signal_id")
+    return contribs.join(shown, article_key).join(keyed, "signal_id")

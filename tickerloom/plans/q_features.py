@@ -286,11 +286,13 @@ def top2_contributors(spark, sf):
     "explain",
     """SELECT c.signal_id, c.article_id, CAST(c.rank AS BIGINT) AS rank, round(c.weight, 6) AS weight, s.ticker, s.ts,
       s.score, substr(a.text, 1, 120) AS excerpt, a.source, a.license, a.url, a.retrieved_at
-    FROM v_contrib c JOIN v_article a ON a.id = c.article_id JOIN v_signal s ON s.id = c.signal_id""",
+    FROM v_contrib c JOIN v_article a ON a.id = c.article_id % (SELECT count(*) FROM documents) JOIN v_signal s ON s.id = c.signal_id""",
 )
 def explain(spark, sf):
+    """Every contribution of every signal. There are more events than documents: each event is a mention in one of these."""
     articles = v.articles(spark, sf)
-    out = sc.explain(signals(spark, sf), contribs(spark, sf), articles, 120)
+    mentioned = contribs(spark, sf).withColumn("document", F.pmod("article_id", F.lit(articles.count())))
+    out = sc.explain(signals(spark, sf), mentioned, articles, 120, "document")
     return rounded(out, "weight").select(
         "signal_id", "article_id", F.col("rank").cast("bigint").alias("rank"), "weight", "ticker", "ts", "score",
         "excerpt", "source", "license", "url", "retrieved_at",
