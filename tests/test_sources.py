@@ -7,12 +7,14 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.operators import dedupe as dd
 from tickerloom.operators import features as ft
 from tickerloom.session import work_dir
 from tickerloom.sources import locator
 from tickerloom.sources import readers as rd
 from tickerloom.sources import zones as zn
 from tickerloom.streaming import jobs
+from tickerloom.streaming import neardup as near
 
 ITEM = {
     "source": "gdelt", "source_id": "1", "url": "https://e.com/a?utm_source=x", "published_at": "2023-12-01T12:00:00Z",
@@ -236,3 +238,32 @@ def test_filters_of_many_keys(spark):
         assert holding == [f"2024-01-0{n % 4 + 1}"] and set(holding) <= set(may)
     strangers = spark.range(10**6, 10**6 + 20)
     assert locator.dates_holding(spark, root, "clean", "t", ["id"], strangers)[1] == []
+
+
+def test_near_duplicates_across_batches(spark):
+    """Batches in any order, one of them repeated: the marks are those of all articles at once."""
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(40)]
+    rows = []
+    for i in range(150):
+        title = " ".join(rng.choices(words, k=12))
+        for _ in range(rng.choice([1, 1, 3])):
+            t = title.split()
+            if rng.random() < 0.5:
+                t[rng.randrange(12)] = rng.choice(words)
+            rows.append((len(rows), dt.datetime(2024, 1, 1) + dt.timedelta(minutes=rng.randrange(20_000)), " ".join(t)))
+    rows += [(9000 + i, dt.datetime(2024, 1, 5), "the same title") for i in range(30)] + [(9100, dt.datetime(2024, 1, 2), "..."), (9101, dt.datetime(2024, 1, 2), None)]
+    rng.shuffle(rows)
+    articles = spark.createDataFrame(rows, "id bigint, published_at timestamp, title string")
+    root, path = work_dir(spark, "near"), work_dir(spark, "landed")
+    for part in (rows[:100], rows[100:220], rows[220:]):
+        spark.createDataFrame(part, articles.schema).coalesce(1).write.mode("append").parquet(path)
+        stream = jobs.file_stream(spark, path, articles.schema, "parquet", maxFilesPerTrigger=1)
+        near.mark_near_duplicates(stream, root, horizon_days=60)
+    want = {r.id: (r.simhash, r.dup_of) for r in dd.dedupe_simhash(articles).collect()}
+    got = lambda: {r.id: (r.simhash, r.dup_of) for r in near.read_marked(spark, root).collect()}
+    assert got() == want and sum(d is not None for _, d in want.values()) > 60
+    near.settle_batch(spark.createDataFrame(rows[100:220], articles.schema), 1, root, 60)
+    assert got() == want and near.read_marked(spark, root).count() == len(rows)
+    folders = {str(r.date) for r in spark.read.parquet(f"{root}/keys").select("date").distinct().collect()}
+    assert len(folders) > 10

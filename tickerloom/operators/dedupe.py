@@ -76,14 +76,8 @@ def _flips(max_bits: int) -> Column:
     return F.expr(f"array({', '.join(f'{m}L' for m in masks)})")
 
 
-def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
-    """For each distinct signature the earliest ``first`` among signatures within three bits of it.
-
-    Two signatures at most three bits apart agree on at least three of their six 10-bit blocks, so they
-    meet under one of twenty 30-bit keys. A key shared by few signatures is joined directly. A key shared
-    by many is resolved by neighbourhood instead: sources are spread to the values one flip away, reduced
-    to their earliest there, and looked up from two flips away. That is linear in the group and just as exact.
-    """
+def signature_keys(sigs: DataFrame) -> DataFrame:
+    """``sig``, ``first``, ``key``, ``rest``: the twenty keys of each signature, and the bits that the key leaves free."""
     combos = list(combinations(_BLOCKS, _DISTANCE))
     parts = F.array(
         *[
@@ -94,7 +88,18 @@ def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
             for i, c in enumerate(combos)
         ]
     )
-    keyed = sigs.select("sig", "first", F.explode(parts).alias("p")).select("sig", "first", "p.key", "p.rest")
+    return sigs.select("sig", "first", F.explode(parts).alias("p")).select("sig", "first", "p.key", "p.rest")
+
+
+def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
+    """For each distinct signature the earliest ``first`` among signatures within three bits of it.
+
+    Two signatures at most three bits apart agree on at least three of their six 10-bit blocks, so they
+    meet under one of twenty 30-bit keys. A key shared by few signatures is joined directly. A key shared
+    by many is resolved by neighbourhood instead: sources are spread to the values one flip away, reduced
+    to their earliest there, and looked up from two flips away. That is linear in the group and just as exact.
+    """
+    keyed = signature_keys(sigs)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     # Most keys belong to one signature and end here; what is left is read several times.
     shared = stored(keyed.join(sizes, "key"), "simhash-keys")
@@ -118,12 +123,21 @@ def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
     return found.union(own).groupBy("sig").agg(F.min("other_first").alias("first"))
 
 
+def _worded(title: str) -> Column:
+    return F.coalesce(F.col(title).rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
+
+
+def title_signatures(articles: DataFrame) -> DataFrame:
+    """Add ``simhash`` of the title, null for a title without a word."""
+    return articles.withColumn("simhash", F.when(_worded("title"), simhash(F.col("title"))))
+
+
 def dedupe_simhash(articles: DataFrame, id_col: str = "id", hot_rows: int = 256) -> DataFrame:
     """Add ``simhash`` and ``dup_of``, the id of the earliest near copy (null for the earliest itself).
 
     Copies of one title share a signature and collapse before any comparison.
     """
-    worded = F.coalesce(F.col("title").rlike(r"[\p{L}\p{Nd}]"), F.lit(False))
+    worded = _worded("title")
 
     # The filter asks for a word and not for a signature, which Spark would compute for the filter alone.
     sigs = (

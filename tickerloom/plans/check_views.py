@@ -188,8 +188,15 @@ SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts
 FROM v_bar1m""",
     "v_fwdsession": """
 SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts) / c - 1 END AS forward_return
-FROM v_bar1m WHERE isodow(ts - INTERVAL 5 HOUR) <= 5
-  AND CAST(ts - INTERVAL 5 HOUR AS TIME) BETWEEN TIME '09:30:00' AND TIME '15:59:59'""",
+FROM v_sessionbar""",
+    "v_session": """
+SELECT day::DATE AS session, row_number() OVER (ORDER BY day) AS ordinal,
+  CASE WHEN day = DATE '2024-01-10' THEN TIME '13:00:00' ELSE TIME '16:00:00' END AS closing
+FROM generate_series(DATE '2023-12-26', DATE '2024-03-29', INTERVAL 1 DAY) t(day)
+WHERE isodow(day) <= 5 AND day NOT IN (DATE '2024-01-01', DATE '2024-01-15', DATE '2024-02-19', DATE '2024-03-29', DATE '2024-01-23')""",
+    "v_sessionbar": """
+SELECT b.*, s.session, s.ordinal FROM v_bar1m b JOIN v_session s ON s.session = CAST(ts - INTERVAL 5 HOUR AS DATE)
+  AND CAST(ts - INTERVAL 5 HOUR AS TIME) >= TIME '09:30:00' AND CAST(ts - INTERVAL 5 HOUR AS TIME) < s.closing""",
     "v_fwd1d": """
 SELECT *, CASE WHEN c <> 0 THEN lead(c, 1) OVER (PARTITION BY ticker ORDER BY ts) / c - 1 END AS forward_return
 FROM v_bar1d""",

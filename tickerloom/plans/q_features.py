@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from tickerloom.operators import ann
 from tickerloom.operators import backtest as bt
 from tickerloom.operators import features as ft
+from tickerloom.operators import market as mk
 from tickerloom.operators import scoring as sc
 from tickerloom.operators import similarity as sim
 from tickerloom.operators import topics as tp
@@ -330,21 +333,39 @@ def _asof_sql(bars: str) -> str:
     FROM v_signal s ASOF LEFT JOIN {bars} b ON b.ticker = s.ticker AND s.ts + INTERVAL 1 HOUR <= b.ts"""
 
 
-def _minute_returns(spark, sf, sessions):
-    own = signals(spark, sf).select("id", "ticker", "ts", "score")
-    return rounded(bt.signal_returns(own, v.bars(spark, sf, "1m"), "1m", sessions=sessions), "forward_return")
+def _calendar(spark):
+    """By the rules, with one more closed day and one more half day."""
+    return mk.sessions(spark, dt.date(2023, 12, 26), dt.date(2024, 3, 29), {dt.date(2024, 1, 23)}, {dt.date(2024, 1, 10)})
 
 
 @query("returns_asof_1m", _asof_sql("v_fwd1m"))
 def returns_asof_1m(spark, sf):
     """Entries on minute bars: never within the hour that a signal sums up."""
-    return _minute_returns(spark, sf, False)
+    own = signals(spark, sf).select("id", "ticker", "ts", "score")
+    return rounded(bt.signal_returns(own, v.bars(spark, sf, "1m"), "1m"), "forward_return")
 
 
 @query("returns_session", _asof_sql("v_fwdsession"))
 def returns_session(spark, sf):
-    """Entries on minute bars within New York market hours; all events lie in winter time."""
-    return _minute_returns(spark, sf, True)
+    """Entries on minute bars within market sessions: holidays and half days count; all events lie in winter time."""
+    own = signals(spark, sf).select("id", "ticker", "ts", "score")
+    bars = mk.in_sessions(v.bars(spark, sf, "1m"), _calendar(spark)).drop("session", "ordinal")
+    return rounded(bt.signal_returns(own, bars, "1m"), "forward_return")
+
+
+@query(
+    "session_returns",
+    """SELECT s.id, s.ticker, s.ts, s.ts + INTERVAL 1 HOUR AS known_at, b.ts AS entry_ts, b.c AS entry_close, b.session AS entry_session,
+      round(x.c / nullif(b.c, 0) - 1, 6) AS session_return
+    FROM v_signal s ASOF LEFT JOIN v_sessionbar b ON b.ticker = s.ticker AND s.ts + INTERVAL 1 HOUR <= b.ts
+    LEFT JOIN (SELECT ticker, ordinal, arg_max(c, ts) AS c FROM v_sessionbar GROUP BY 1, 2) x
+      ON x.ticker = s.ticker AND x.ordinal = b.ordinal + 2""",
+)
+def session_returns(spark, sf):
+    """Returns from the entry to the close two market sessions later."""
+    own = signals(spark, sf).select("id", "ticker", "ts")
+    out = mk.session_returns(own, v.bars(spark, sf, "1m"), _calendar(spark), horizon=2).drop("exit_close")
+    return rounded(out, "session_return")
 
 
 @query(

@@ -14,6 +14,7 @@ from tickerloom.session import work_dir
 from tickerloom.sources import views as v
 from tickerloom.sources.readers import map_news_items
 from tickerloom.streaming import jobs
+from tickerloom.streaming import neardup as near
 
 
 def _mention_stream(spark, sf):
@@ -96,3 +97,17 @@ def stream_quarantine(spark, sf):
     root = work_dir(spark, "stream-quarantine")
     jobs.ingest_articles(spark, path, root)
     return spark.read.parquet(f"{root}/quarantine").select("source_id", F.array_join("errors", ",").alias("errors"))
+
+
+@query(
+    "stream_near_dups",
+    """SELECT a.id, s.sig AS simhash, (SELECT CASE WHEN f.id <> a.id THEN f.id END FROM v_sigs f
+      WHERE bit_count(xor(f.sig, s.sig)) <= 3 ORDER BY f.published_at, f.id LIMIT 1) AS dup_of
+    FROM v_article a LEFT JOIN v_sigs s ON s.id = a.id""",
+)
+def stream_near_dups(spark, sf):
+    """Near-duplicate titles over three micro-batches, in no order of time: as if all had come at once."""
+    articles = v.articles(spark, sf).select("id", "published_at", "title")
+    path = near.land_in_batches(articles, work_dir(spark, "near-landed"), 3, F.xxhash64("id"))
+    stream = jobs.file_stream(spark, path, articles.schema, "parquet", maxFilesPerTrigger=1)
+    return near.read_marked(spark, near.mark_near_duplicates(stream, work_dir(spark, "near-dups")))

@@ -16,9 +16,10 @@ from tickerloom.operators import validate as vd
 from tickerloom.operators.features import hashed_embeddings
 from tickerloom.operators.scoring import signal_id
 from tickerloom.operators.stats import bars_from_ticks
+from tickerloom.operators.validity import apply_intervals
 from tickerloom.plans.frames import contribs, rounded, signals
 from tickerloom.plans.registry import query
-from tickerloom.session import work_dir
+from tickerloom.session import stored, work_dir
 from tickerloom.sources import readers as rd
 from tickerloom.sources import views as v
 from tickerloom.sources import zones as zn
@@ -159,8 +160,8 @@ _COPIES = """SELECT * FROM v_clean QUALIFY row_number() OVER (PARTITION BY url O
 )
 def upsert_articles(spark, sf):
     """Stored documents meet a batch of all items: known addresses keep their number, pages come in new."""
-    stored = v.articles(spark, sf).groupBy("url").agg(F.min_by(F.struct("id", "published_at", "title"), "id").alias("a"))
-    old = stored.select(
+    kept = v.articles(spark, sf).groupBy("url").agg(F.min_by(F.struct("id", "published_at", "title"), "id").alias("a"))
+    old = kept.select(
         "a.id", "url", F.col("url").alias("url_canonical"), "a.published_at", F.lit(None).cast("timestamp").alias("retrieved_at"),
         "a.title", F.lit(None).cast("string").alias("hash"), F.lit(None).cast("double").alias("credibility"),
     )
@@ -550,3 +551,70 @@ def brigading(spark, sf):
     posts = v.mentions(spark, sf).withColumn("author", F.pmod("k", F.lit(5)))
     kept = ql.drop_bursts(posts, 1)
     return kept.select("article_id", F.col("k").alias("author"), "ticker", "ts")
+
+
+@query(
+    "drift_sketches",
+    """SELECT (SELECT count(DISTINCT CAST(ts AS DATE)) FROM v_mention WHERE value IS NOT NULL) AS days, count(*) AS bins, true AS near
+    FROM (SELECT DISTINCT CAST(len([e FOR e IN (SELECT quantile_disc(value, [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]) FROM v_mention
+        WHERE ts < TIMESTAMP '2024-01-16') IF value > e]) AS BIGINT) AS bin FROM v_mention)""",
+)
+def drift_sketches(spark, sf):
+    """Drift from the days' stored sketches; ``near`` if it lies within 0.01 of the index over all rows."""
+    rows = v.mentions(spark, sf)
+    days = stored(ql.day_sketches(rows, "value"), "drift-days")
+    split = "2024-01-16"
+    parts = ql.stability_of_sketches(ql.period_sketch(days, end=split), ql.period_sketch(days, start=split))
+    exact = ql.population_stability(rows, "value", F.col("ts") >= F.lit(split).cast("timestamp"), 10, 100000).agg(F.sum("psi")).scalar()
+    merged = parts.agg(F.count("*").alias("bins"), F.sum("psi").alias("psi")).withColumn("exact", exact)
+    near = F.abs(F.col("psi") - F.col("exact")) <= 0.01
+    return merged.withColumn("days", F.lit(days.count())).select("days", "bins", near.alias("near"))
+
+
+@query(
+    "rings",
+    """SELECT * FROM (WITH RECURSIVE p AS (
+      SELECT title, source || '-' || (doc_id % 50) AS author, published_at,
+        published_at - lag(published_at) OVER (PARTITION BY title ORDER BY published_at) > INTERVAL 6 HOUR AS pause FROM v_rawdoc),
+    b AS (SELECT title, author, count(*) FILTER (WHERE pause) OVER (PARTITION BY title ORDER BY published_at) AS burst FROM p),
+    e AS (SELECT DISTINCT title, burst, author FROM b JOIN
+      (SELECT title, burst FROM b GROUP BY title, burst HAVING count(DISTINCT author) > 1) USING (title, burst)),
+    r(author, other) AS (SELECT DISTINCT author, author FROM e
+      UNION SELECT r.author, y.author FROM r JOIN e x ON x.author = r.other JOIN e y ON y.title = x.title AND y.burst = x.burst),
+    named AS (SELECT author, min(other) AS ring, count(*) AS authors FROM r GROUP BY author)
+    SELECT author, ring, authors, texts FROM named JOIN (SELECT ring, count(DISTINCT title) AS texts FROM named JOIN e USING (author) GROUP BY ring)
+      USING (ring) WHERE authors >= 3 AND texts >= 2)""",
+)
+def rings(spark, sf):
+    """Authors who post equal titles within six hours of each other, directly or through others."""
+    posts = v.raw_documents(spark, sf).withColumn("author", F.concat_ws("-", "source", F.pmod("doc_id", F.lit(50))))
+    return ql.coordinated_groups(posts, "title", "published_at", 6 * 3600)
+
+
+@query(
+    "ticker_history",
+    """SELECT * FROM (WITH u AS (SELECT symbol, 'X' || n AS exchange, DATE '2024-02-01' + n * 7 AS valid_from, DATE '2024-02-01' + n * 7 + 40 AS valid_to, 1 AS no
+        FROM (SELECT ticker AS symbol, CAST(count(*) % 13 AS INTEGER) AS n FROM v_mention GROUP BY ticker)
+      UNION ALL SELECT symbol, NULL, DATE '2024-03-01', DATE '2024-03-11', 2 FROM v_ticker WHERE length(symbol) = 2
+      UNION ALL SELECT symbol, exchange, DATE '2024-06-01', NULL, 3 FROM v_ticker WHERE exchange IS NOT NULL),
+    rows AS (SELECT symbol, exchange, valid_from, valid_to, no FROM u UNION ALL SELECT symbol, exchange, valid_from, valid_to, 0 FROM v_ticker),
+    days AS (SELECT d::DATE AS day FROM generate_series(DATE '2023-01-01', DATE '2025-12-31', INTERVAL 1 DAY) t(d)),
+    won AS (SELECT symbol, day, arg_max(coalesce(exchange, '-'), no) AS exchange FROM rows JOIN days
+        ON (valid_from IS NULL OR valid_from <= day) AND (valid_to IS NULL OR valid_to > day) GROUP BY symbol, day),
+    runs AS (SELECT *, day - CAST(row_number() OVER (PARTITION BY symbol, exchange ORDER BY day) AS INTEGER) AS run FROM won WHERE exchange <> '-')
+    SELECT symbol, exchange, CASE WHEN min(day) > DATE '2023-01-01' THEN min(day) END AS valid_from,
+      CASE WHEN max(day) < DATE '2025-12-31' THEN max(day) + 1 END AS valid_to FROM runs GROUP BY symbol, exchange, run)""",
+)
+def ticker_history(spark, sf):
+    """The exchange of tickers over time, after overlapping updates that replace, split and end what was valid."""
+    old = v.tickers(spark, sf).select("symbol", "exchange", "valid_from", "valid_to")
+    n = F.pmod(F.count("*"), F.lit(13)).cast("int")
+    counted = v.mentions(spark, sf).groupBy(F.col("ticker").alias("symbol")).agg(n.alias("n"))
+    start = F.date_add(F.lit("2024-02-01").cast("date"), F.col("n") * 7)
+    day = lambda d: F.lit(d).cast("date")
+    updates = [
+        counted.select("symbol", F.concat(F.lit("X"), "n").alias("exchange"), start.alias("valid_from"), F.date_add(start, 40).alias("valid_to"), F.lit(1).alias("no")),
+        old.filter(F.length("symbol") == 2).select("symbol", F.lit(None).cast("string").alias("exchange"), day("2024-03-01").alias("valid_from"), day("2024-03-11").alias("valid_to"), F.lit(2).alias("no")),
+        old.filter("exchange is not null").select("symbol", "exchange", day("2024-06-01").alias("valid_from"), day(None).alias("valid_to"), F.lit(3).alias("no")),
+    ]
+    return apply_intervals(old, reduce(DataFrame.unionByName, updates), "symbol", ["exchange"], "no")
