@@ -19,7 +19,6 @@ import base64
 import hashlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
-from operator import itemgetter
 
 import pyarrow as pa
 import regex
@@ -31,14 +30,32 @@ _NEVER = 1 << 62
 
 #: Longest byte string that is merged directly without halving it.
 LEAF_BYTES = 4
-#: Entries of a worker's memories of whole pieces and of leaves and windows; either is emptied when it is full.
-MEMORY_PIECES, MEMORY_PARTS = 200_000, 150_000
+#: Entries of one generation of a worker's memories, of whole pieces and of leaves and windows.
+MEMORY_PIECES, MEMORY_PARTS = 200_000, 100_000
+#: Tokens that are decoded without halving them.
+LEAF_TOKENS = 1024
 #: A rank file beyond this size isn't sent to the workers.
 MAX_RANK_BYTES = 64 << 20
 
 
-#: Ids, the same as text, decoded bytes, number of ids.
-Piece = tuple[tuple[int, ...], str, bytes, int]
+class Memory:
+    """Two generations of entries: when the young one is full it becomes the old one, and what isn't asked for again goes."""
+
+    def __init__(self, size: int):
+        self.size = size
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def get(self, key):
+        known = self.young.get(key)
+        if known is None and (known := self.old.get(key)) is not None:
+            self.put(key, known)
+        return known
+
+    def put(self, key, value) -> None:
+        if len(self.young) >= self.size:
+            self.old, self.young = self.young, {}
+        self.young[key] = value
 
 
 class Codec:
@@ -48,10 +65,10 @@ class Codec:
         lines = (line.split() for line in rank_file.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
+        self.decimal = {rank: str(rank) for rank in self.tokens}
         self.cut = regex.compile(pattern).findall
         self.leaf_bytes = max(1, leaf_bytes)
-        self._parts: dict[bytes, list[int]] = {}
-        self._pieces: dict[str, Piece] = {}
+        self._parts, self._pieces = Memory(MEMORY_PARTS), Memory(MEMORY_PIECES)
 
     def part(self, data: bytes) -> list[int]:
         """Direct encoding of a leaf or window. These are short and repeat much more than whole words do."""
@@ -59,9 +76,7 @@ class Codec:
         if known is None:
             known = self.merge(data)
             if len(data) <= 32:
-                if len(self._parts) >= MEMORY_PARTS:
-                    self._parts.clear()
-                self._parts[data] = known
+                self._parts.put(data, known)
         return known
 
     def merge(self, data: bytes) -> list[int]:
@@ -110,34 +125,32 @@ class Codec:
         return [whole] if whole is not None else self.encode_bytes(data)
 
     def decode(self, ids: Sequence[int]) -> bytes:
-        if len(ids) <= 16:
-            return b"".join([self.tokens[i] for i in ids])
+        if len(ids) <= LEAF_TOKENS:
+            return b"".join(map(self.tokens.__getitem__, ids))
         half = len(ids) // 2
         return self.decode(ids[:half]) + self.decode(ids[half:])
 
-    def pieces(self, text: str) -> list[Piece]:
-        """Each match of the pattern, encoded and decoded; repeated pieces are remembered."""
+    def encode(self, text: str) -> list[int]:
+        """Each match of the pattern on its own; repeated ones are remembered."""
         cut = self.cut(text)
-        found = list(map(self._pieces.get, cut))
+        found = list(map(self._pieces.young.get, cut))
         if None in found:
             for i, known in enumerate(found):
                 if known is None:
                     found[i] = self._piece(cut[i])
-        return found
+        return list(chain.from_iterable(found))
 
-    def _piece(self, piece: str) -> Piece:
+    def _piece(self, piece: str) -> tuple[int, ...]:
         known = self._pieces.get(piece)
         if known is None:
-            if len(self._pieces) >= MEMORY_PIECES:
-                self._pieces.clear()
-            ids = self.encode_piece(piece.encode("utf-8", "replace"))
-            known = (tuple(ids), ",".join(map(str, ids)), self.decode(ids), len(ids))
+            known = tuple(self.encode_piece(piece.encode("utf-8", "replace")))
             if len(piece) <= 256:
-                self._pieces[piece] = known
+                self._pieces.put(piece, known)
         return known
 
-    def encode(self, text: str) -> list[int]:
-        return _OUT["ids"](self.pieces(text))
+    def written(self, ids: Sequence[int]) -> bytes:
+        """Decimal ids, joined by commas."""
+        return ",".join(map(self.decimal.__getitem__, ids)).encode()
 
 
 _CODECS: dict[tuple, Codec] = {}
@@ -187,15 +200,17 @@ def encode_decode(
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_path))
     outputs = list(outputs)
+    reads = any(name.startswith("decoded") for name in outputs)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
         own = codec(ranks.value, pattern)
         for batch in batches:
             columns: dict[str, list] = {name: [] for name in outputs}
             for text in texts_of(batch):
-                found = own.pieces(text)
+                ids = own.encode(text)
+                raw = own.decode(ids) if reads else b""
                 for name in outputs:
-                    columns[name].append(_OUT[name](found))
+                    columns[name].append(_OUT[name](own, ids, raw))
             arrays = [batch.column("id"), *(pa.array(columns[n], OUTPUTS[n]) for n in outputs)]
             yield pa.RecordBatch.from_arrays(arrays, names=["id", *outputs])
 
@@ -205,11 +220,10 @@ def encode_decode(
     return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
 
 
-_IDS, _TEXT, _RAW, _SIZE = map(itemgetter, range(4))
 _OUT = {
-    "ids": lambda found: list(chain.from_iterable(map(_IDS, found))),
-    "n_tokens": lambda found: sum(map(_SIZE, found)),
-    "decoded": lambda found: b"".join(map(_RAW, found)).decode("utf-8", "replace"),
-    "ids_sha256": lambda found: hashlib.sha256(",".join(map(_TEXT, found)).encode()).hexdigest(),
-    "decoded_sha256": lambda found: hashlib.sha256(b"".join(map(_RAW, found))).hexdigest(),
+    "ids": lambda own, ids, raw: ids,
+    "n_tokens": lambda own, ids, raw: len(ids),
+    "decoded": lambda own, ids, raw: raw.decode("utf-8", "replace"),
+    "ids_sha256": lambda own, ids, raw: hashlib.sha256(own.written(ids)).hexdigest(),
+    "decoded_sha256": lambda own, ids, raw: hashlib.sha256(raw).hexdigest(),
 }
