@@ -1,13 +1,12 @@
 """Benchmark items in documents, by CGK embedding, bit-sampling LSH and exact edit distance.
 
-A CGK embedding walks through a string: at each step it writes the symbol under a pointer, and a random bit of symbol
-and step moves the pointer on or not. Strings a few edits apart fall back into step, so that their embeddings differ
-in few places, and equal samples of places are likely. Symbols here are words, and a string is a window as long as the
-item, to a power of two. Windows of a document start at every few words; an item's windows start at every word, so that
-one of them is aligned whatever the place. Windows with an equal sample, whose embeddings
-then agree in most places, are candidates. Edited characters leave few whole words equal, so places where several grams of
-characters of an item occur in its order are candidates too. The edit distance between the item and the best-fitting part
-of the text around them, over characters, decides.
+A CGK embedding walks through a string: at each step it writes the character under a pointer, and a random bit of character
+and step moves the pointer on or not. Where one of two strings is edited the pointers part, and soon fall back into
+step, so that strings a few edits apart differ in few places of their embeddings. Sampled places of the walk that begins at every
+few characters of a document are looked up among those of the walks from every character of an item; the samples have the
+length that suits the item, and are drawn several times. Edits leave a known share of such samples equal, so a place of an
+item's size that has enough of them, in the item's order, is a candidate. The edit distance between the item and the
+best-fitting part of the text around it decides.
 """
 
 from __future__ import annotations
@@ -15,7 +14,6 @@ from __future__ import annotations
 import hashlib
 import math
 import pickle
-import zlib
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -33,240 +31,196 @@ _PUNCTUATION = b".,;:!?\"'()[]"
 
 
 @dataclass(frozen=True)
-class Search:
-    """Similarity that counts, and what the candidate search does to find it."""
-
-    similarity: float = 0.8  # 1 - edits / characters of the item
-    walks: int = 2  # independent embeddings of a window
-    places: int = 5  # sampled places that must agree
-    agreement: float = 0.75  # share of places in which embeddings of similar windows agree, at least
-    recall: float = 0.9  # wanted for one aligned window; the number of samples follows
-    gram_share: float = 0.6  # of the grams that edits at the similarity leave on average, how many a place must have
-    chunk_bytes: int = 2 << 20  # text embedded at once
-    block_bytes: int = 4 << 20  # item text searched for in one pass over the documents
+class Shape:
+    """How items from a length in characters on are searched for.
 
-    @property
-    def samples(self) -> int:
-        """Samples of each walk that reach the recall together."""
-        needed = math.log(1 - self.recall) / math.log(1 - self.agreement**self.places)
-        return math.ceil(needed / self.walks)
-
-
-def stride(width: int) -> int:
-    return max(1, width // 4)
+    A walk begins at every ``stride`` characters of a document and counts once if any of the ``samples``, each of ``places`` out of
+    its first ``reach`` steps, is that of an item. One for each ``each`` characters of the item makes a candidate; items at the
+    least similarity have more, as the tests measure.
+    """
 
+    least: int
+    reach: int
+    places: int
+    samples: int
+    stride: int
+    each: int
 
-def widths(words: int) -> list[int]:
-    """Window lengths for an item: the longest that is sure to have an aligned place, and its half."""
-    width = 1
-    while 2 * width <= words - stride(2 * width) + 1:
-        width *= 2
-    return [width, width // 2] if width >= 16 else [width]
 
+#: From the longest items to the shortest. An embedding takes two steps for a character, so a reach of 30 sees fifteen of them.
+SHAPES = (
+    Shape(64, 30, 14, 3, 4, 42),
+    Shape(40, 20, 10, 3, 1, 8),
+    Shape(20, 16, 8, 3, 1, 6),
+    Shape(8, 12, 6, 3, 1, 5),
+    Shape(1, 4, 2, 2, 1, 8),
+)
 
-#: Bytes of a gram, and how many bytes lie between the grams of a document that are looked up.
-GRAM, GRAM_STEP = 8, 2
 
+@dataclass(frozen=True)
+class Search:
+    """Similarity that counts, and what a search holds at once."""
 
-def grams(text: bytes) -> np.ndarray:
-    """The gram at each byte of a text, as a number."""
-    out = np.empty(max(0, len(text) - GRAM + 1), np.uint64)
-    for at in range(min(GRAM, len(out))):
-        own = out[at::GRAM]
-        own[:] = np.frombuffer(text, "<u8", len(own), at)
-    return out
+    similarity: float = 0.8  # 1 - edits / characters of the item
+    chunk_bytes: int = 1 << 20  # text embedded at once
+    block_bytes: int = 4 << 20  # item text searched for in one pass over the documents
+    shapes: tuple[Shape, ...] = SHAPES
 
 
 def words_of(text: bytes) -> list[bytes]:
     return text.translate(_LOWER, _PUNCTUATION).split()
 
 
-def symbols(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-
+_PRIME = np.uint64(0xD6E8FEB86659FD93)
 
-def _walk(width: int, walk: int, search: Search) -> tuple[np.ndarray, list[int], list[set[int]]]:
-    """The random factors of a walk, and for each sample how many steps it is drawn from and which."""
-    rng = np.random.default_rng((width, walk, search.places, 7))
-    steps = max(2 * width, search.places)
-    factor = rng.integers(0, 1 << 31, steps, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
-    # Edits add up along a walk, so every other sample keeps to the first half of a long one.
-    reach = [steps if i % 2 else min(steps, max(16, steps // 2)) for i in range(search.samples)]
-    return factor, reach, [set(rng.choice(h, search.places, replace=False).tolist()) for h in reach]
 
+def _walk(shape: Shape) -> tuple[np.ndarray, list[set[int]]]:
+    """Which characters move the pointer on at each step, and the steps that each sample takes."""
+    rng = np.random.default_rng((shape.reach, shape.places, 7))
+    moves = rng.integers(0, 2, (shape.reach, 256), dtype=np.int32)
+    return moves, [set(rng.choice(shape.reach, shape.places, replace=False).tolist()) for _ in range(shape.samples)]
 
-def _steps(symbol: np.ndarray, start: np.ndarray, width: int, factor: np.ndarray) -> Iterator[np.ndarray]:
-    """Symbols of the embeddings of the windows at ``start``, by step; a pointer stays on its window's last word."""
-    place = start.astype(np.int64)
-    last = place + (width - 1)
-    for f in factor:
-        now = symbol[place]
-        yield now
-        place += (now * f) >> np.uint32(31)
-        np.minimum(place, last, out=place)
 
+def embed_keys(text: np.ndarray, start: np.ndarray, shape: Shape) -> np.ndarray:
+    """The sampled characters, hashed, of the walks from ``start``; a row for each sample.
 
-def embed_keys(symbol: np.ndarray, start: np.ndarray, width: int, walk: int, search: Search) -> np.ndarray:
-    """Keys of all samples of one walk, for the windows at ``start``."""
-    factor, _, taken = _walk(width, walk, search)
-    keys = np.full((len(taken), len(start)), 0x9E3779B97F4A7C15, np.uint64)
-    prime = np.uint64(0xD6E8FEB86659FD93)
+    The text must go on for ``reach`` bytes after the last start.
+    """
+    moves, taken = _walk(shape)
+    keys = np.zeros((len(taken), len(start)), np.uint64)
     for at in range(0, len(start), 1 << 15):
         part = slice(at, at + (1 << 15))
-        for step, now in enumerate(_steps(symbol, start[part], width, factor)):
-            for i, places in enumerate(taken):
-                if step in places:
-                    key = (keys[i, part] ^ now) * prime
-                    keys[i, part] = key ^ (key >> np.uint64(29))
+        place = start[part].astype(np.int32)
+        for step, move in enumerate(moves):
+            now = text[place]
+            for i, steps in enumerate(taken):
+                if step in steps:
+                    keys[i, part] = (keys[i, part] ^ now) * _PRIME
+            place += move[now]
     return keys
 
 
-def agree(
-    one: np.ndarray, start: np.ndarray, other: np.ndarray, other_start: np.ndarray, width: int, walk: int, search: Search
-) -> np.ndarray:
-    """Which pairs of windows have embeddings that agree in enough places, in the first half or as a whole."""
-    factor, reach, _ = _walk(width, walk, search)
-    out = np.zeros(len(start), bool)
-    for at in range(0, len(start), 1 << 15):
-        part = slice(at, at + (1 << 15))
-        same, good = np.zeros(len(start[part]), np.int64), np.zeros(len(start[part]), bool)
-        both = zip(_steps(one, start[part], width, factor), _steps(other, other_start[part], width, factor), strict=True)
-        for step, (a, b) in enumerate(both, 1):
-            same += a == b
-            if step == min(reach):
-                good |= same >= search.agreement * step
-        out[part] = good | (same >= (search.agreement - 0.15) * len(factor))
-    return out
+def padded(text: bytes, reach: int) -> np.ndarray:
+    return np.frombuffer(text + bytes(reach + 1), np.uint8)
+
+
+class _Table:
+    """Sampled walks of the items of one shape.
+
+    Equal samples of an item within half a bin of each other are one entry, so that an item that repeats itself has a few.
+    """
+
+    def __init__(self, shape: Shape, items: np.ndarray, texts: list[bytes], similarity: float):
+        self.shape, self.items = shape, items
+        size = np.array([len(t) for t in texts], np.int64)
+        # Edits that add or leave out characters shift what follows, at most by all the edits allowed.
+        self.half = np.maximum(8, np.ceil((1 - similarity) * size / 2)).astype(np.int64)
+        self.enough = np.maximum(1, size // shape.each)
+        self.length = size
+        # A walk that leaves the item sees what follows it, which documents don't share.
+        count = np.maximum(1, size - shape.reach // 2 + 1)
+        item = np.repeat(np.arange(len(texts)), count)
+        place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        first = np.cumsum(size + shape.reach + 1) - (size + shape.reach + 1)
+        joined = padded(b"".join(t + bytes(shape.reach + 1) for t in texts), shape.reach)
+        bin_ = place // self.half[item]
+        self.rows = []
+        for keys in embed_keys(joined, first[item] + place, shape):
+            order = np.lexsort((bin_, item, keys))
+            k, i, b = keys[order], item[order], bin_[order]
+            fresh = np.ones(len(k), bool)
+            fresh[1:] = (k[1:] != k[:-1]) | (i[1:] != i[:-1]) | (b[1:] != b[:-1])
+            bits = np.uint64(64 - max(16, (16 * len(k)).bit_length()))
+            known = np.zeros(1 << (64 - int(bits)), bool)
+            known[self._slot(k, bits)] = True
+            self.rows.append((k[fresh], i[fresh], b[fresh], known, bits))
+
+    @staticmethod
+    def _slot(keys: np.ndarray, bits: np.uint64) -> np.ndarray:
+        return ((keys ^ (keys >> np.uint64(31))) * _PRIME) >> bits
+
+    def places(self, joined: np.ndarray, size: int, first: np.ndarray, slice_rows: int = 1 << 18) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, begin, end) in bytes of the joined documents, which begin at ``first``, of the candidates."""
+        start = np.arange(0, size, self.shape.stride)
+        margin = 2 * (self.length // self.half + 2)
+        slots = size // int(self.half.min()) + 2 * int(margin.max()) + 2
+        found = []
+        for keys, (sorted_keys, item_of, bin_of, known, bits) in zip(embed_keys(joined, start, self.shape), self.rows, strict=True):
+            at = np.flatnonzero(known[self._slot(keys, bits)])
+            own = keys[at]
+            low = np.searchsorted(sorted_keys, own, "left")
+            count = np.searchsorted(sorted_keys, own, "right") - low
+            at, low, count = at[count > 0], low[count > 0], count[count > 0]
+            ends = np.cumsum(count)
+            begin = 0
+            while begin < len(at):
+                # Bounded memory, however often a text repeats what an item holds.
+                end = max(begin + 1, int(np.searchsorted(ends, (ends[begin - 1] if begin else 0) + slice_rows)))
+                n = count[begin:end]
+                entry = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - low[begin:end], n)
+                window = np.repeat(at[begin:end], n)
+                item = item_of[entry]
+                doc = np.searchsorted(first, start[window], "right") - 1
+                # Where the item would begin, in halves of its bin and counted from some before the document.
+                slot = (start[window] - first[doc]) // self.half[item] - bin_of[entry] + margin[item]
+                found.append(np.unique((window * len(self.items) + item) * slots + slot))
+                begin = end
+        if not found:
+            return
+        # A window counts once for an item and slot, whichever sample it has.
+        window, slot = np.divmod(np.unique(np.concatenate(found)), slots)
+        window, item = np.divmod(window, len(self.items))
+        doc = np.searchsorted(first, start[window], "right") - 1
+        # Three neighbouring slots hold what belongs together: entries are known to half a bin, and edits shift by one.
+        around = ((doc * len(self.items) + item) * slots + slot)[:, None] + np.array([-1, 0, 1])
+        around, hits = np.unique(around, return_counts=True)
+        pair, slot = np.divmod(around, slots)
+        doc, item = np.divmod(pair, len(self.items))
+        good = hits >= self.enough[item]
+        doc, item, slot = doc[good], item[good], slot[good]
+        half, length = self.half[item], self.length[item]
+        middle = first[doc] + (slot - margin[item]) * half
+        # The slot's item begins within two halves before or after; edits may add as much again.
+        yield from zip(doc.tolist(), self.items[item].tolist(), (middle - 3 * half).tolist(), (middle + length + 5 * half).tolist(), strict=True)
 
 
 class ItemIndex:
-    """LSH tables over the windows of the items of one block."""
+    """The items of one block, by the shape that suits their length."""
 
     def __init__(self, items: list[tuple], search: Search):
         self.search = search
         self.ids = [i for i, _ in items]
-        words = [words_of(t) for _, t in items]
-        self.size = [len(w) for w in words]
-        self.text = [b" ".join(w).decode("utf-8", "replace") for w in words]
-        self.symbol = symbol = symbols([w for ws in words for w in ws])
-        self.first = first = np.cumsum([0, *self.size])
-        at: dict[int, list] = defaultdict(list)
-        for i, n in enumerate(self.size):
-            for width in widths(n) if n else []:
-                offset = np.arange(n - width + 1)
-                at[width].append((np.full(len(offset), i), offset))
-        self._add_grams([b" ".join(w) for w in words])
-        self.tables: dict[int, list] = {}
-        for width, found in sorted(at.items()):
-            item, offset = (np.concatenate(x) for x in zip(*found, strict=True))
-            rows = []
-            for walk in range(search.walks):
-                for keys in embed_keys(symbol, first[item] + offset, width, walk, search):
-                    order = np.argsort(keys, kind="stable")
-                    known = np.zeros(1 << max(16, (64 * len(keys)).bit_length()), bool)
-                    known[keys & np.uint64(len(known) - 1)] = True
-                    rows.append((keys[order], item[order], offset[order], known))
-            self.tables[width] = rows
-
-    def _add_grams(self, texts: list[bytes]) -> None:
-        """A table of all grams of the items, and how many of them a place must have to be a candidate."""
-        own = [grams(t) for t in texts]
-        gram = np.concatenate([*own, np.zeros(0, np.uint64)])
-        item = np.repeat(np.arange(len(own)), [len(g) for g in own])
-        place = np.concatenate([*(np.arange(len(g)) for g in own), np.zeros(0, np.int64)])
-        order = np.argsort(gram, kind="stable")
-        self.gram, self.gram_item, self.gram_place = gram[order], item[order], place[order]
-        self.gram_bits = np.uint64(64 - max(16, (16 * len(gram)).bit_length()))
-        self.gram_known = np.zeros(1 << (64 - int(self.gram_bits)), bool)
-        self.gram_known[self._gram_slot(gram)] = True
-        self.length = np.array([len(t) for t in texts], np.int64)
-        left = np.array([len(g) for g in own]) * self.search.similarity**GRAM / GRAM_STEP
-        self.gram_least = np.maximum(2, np.floor(self.search.gram_share * left)).astype(np.int64)
-        # Edits that add or leave out characters shift what follows, at most by all the edits allowed.
-        self.gram_bin = np.maximum(16, np.ceil((1 - self.search.similarity) * self.length)).astype(np.int64)
-
-    def _gram_slot(self, gram: np.ndarray) -> np.ndarray:
-        return (gram * np.uint64(0xD6E8FEB86659FD93)) >> self.gram_bits
-
-    def gram_spans(self, words: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
-        """(document, item, first word, word after the last) of the places that have enough grams of an item."""
+        joined = [b" ".join(words_of(t)) for _, t in items]
+        self.text = [t.decode("utf-8", "replace") for t in joined]
+        self.tables = []
+        longer = math.inf
+        for shape in search.shapes:
+            own = [i for i, t in enumerate(joined) if shape.least <= len(t) < longer]
+            longer = shape.least
+            if own:
+                self.tables.append(_Table(shape, np.array(own), [joined[i] for i in own], search.similarity))
+
+    def spans(self, words: list[list[bytes]]) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first word, word after the last) of the candidates."""
         texts = [b" ".join(w) for w in words]
-        first = np.cumsum([0, *(len(t) + 1 for t in texts)])
-        joined = b"\n".join(texts)
-        found = grams(joined)[::GRAM_STEP]
-        at = np.flatnonzero(self.gram_known[self._gram_slot(found)])
-        found = found[at]
-        low = np.searchsorted(self.gram, found, "left")
-        size = np.searchsorted(self.gram, found, "right") - low
-        at, low, size = at[size > 0] * GRAM_STEP, low[size > 0], size[size > 0]
-        entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
-        item = self.gram_item[entry]
-        begin = np.repeat(at, size) - self.gram_place[entry]
-        doc = np.repeat(np.searchsorted(first, at, "right") - 1, size)
-        # Bins of where the item would begin, each overlapping the next by half.
-        width = self.gram_bin[item]
-        begin = np.maximum(0, begin - first[doc] + width)
-        half = width // 2
-        most = int(begin.max(initial=0)) // 8 + 2
-        pair = (doc * len(self.size) + item) * most
-        key, count = np.unique(np.concatenate([pair + begin // half + 1, pair + begin // half]), return_counts=True)
-        pair, bins = np.divmod(key, most)
-        docs, item = np.divmod(pair, len(self.size))
-        enough = count >= self.gram_least[item]
+        first = np.cumsum([0, *(len(t) + 1 for t in texts)])[:-1]
+        whole = b"\n".join(texts)
+        joined = padded(whole, max([t.shape.reach for t in self.tables], default=0))
         ends: dict[int, np.ndarray] = {}
-        for doc, item, bin_ in zip(docs[enough].tolist(), item[enough].tolist(), bins[enough].tolist(), strict=True):
-            if doc not in ends:
-                ends[doc] = np.cumsum([len(w) + 1 for w in words[doc]])
-            width = int(self.gram_bin[item])
-            begin = (bin_ - 1) * (width // 2) - width
-            a = int(np.searchsorted(ends[doc], begin - width, "right"))
-            b = int(np.searchsorted(ends[doc], begin + 3 * width + int(self.length[item]), "right")) + 1
-            if a < len(words[doc]):
-                yield doc, item, a, min(b, len(words[doc]))
-
-    def candidates(self, symbol: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(document, item, word where the item would begin), from documents whose words run from ``first[i]`` on."""
-        doc_words = np.diff(first)
-        out = []
-        for width, tables in self.tables.items():
-            step = stride(width)
-            count = np.where(doc_words >= width, (doc_words - width) // step + 1, 0)
-            doc = np.repeat(np.arange(len(doc_words)), count)
-            if not len(doc):
-                continue
-            place = (np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)) * step
-            start = first[doc] + place
-            for walk in range(self.search.walks):
-                found = embed_keys(symbol, start, width, walk, self.search)
-                pairs = []
-                own = tables[walk * self.search.samples : (walk + 1) * self.search.samples]
-                for keys, (sorted_keys, item, offset, known) in zip(found, own, strict=True):
-                    maybe = np.flatnonzero(known[keys & np.uint64(len(known) - 1)])
-                    low = np.searchsorted(sorted_keys, keys[maybe], "left")
-                    size = np.searchsorted(sorted_keys, keys[maybe], "right") - low
-                    maybe, low, size = maybe[size > 0], low[size > 0], size[size > 0]
-                    entry = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size - low, size)
-                    pairs.append(np.stack([np.repeat(maybe, size), item[entry], offset[entry]]))
-                window, item, offset = np.unique(np.concatenate(pairs, axis=1), axis=1)
-                good = agree(symbol, start[window], self.symbol, self.first[item] + offset, width, walk, self.search)
-                window, item, offset = window[good], item[good], offset[good]
-                out.append(np.stack([doc[window], item, place[window] - offset]))
-        if not out:
-            return (np.zeros(0, np.int64),) * 3
-        return tuple(np.unique(np.concatenate(out, axis=1), axis=1))
+        for table in self.tables:
+            for doc, item, begin, end in table.places(joined, len(whole), first):
+                if doc not in ends:
+                    ends[doc] = first[doc] + np.cumsum([len(w) + 1 for w in words[doc]])
+                a = int(np.searchsorted(ends[doc], begin, "right"))
+                b = int(np.searchsorted(ends[doc], end, "right")) + 1
+                if a < len(words[doc]):
+                    yield doc, item, a, min(b, len(words[doc]))
 
     def hits(self, texts: list[bytes]) -> list[list[tuple]]:
         """For each text (item id, edits, similarity, first and last word of the region that holds it)."""
         words = [words_of(t) for t in texts]
-        first = np.cumsum([0, *map(len, words)])
-        symbol = symbols([w for ws in words for w in ws])
         places: dict[tuple[int, int], list[tuple[int, int]]] = defaultdict(list)
-        for doc, item, begin in zip(*self.candidates(symbol, first), strict=True):
-            n = self.size[item]
-            slack = math.ceil((1 - self.search.similarity) * n) + 2
-            a, b = max(0, int(begin) - slack), min(len(words[doc]), int(begin) + n + slack)
-            places[int(doc), int(item)].append((a, b))
-        for doc, item, a, b in self.gram_spans(words):
+        for doc, item, a, b in self.spans(words):
             places[doc, item].append((a, b))
         regions: dict[tuple[int, int], list[list[int]]] = {}
         for pair, spans in places.items():
