@@ -13,7 +13,7 @@ from __future__ import annotations
 import math
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,13 +34,11 @@ CITING = frozenset(
     " sagte heißt mot terme dit signifie palabra término dijo significa".split()
 )
 ADDRESSING = frozenset("you your you're youre u ur du dein ihr tu toi ton vous eres tú usted".split())
-#: Lengths of stems, and the most terms that are learned.
-STEMS, MAX_TERMS, MAX_BENIGN = (4, 5, 6), 2000, 20000
+#: Lengths of stems.
+STEMS = (4, 5, 6)
 #: Words around a hit that decide whether it is quoted, cited or addressed to someone.
 WINDOW = 6
 MISSPELLED = 0.7
-#: Weight, of 1, from which a term also counts with edits.
-SURE = 0.7
 
 
 def edits_allowed(length: int) -> int:
@@ -49,14 +47,12 @@ def edits_allowed(length: int) -> int:
 
 @dataclass(frozen=True)
 class Term:
+    """A word or the stem of words, its weight, and the edits within which other spellings count as it."""
+
     text: str
     stem: bool
     weight: float
-
-    @property
-    def edits(self) -> int:
-        """A stem takes no edits, and a term that isn't sure doesn't either."""
-        return edits_allowed(len(self.text)) if not self.stem and self.weight >= SURE else 0
+    edits: int = 0
 
 
 class LexiconAutomaton:
@@ -149,7 +145,7 @@ class LexiconAutomaton:
 
 @dataclass
 class Model:
-    """Terms, near-terms that are ordinary words, and the coefficients; small by ``MAX_TERMS`` and ``MAX_BENIGN``."""
+    """Terms, near-terms that are ordinary words, and the coefficients; bounded by the rows that they are learned from."""
 
     terms: list[Term]
     benign: frozenset = frozenset()
@@ -254,10 +250,35 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> li
     picked += [(u, False, u) for u in count if not u.endswith("*") and not any(u.startswith(s) for s in stems)]
     odds = {u: math.log((count[u] / toxic) / ((other[u] + 0.5) / clean)) for _, _, u in picked}
     top = max(odds.values(), default=1.0)
-    terms = [Term(text, stem, max(0.1, odds[u] / top)) for text, stem, u in picked]
+    # A stem stands for many endings and takes no edits beside.
+    terms = [Term(text, stem, max(0.1, odds[u] / top), 0 if stem else edits_allowed(len(text))) for text, stem, u in picked]
     return sorted(terms, key=lambda t: (-t.weight, t.text))
 
 
+def _ordinary(surfaces: list, toxic: int, clean: int) -> frozenset:
+    """Words near a term that clean documents have as well."""
+    seen = defaultdict(lambda: [0, 0])
+    for r in surfaces:
+        seen[r.word][0] += r.toxic
+        seen[r.word][1] += r.clean
+    return frozenset(w for w, (t, c) in seen.items() if c and c / clean >= 0.25 * t / toxic)
+
+
+def _edits_that_are_sure(terms: list[Term], surfaces: list, toxic: int, clean: int, precision: float) -> list[Term]:
+    """A term keeps its edits if they are precise on text that wasn't seen.
+
+    For each half of the sample, the other half says which words near a term are ordinary, and what is left counts.
+    """
+    seen = defaultdict(lambda: [0.0, 0.0])
+    for half in (0, 1):
+        known = _ordinary([r for r in surfaces if r.half != half], toxic, clean)
+        for r in surfaces:
+            if r.half == half and r.word not in known:
+                seen[r.term][0] += r.toxic / toxic
+                seen[r.term][1] += r.clean / clean
+    return [replace(t, edits=0) if i in seen and seen[i][1] > (1 - precision) * sum(seen[i]) else t for i, t in enumerate(terms)]
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, rows_per_class: int = ROWS_PER_CLASS,
     id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", surroundings: int = 6, support: float = 0.01,
@@ -289,24 +310,24 @@ def fit(
     share = F.col("toxic") / toxic
     sure = share / (share + (F.col("clean") + 0.5) / clean)
     kept = units.filter((F.col("around") >= surroundings) & (F.col("toxic") >= max(4, support * toxic)) & (sure >= precision))
-    rows = kept.orderBy(F.desc("around"), "unit").limit(MAX_TERMS).collect()
+    rows = kept.orderBy(F.desc("around"), "unit").collect()  # each is in a share of the bounded rows
     model = Model(choose_terms([(r.unit, r.toxic, r.clean) for r in rows], toxic, clean))
 
     def near(batches: Batches) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
+        schema = pa.schema([("word", pa.string()), ("term", pa.int32()), ("half", pa.int32()), ("label", pa.int32())])
         for batch in batches:
             out = []
-            for label, text in zip(batch.column("label").to_pylist(), texts_of(batch), strict=True):
-                out += [(w, label) for w in {w for w, _, e, _ in hits(text, automaton, frozenset())[1] if e}]
-            yield pa.RecordBatch.from_pylist(
-                [{"word": w, "label": y} for w, y in out], schema=pa.schema([("word", pa.string()), ("label", pa.int32())])
-            )
-
-    surfaces = sample.mapInArrow(near, "word string, label int").groupBy("word").agg(
-        F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")
-    )
-    plain = surfaces.filter((F.col("clean") > 0) & (F.col("clean") / clean >= 0.25 * F.col("toxic") / toxic))
-    model.benign = frozenset(r.word for r in plain.orderBy(F.desc("clean"), "word").limit(MAX_BENIGN).collect())
+            for label, key, text in zip(batch.column("label").to_pylist(), batch.column("id").to_pylist(), texts_of(batch), strict=True):
+                half = int(key[:8], 16) % 2
+                out += [(w, t, half, label) for w, t in {(w, t) for w, t, e, _ in hits(text, automaton, frozenset())[1] if e}]
+            yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=schema)
+
+    # Other spellings of terms in the sample's documents, and how many of each class have them, by half of the sample.
+    met = sample.mapInArrow(near, "word string, term int, half int, label int").groupBy("word", "term", "half")
+    surfaces = met.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect()
+    model.terms = _edits_that_are_sure(model.terms, surfaces, toxic, clean, precision)
+    model.benign = _ordinary(surfaces, toxic, clean)
 
     def measured(batches: Batches) -> Iterator[pa.RecordBatch]:
         automaton = model.automaton()
