@@ -3,14 +3,16 @@
 Markup is stripped and every block element ends a line. A line weighs what it has of text outside links; lines in menus,
 footers, adverts, forms, comments and the like weigh nothing. Weights are summed over a sliding window of lines: the text
 begins where the sum surges and ends where it has dived; it must rise above a threshold, or be the highest of its part of
-the page. Each article element is a part, whose lines weigh more and count with their links, and what is outside of them
-is another. The marked text is kept, unless the regions outside hold much more. An article that is a comment weighs nothing.
+the page. Each article element is a part, whose lines count with their links, and what is outside of them is another. Marks
+only choose among the regions that the sums have found: those of articles are kept, unless the regions outside hold much
+more. An article that is a comment weighs nothing.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,11 +21,10 @@ from pyspark.sql import DataFrame
 
 from tickerloom.llm.common import Batches, texts_of
 
-#: Lines of a window, and the sum from which it is text.
-WINDOW, SURGE = 3, 86
-#: How much more a line inside an article element weighs, and how many times the text of the largest article the regions
-#: outside must hold to be taken instead.
-MARKED, OUTWEIGHS = 16, 3
+#: Lines of a window, the sum from which it is text, and the part of that below which the text ends.
+WINDOW, SURGE, DIVE = 3, 86, 8
+#: How many times the text of the largest article the regions outside must hold to be taken instead.
+OUTWEIGHS = 3
 
 _BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure"
@@ -96,6 +97,7 @@ def lines_of(page: str) -> list[Line]:
     parts: list[str] = []
     linked = 0
     stack: list[tuple[str, bool, int]] = []  # tag, boilerplate, article
+    there: Counter[str] = Counter()  # tags of the stack, so that a stray end tag is no search
     articles = links = 0
     boilerplate, article = False, 0
 
@@ -134,7 +136,8 @@ def lines_of(page: str) -> list[Line]:
             if tag in _VOID:
                 continue
             if tag in _SIBLINGS and stack and stack[-1][0] == _SIBLINGS[tag]:
-                stack.pop()
+                there[stack.pop()[0]] -= 1
+            there[tag] += 1
             hidden, is_article = _marks(tag, attributes, article > 0)
             if tag == "a":
                 links += 1
@@ -147,9 +150,10 @@ def lines_of(page: str) -> list[Line]:
         else:
             if tag == "a":
                 links = max(0, links - 1)
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    del stack[i:]
+            while there[tag]:
+                last = stack.pop()[0]
+                there[last] -= 1
+                if last == tag:
                     break
         boilerplate, article = (stack[-1][1], stack[-1][2]) if stack else (False, 0)
     rest = page[at:]
@@ -159,13 +163,16 @@ def lines_of(page: str) -> list[Line]:
 
 
 def regions(weights: list[int], window: int, surge: int) -> list[tuple[int, int]]:
-    """Runs of lines from a surge of the window sums to the next dive."""
+    """Runs of lines around a surge of the window sums, from the last dive before it to the next."""
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    out, begin = [], None
+    dive = max(1, surge // DIVE)
+    out, begin, low = [], None, 0
     for i, total in enumerate(sums):
+        if total < dive:
+            low = i + 1
         if begin is None and total >= surge and weights[i]:
-            begin = i
-        if begin is not None and (total < max(1, surge // 4) or i + 1 == len(sums)):
+            begin = next(j for j in range(low, i + 1) if weights[j])
+        if begin is not None and (total < dive or i + 1 == len(sums)):
             last = max(j for j in range(begin, min(len(weights), i + window)) if weights[j])
             out.append((begin, last + 1))
             begin = None
@@ -196,7 +203,7 @@ def main_text(page: str, window: int = WINDOW, surge: int = SURGE) -> str:
     taken, size = _text_regions(outside, [line.weight for line in outside], window, surge)
     found = {}
     for article, own in parts.items():
-        weights = [0 if line.boilerplate else MARKED * len(line.text) for line in own]
+        weights = [0 if line.boilerplate else len(line.text) for line in own]
         found[article] = _text_regions(own, weights, window, surge)
     largest = max((n for _, n in found.values()), default=0)
     if any(own for own, _ in found.values()) and size <= OUTWEIGHS * largest:
