@@ -228,7 +228,6 @@ def _sums(rows: np.ndarray, **values: np.ndarray) -> Iterator[pa.RecordBatch]:
     row, at = np.unique(rows, return_inverse=True)
     names = ("tokens", "known", "base", "score")
     total = [np.bincount(at, values[n], len(row)) if n in values else np.zeros(len(row), np.float32) for n in names]
-    total[3] = total[3].astype(np.float32)
     group = row >> GROUP_BITS
     cut = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True]) if len(row) else np.zeros(1, int)
     out = []
