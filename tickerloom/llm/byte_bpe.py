@@ -24,7 +24,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from tickerloom.llm.common import Batches, texts_of
+from tickerloom.llm.common import Batches, texts_of, tidy
 
 _NEVER = 1 << 62
 
@@ -68,6 +68,10 @@ class Codec:
         self.decimal = {rank: str(rank) for rank in self.tokens}
         self.cut = regex.compile(pattern).findall
         self.leaf_bytes = max(1, leaf_bytes)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the memories."""
         self._parts, self._pieces = Memory(MEMORY_PARTS), Memory(MEMORY_PIECES)
 
     def part(self, data: bytes) -> list[int]:
@@ -217,7 +221,7 @@ def encode_decode(
     kind = dict(docs.dtypes)[id_col]
     schema = ", ".join([f"id {kind}", *(f"{n} {_SQL[n]}" for n in outputs)])
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidy(run, lambda: codec(ranks.value, pattern).forget()), schema).withColumnRenamed("id", id_col)
 
 
 _OUT = {

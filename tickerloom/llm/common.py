@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -24,6 +27,28 @@ def pin_batches(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def release_memory() -> None:
+    """Give back to the system what a worker has freed; workers serve many stages, and each would add to what they hold."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run: Callable[[Batches], Batches], after: Callable[[], None] | None = None) -> Callable[[Batches], Batches]:
+    """``run`` for a task, and its memory released when the task ends; ``after`` drops what the worker remembers."""
+
+    def tidied(batches: Batches) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            if after:
+                after()
+            release_memory()
+
+    return tidied
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 

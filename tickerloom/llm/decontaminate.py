@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import Batches, bytes_of
+from tickerloom.llm.common import Batches, bytes_of, tidy
 
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Left out before texts are compared.
@@ -357,7 +357,7 @@ def contaminated(
                     names=["id", "item", "edits", "similarity", "first_word", "last_word"],
                 )
 
-        return picked.mapInArrow(run, schema)
+        return picked.mapInArrow(tidy(run), schema)
 
     out = None
     for block in _blocks(items, item_col, item_text_col, search):
@@ -387,5 +387,5 @@ def without_items(
                 clean = [not found for _, found in _all_hits(block.value, batch, text_col)]
                 yield batch.filter(pa.array(clean, pa.bool_()))
 
-        docs = docs.mapInArrow(run, docs.schema)
+        docs = docs.mapInArrow(tidy(run), docs.schema)
     return docs

@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import BATCH_BYTES, Batches, texts_of
+from tickerloom.llm.common import BATCH_BYTES, Batches, texts_of, tidy
 from tickerloom.session import stored
 
 #: Deleted before texts are compared.
@@ -209,7 +209,7 @@ def exact_duplicates(
     picked = docs.select(row.alias("row"), docs[id_col].alias("id"), docs[text_col].alias("text"))
     folded = stored(
         picked.mapInArrow(
-            _folder(fold_bytes), _ddl(kind, "row long, id KIND, local long, text_sha256 string")
+            tidy(_folder(fold_bytes)), _ddl(kind, "row long, id KIND, local long, text_sha256 string")
         ),
         "exact-folded",
     )
@@ -224,7 +224,7 @@ def exact_duplicates(
             buckets, F.pmod("spread", F.lit(buckets)).cast("int")
         )
         matched = stored(
-            spilled.mapInArrow(_matcher(bucket_bytes, level), _ddl(kind, "local long, row long, id KIND")),
+            spilled.mapInArrow(tidy(_matcher(bucket_bytes, level)), _ddl(kind, "local long, row long, id KIND")),
             f"exact-level{level}",
         )
         done.append(matched.filter("content IS NULL").select("local", "row", "id", "size"))

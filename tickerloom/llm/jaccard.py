@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import Batches, bytes_of
+from tickerloom.llm.common import Batches, bytes_of, tidy
 from tickerloom.llm.simhash import SEED, shingles
 from tickerloom.session import stored
 
@@ -100,7 +100,7 @@ def later_copies(
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
     schema = f"id {kind}, size int, keys array<long>, shingles array<int>"
-    sketch = stored(picked.mapInArrow(_sketcher(words), schema), "near-sketches")
+    sketch = stored(picked.mapInArrow(tidy(_sketcher(words)), schema), "near-sketches")
     live = sketch.select("id", "size", F.explode("keys").alias("key"))
     found = []
     while True:
@@ -122,7 +122,7 @@ def later_copies(
         both = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("one")), "a").join(
             sets.select(F.col("id").alias("b"), F.col("shingles").alias("other")), "b"
         )
-        copies = stored(both.select("b", "one", "other").mapInArrow(_verifier(similarity), f"id {kind}").distinct(), "near-copies")
+        copies = stored(both.select("b", "one", "other").mapInArrow(tidy(_verifier(similarity)), f"id {kind}").distinct(), "near-copies")
         found.append(copies)
         live = led.filter("id <> first.id").select("id", "size", "key").join(copies, "id", "left_anti")
     out = docs.sparkSession.createDataFrame([], f"id {kind}")

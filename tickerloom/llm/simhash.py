@@ -10,7 +10,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import Batches, bytes_of
+from tickerloom.llm.common import Batches, bytes_of, tidy
 from tickerloom.llm.components import components
 from tickerloom.llm.gray_index import GrayForest
 from tickerloom.session import stored
@@ -127,7 +127,7 @@ def close_links(fps: DataFrame, limit: int = LIMIT, tree_rows: int = TREE_ROWS)
         fits = F.col("count") <= tree_rows
         few = spread.join(sized.filter(fits), ["mask", "key"])
         trees = few.groupBy("mask", "key").agg(F.collect_list("fp").alias("fps")).select("fps")
-        links = trees.mapInArrow(_tree_links(limit), "a long, b long")
+        links = trees.mapInArrow(tidy(_tree_links(limit)), "a long, b long")
         found = links if found is None else found.union(links)
         hot = stored(sized.filter(~fits), "simhash-hot")
         if hot.isEmpty():
@@ -154,7 +154,7 @@ def near_duplicates(
     """
     kind = dict(docs.dtypes)[id_col]
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    own = stored(picked.mapInArrow(_fingerprinter(words), f"id {kind}, fp long"), "simhash-fingerprints")
+    own = stored(picked.mapInArrow(tidy(_fingerprinter(words)), f"id {kind}, fp long"), "simhash-fingerprints")
     nodes = own.groupBy("fp").agg(F.min("id").alias("least"))
     labels = components(close_links(nodes, limit, tree_rows)).select(F.col("node").alias("fp"), "label")
     named = nodes.join(labels, "fp", "left").withColumn("label", F.coalesce("label", "fp"))

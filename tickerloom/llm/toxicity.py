@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.common import Batches, fold_of, texts_of
+from tickerloom.llm.common import Batches, fold_of, texts_of, tidy
 from tickerloom.llm.jaccard import later_copies
 from tickerloom.llm.labelled import ROWS_PER_CLASS, logistic, sample_of, sigmoid, with_texts
 from tickerloom.session import stored
@@ -299,7 +299,7 @@ def fit(
         return Model([])
     toxic, clean = size[1], size[0]
     units = (
-        sample.mapInArrow(_mine, "unit string, toxic long, clean long, around array<long>")
+        sample.mapInArrow(tidy(_mine), "unit string, toxic long, clean long, around array<long>")
         .groupBy("unit")
         .agg(
             F.sum("toxic").alias("toxic"),
@@ -324,7 +324,7 @@ def fit(
             yield pa.RecordBatch.from_pylist([dict(zip(schema.names, row, strict=True)) for row in out], schema=schema)
 
     # Other spellings of terms in the sample's documents, and how many of each class have them, by half of the sample.
-    met = sample.mapInArrow(near, "word string, term int, half int, label int").groupBy("word", "term", "half")
+    met = sample.mapInArrow(tidy(near), "word string, term int, half int, label int").groupBy("word", "term", "half")
     surfaces = met.agg(F.sum("label").alias("toxic"), F.sum(1 - F.col("label")).alias("clean")).collect()
     model.terms = _edits_that_are_sure(model.terms, surfaces, toxic, clean, precision)
     model.benign = _ordinary(surfaces, toxic, clean)
@@ -343,7 +343,7 @@ def fit(
                     y.append(label)
             yield pa.RecordBatch.from_arrays([pa.array(y, pa.int32()), pa.array(x, pa.list_(pa.float64()))], names=["label", "x"])
 
-    got = sample.mapInArrow(measured, "label int, x array<double>").collect()  # at most 3 * rows_per_class short rows
+    got = sample.mapInArrow(tidy(measured), "label int, x array<double>").collect()  # at most 3 * rows_per_class short rows
     x = np.array([r.x for r in got]).reshape(-1, FEATURES)
     y = np.array([r.label for r in got], float)
     weight = np.where(y == 1, 0.5 / (y == 1).sum(), 0.5 / clean) * len(y)
@@ -376,7 +376,7 @@ def toxicity(
             own = scores(texts_of(batch), model, automaton)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(own, pa.float64())], names=["id", "score"])
 
-    scored = picked.mapInArrow(run, f"id {kind}, score double")
+    scored = picked.mapInArrow(tidy(run), f"id {kind}, score double")
     return scored.select(
         F.col("id").alias(id_col),
         (fold_of(F.col("id"), folds) == held_out).alias("held_out"),
@@ -393,4 +393,4 @@ def without_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> Data
         for batch in batches:
             yield batch.filter(pa.array(scores(texts_of(batch, text_col), model, automaton) < 0.5))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(tidy(run), docs.schema)
