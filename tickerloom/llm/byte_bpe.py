@@ -20,6 +20,7 @@ import hashlib
 from collections.abc import Iterator, Sequence
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -31,7 +32,7 @@ _NEVER = 1 << 62
 #: Longest byte string that is merged directly without halving it.
 LEAF_BYTES = 4
 #: Entries of one generation of a worker's memories, of whole pieces and of leaves and windows.
-MEMORY_PIECES, MEMORY_PARTS = 200_000, 100_000
+MEMORY_PIECES, MEMORY_PARTS = 120_000, 60_000
 #: Tokens that are decoded without halving them.
 LEAF_TOKENS = 1024
 #: A rank file beyond this size isn't sent to the workers.
@@ -225,7 +226,7 @@ def encode_decode(
 
 
 _OUT = {
-    "ids": lambda own, ids, raw: ids,
+    "ids": lambda own, ids, raw: np.array(ids, np.int32),
     "n_tokens": lambda own, ids, raw: len(ids),
     "decoded": lambda own, ids, raw: raw.decode("utf-8", "replace"),
     "ids_sha256": lambda own, ids, raw: hashlib.sha256(own.written(ids)).hexdigest(),
