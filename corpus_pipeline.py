@@ -21,7 +21,11 @@ ORACLE_SQL = None
 
 
 def _pinned(spark: SparkSession) -> SparkSession:
-    return pin_batches(pin_session(spark))
+    """Smaller batches than a single operator takes: executors go on from stage to stage and keep the buffers of each."""
+    pin_batches(pin_session(spark))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "400")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
+    return spark
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
