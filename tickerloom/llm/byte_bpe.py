@@ -32,7 +32,7 @@ _NEVER = 1 << 62
 #: Longest byte string that is merged directly without halving it.
 LEAF_BYTES = 4
 #: Entries of one generation of a worker's memories, of whole pieces and of leaves and windows.
-MEMORY_PIECES, MEMORY_PARTS = 120_000, 60_000
+MEMORY = 200_000, 100_000
 #: Tokens that are decoded without halving them.
 LEAF_TOKENS = 1024
 #: A rank file beyond this size isn't sent to the workers.
@@ -62,18 +62,18 @@ class Memory:
 class Codec:
     """Encoder and decoder for one rank file and one pattern."""
 
-    def __init__(self, rank_file: bytes, pattern: str, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, rank_file: bytes, pattern: str, leaf_bytes: int = LEAF_BYTES, memory: tuple[int, int] = MEMORY):
         lines = (line.split() for line in rank_file.splitlines() if line)
         self.ranks = {base64.b64decode(token): int(rank) for token, rank in lines}
         self.tokens = {rank: token for token, rank in self.ranks.items()}
         self.decimal = {rank: str(rank) for rank in self.tokens}
         self.cut = regex.compile(pattern).findall
-        self.leaf_bytes = max(1, leaf_bytes)
+        self.leaf_bytes, self.memory = max(1, leaf_bytes), memory
         self.forget()
 
     def forget(self) -> None:
         """Empty the memories."""
-        self._parts, self._pieces = Memory(MEMORY_PARTS), Memory(MEMORY_PIECES)
+        self._pieces, self._parts = map(Memory, self.memory)
 
     def part(self, data: bytes) -> list[int]:
         """Direct encoding of a leaf or window. These are short and repeat much more than whole words do."""
@@ -161,11 +161,11 @@ class Codec:
 _CODECS: dict[tuple, Codec] = {}
 
 
-def codec(rank_file: bytes, pattern: str) -> Codec:
+def codec(rank_file: bytes, pattern: str, memory: tuple[int, int] = MEMORY) -> Codec:
     """The codec of this worker, built once."""
-    key = (hashlib.sha256(rank_file).digest(), pattern)
+    key = (hashlib.sha256(rank_file).digest(), pattern, memory)
     if key not in _CODECS:
-        _CODECS[key] = Codec(rank_file, pattern)
+        _CODECS[key] = Codec(rank_file, pattern, memory=memory)
     return _CODECS[key]
 
 
@@ -195,12 +195,13 @@ def encode_decode(
     outputs: Sequence[str] = ("ids", "n_tokens", "decoded"),
     id_col: str = "doc_id",
     text_col: str = "text",
+    memory: tuple[int, int] = MEMORY,
 ) -> DataFrame:
     """Token ids of every whole text, and the text decoded from them.
 
     ``outputs`` picks from ``OUTPUTS``; the digests are of the decimal ids joined by commas and of the decoded bytes.
     A null text counts as empty and has no tokens; a null id is kept; repeated rows each give a row; other columns are
-    ignored. One pass without a shuffle; a worker holds one batch and its bounded memory of pieces.
+    ignored. One pass without a shuffle; a worker holds one batch and its bounded ``memory`` of pieces and their parts.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(rank_path))
@@ -208,7 +209,7 @@ def encode_decode(
     reads = any(name.startswith("decoded") for name in outputs)
 
     def run(batches: Batches) -> Iterator[pa.RecordBatch]:
-        own = codec(ranks.value, pattern)
+        own = codec(ranks.value, pattern, memory)
         for batch in batches:
             columns: dict[str, list] = {name: [] for name in outputs}
             for text in texts_of(batch):
@@ -222,7 +223,7 @@ def encode_decode(
     kind = dict(docs.dtypes)[id_col]
     schema = ", ".join([f"id {kind}", *(f"{n} {_SQL[n]}" for n in outputs)])
     picked = docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"))
-    return picked.mapInArrow(tidy(run, lambda: codec(ranks.value, pattern).forget()), schema).withColumnRenamed("id", id_col)
+    return picked.mapInArrow(tidy(run, lambda: codec(ranks.value, pattern, memory).forget()), schema).withColumnRenamed("id", id_col)
 
 
 _OUT = {
