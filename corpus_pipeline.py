@@ -67,6 +67,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         public_tokenizers.path("byte_bpe_multi_50k.tiktoken"),
         public_tokenizers.PATTERN,
         outputs=("n_tokens", "ids", "ids_sha256", "decoded_sha256"),
+        memory=(120_000, 60_000),  # beside what earlier stages left in the executors
     )
 
 
