@@ -47,12 +47,19 @@ def edits_allowed(length: int) -> int:
 
 @dataclass(frozen=True)
 class Term:
-    """A word or the stem of words, its weight, and the edits within which other spellings count as it."""
+    """A word or the stem of words, its weight, and the edits within which other spellings count as it.
+
+    Unless said otherwise, a word takes the edits that its length allows, and a stem, which stands for many endings, none.
+    """
 
     text: str
     stem: bool
     weight: float
-    edits: int = 0
+    edits: int | None = None
+
+    def __post_init__(self) -> None:
+        if self.edits is None:
+            object.__setattr__(self, "edits", 0 if self.stem else edits_allowed(len(self.text)))
 
 
 class LexiconAutomaton:
@@ -250,8 +257,7 @@ def choose_terms(rows: list[tuple[str, int, int]], toxic: int, clean: int) -> li
     picked += [(u, False, u) for u in count if not u.endswith("*") and not any(u.startswith(s) for s in stems)]
     odds = {u: math.log((count[u] / toxic) / ((other[u] + 0.5) / clean)) for _, _, u in picked}
     top = max(odds.values(), default=1.0)
-    # A stem stands for many endings and takes no edits beside.
-    terms = [Term(text, stem, max(0.1, odds[u] / top), 0 if stem else edits_allowed(len(text))) for text, stem, u in picked]
+    terms = [Term(text, stem, max(0.1, odds[u] / top)) for text, stem, u in picked]
     return sorted(terms, key=lambda t: (-t.weight, t.text))
 
 
