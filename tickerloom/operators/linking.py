@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -11,6 +13,9 @@ from tickerloom.params import CASHTAG_PATTERN, LINK_CONFIDENCE
 # A word: no white space inside, a letter, digit, $ or # in front, a letter, digit or # at the end.
 _WORD = r"[\p{L}\p{Nd}$#]\S*[\p{L}\p{Nd}#]|[\p{L}\p{Nd}#]"
 
+# Letters of a first word that are tried for a large dictionary, most first.
+_LETTERS = (8, 6, 5, 4, 3, 2, 1)
+
 
 def alias_terms(tickers: DataFrame, min_symbol: int = 2) -> DataFrame:
     """The dictionary: (term, ticker, method), a symbol counting as dict and any other alias as synonym.
@@ -43,8 +48,11 @@ def _runs(tokens: Column, start: Column, lengths: Column) -> Column:
     return F.transform(whole, lambda n: F.array_join(F.slice(tokens, start + 1, n), " "))
 
 
-def _phrases(text: Column, heads: dict[str, list[int]]) -> Column:
-    """Distinct runs of words of the whole text that begin with the first word of a term and are as long as its terms."""
+def _phrases(text: Column, heads: dict[str, list[int]], key: Callable[[Column], Column] = lambda word: word) -> Column:
+    """Distinct runs of words of the whole text that begin with the first word of a term and are as long as its terms.
+
+    ``key`` is what of a word is looked up in ``heads``.
+    """
     groups: dict[tuple[int, ...], list[str]] = {}
     for head, lengths in heads.items():
         groups.setdefault(tuple(lengths), []).append(head)
@@ -54,7 +62,7 @@ def _phrases(text: Column, heads: dict[str, list[int]]) -> Column:
             out = F.lit(None).cast("array<string>")
             for lengths, own in groups.items():
                 runs = F.array(word) if lengths == (1,) else _runs(tokens, i, F.array(*[F.lit(n) for n in lengths]))
-                out = F.when(word.isin(own), runs).otherwise(out)
+                out = F.when(key(word).isin(own), runs).otherwise(out)
             return out
 
         hits = F.filter(F.transform(tokens, at), lambda runs: runs.isNotNull())
@@ -90,21 +98,31 @@ def _dictionary(tickers: DataFrame, cashtags: bool, aliases: bool, min_symbol: i
     return tags.unionByName(terms) if cashtags else terms
 
 
+def _beginnings(heads: DataFrame, most: int) -> tuple[int, dict[str, list[int]]]:
+    """How many letters of first words tell them apart best with at most ``most`` beginnings, and each with its terms' lengths.
+
+    If not even the first letters are that few, the empty beginning stands for all.
+    """
+    counts = heads.agg(*[F.count_distinct(F.substring("head", 1, n)).alias(str(n)) for n in _LETTERS]).first()
+    n = next((n for n in _LETTERS if counts[str(n)] <= most), 0)
+    begun = heads.select(F.substring("head", 1, n).alias("head"), F.explode("lengths").alias("n"))
+    return n, {r.head: list(r.lengths) for r in begun.groupBy("head").agg(F.array_sort(F.collect_set("n")).alias("lengths")).collect()}
+
+
 def _phrase_rows(articles: DataFrame, heads: DataFrame, max_heads: int) -> DataFrame:
     """``article_id`` and ``term`` for every run of words that may be a term.
 
-    A small dictionary's first words travel with the plan, and words are looked up where they are found; otherwise the distinct
-    words of each article meet them in a join, whose strategy Spark chooses by size.
+    A small dictionary's first words travel with the plan, and words are looked up where they are found. Of a large one, only the
+    beginnings of first words do, as many letters as keep them few. Neither moves a text or its words.
     """
+    heads = heads.filter(~F.col("head").startswith("$"))
     few = heads.limit(max_heads + 1).collect()
     if len(few) <= max_heads:
-        plain = {r.head: list(r.lengths) for r in few if not r.head.startswith("$")}
-        return articles.select(F.col("id").alias("article_id"), F.explode(_phrases(F.col("text"), plain)).alias("term"))
-    worded = articles.select(F.col("id").alias("article_id"), _tokens(F.col("text")).alias("tokens"))
-    met = worded.select("article_id", "tokens", F.explode(F.array_distinct("tokens")).alias("head")).join(heads, "head")
-    places = F.filter(F.sequence(F.lit(0), F.size("tokens") - 1), lambda i: F.get("tokens", i) == F.col("head"))
-    runs = F.flatten(F.transform(places, lambda i: _runs(F.col("tokens"), i, F.col("lengths"))))
-    return met.filter(~F.col("head").startswith("$")).select("article_id", F.explode(F.array_distinct(runs)).alias("term"))
+        found = _phrases(F.col("text"), {r.head: list(r.lengths) for r in few})
+    else:
+        n, begun = _beginnings(heads, max_heads)
+        found = _phrases(F.col("text"), begun, lambda word: F.when(~word.startswith("$"), F.substring(word, 1, n)))
+    return articles.select(F.col("id").alias("article_id"), F.explode(found).alias("term"))
 
 
 def mentions(
