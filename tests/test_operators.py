@@ -78,6 +78,15 @@ def test_near_first_against_brute_force(spark, hot_rows):
     assert got == want
 
 
+def test_near_first_sends_no_side_through_the_driver(spark):
+    """Stored keys look small to Spark by their files, and must not be broadcast for that."""
+    sigs = spark.range(200).select(F.xxhash64("id").bitwiseAND(F.lit((1 << 60) - 1)).alias("sig"), F.struct(F.lit(0).alias("published_at"), "id").alias("first"))
+    plan = dd.near_first(sigs, 3)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
+    articles = spark.range(50).select("id", F.concat(F.lit("title "), "id").alias("title"), F.timestamp_seconds("id").alias("published_at"))
+    assert "Broadcast" not in dd.dedupe_simhash(articles)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_simhash_copies(spark):
     rows = [(1, "Alpha beta gamma delta"), (2, "alpha BETA gamma, delta!"), (3, "something else entirely"), (4, None), (5, "...")]
     df = spark.createDataFrame([(i, t, hours(i)) for i, t in rows], "id bigint, title string, published_at timestamp")
@@ -443,6 +452,21 @@ def test_phrases_begin_at_first_words(spark, max_heads):
     assert both == sum("$TB" in (t or "") for t in texts)
 
 
+@pytest.mark.parametrize("max_heads", [0, 4, 12])
+def test_large_dictionary_moves_no_text(spark, max_heads):
+    """First words too many for the plan: whatever stands for them, the links are the same and no text is joined with its words."""
+    names = ["Big Oil", "Big Blue Sky", "Bigger", "Ball", "Supply Co 1", "Supply", "Zed #1", "$Cash Co"]
+    rows = [(f"T{chr(65 + i)}{chr(65 + j)}", f"{n} {j}", [n]) for i, n in enumerate(names) for j in range(3)]
+    tickers = spark.createDataFrame(rows, "symbol string, name string, aliases array<string>")
+    texts = ["Big Oil 2, Bigger Ball (Big Blue Sky)", "Supply Co 1 2 Zed #1 1 TAA", "$Cash Co 1 Big $TAB Bi B", "", None]
+    articles = spark.createDataFrame(list(enumerate(texts)), "id bigint, text string")
+    shown = lambda most: sorted(map(tuple, ln.mentions(articles, tickers, max_heads=most).collect()))
+    assert shown(max_heads) == shown(5000) and len(shown(5000)) > 10
+    rows = ln._phrase_rows(articles, ln.term_heads(ln.alias_terms(tickers)), max_heads)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Generate") == 1
+
+
 def test_cashtag_boundaries(spark):
     tickers = spark.createDataFrame([("AAPL", "x", None), ("BRK.B", "y", None), ("A", "z", None)], "symbol string, name string, aliases array<string>")
     cases = {

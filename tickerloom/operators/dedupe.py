@@ -98,15 +98,18 @@ def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
     meet under one of twenty 30-bit keys. A key shared by few signatures is joined directly. A key shared
     by many is resolved by neighbourhood instead: sources are spread to the values one flip away, reduced
     to their earliest there, and looked up from two flips away. That is linear in the group and just as exact.
+
+    The joins are by sorting. Stored keys take many times the size of their files in memory, so that Spark, going by the files,
+    would send whole sides through the driver.
     """
     keyed = signature_keys(sigs)
     sizes = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1")
     # Most keys belong to one signature and end here; what is left is read several times.
-    shared = stored(keyed.join(sizes, "key"), "simhash-keys")
+    shared = stored(keyed.join(sizes.hint("merge"), "key"), "simhash-keys")
 
     few = shared.filter(F.col("members") <= hot_rows)
     other = few.select("key", F.col("rest").alias("other_rest"), F.col("first").alias("other_first"))
-    direct = few.join(other, "key").filter(F.bit_count(F.col("rest").bitwiseXOR(F.col("other_rest"))) <= _DISTANCE)
+    direct = few.join(other.hint("merge"), "key").filter(F.bit_count(F.col("rest").bitwiseXOR(F.col("other_rest"))) <= _DISTANCE)
 
     many = shared.filter(F.col("members") > hot_rows)
     spread = (
@@ -116,7 +119,7 @@ def near_first(sigs: DataFrame, hot_rows: int = 256) -> DataFrame:
     )
     looked_up = many.select(
         "sig", "key", F.explode(F.transform(_flips(2), lambda m: m.bitwiseXOR(F.col("rest")))).alias("near")
-    ).join(spread, ["key", "near"])
+    ).join(spread.hint("merge"), ["key", "near"])
 
     found = direct.select("sig", "other_first").union(looked_up.select("sig", "other_first"))
     own = sigs.select("sig", F.col("first").alias("other_first"))
@@ -148,7 +151,7 @@ def dedupe_simhash(articles: DataFrame, id_col: str = "id", hot_rows: int = 256)
     first = near_first(stored(sigs, "simhash"), hot_rows).select(F.col("sig").alias("simhash"), F.col(f"first.{id_col}").alias("_first"))
     return (
         articles.withColumn("simhash", F.when(worded, simhash(F.col("title"))))
-        .join(first, "simhash", "left")
+        .join(first.hint("merge"), "simhash", "left")
         .withColumn("dup_of", F.when(F.col("_first") != F.col(id_col), F.col("_first")))
         .drop("_first")
     )

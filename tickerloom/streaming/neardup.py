@@ -34,7 +34,7 @@ def settle_batch(batch: DataFrame, batch_id: int, root: str, horizon_days: int)
         near_in_time = earlier.filter(
             F.col("date").between(F.date_sub(F.lit(span.a).cast("date"), horizon_days), F.date_add(F.lit(span.b).cast("date"), horizon_days))
         )
-        shared = near_in_time.join(signature_keys(own).select("key").distinct(), "key", "left_semi")
+        shared = near_in_time.join(signature_keys(own).select("key").distinct().hint("merge"), "key", "left_semi")
         known = shared.groupBy("sig").agg(F.min("first").alias("first"))
     both = known.unionByName(own).groupBy("sig").agg(F.min("first").alias("first"))
     near_first(stored(both, "near-candidates")).write.mode("overwrite").parquet(f"{root}/firsts/batch={batch_id}")
@@ -64,7 +64,7 @@ def read_marked(spark: SparkSession, root: str) -> DataFrame:
     """
     log = spark.read.parquet(f"{root}/log")
     first = spark.read.schema(f"{_SIGNATURE}, batch long").parquet(f"{root}/firsts").groupBy("sig").agg(F.min("first").alias("first"))
-    marked = log.join(first.withColumnRenamed("sig", "simhash"), "simhash", "left")
+    marked = log.join(first.withColumnRenamed("sig", "simhash").hint("merge"), "simhash", "left")
     return marked.select("id", "simhash", F.when(F.col("first.id") != F.col("id"), F.col("first.id")).alias("dup_of"))
 
 
