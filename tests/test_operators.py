@@ -345,6 +345,35 @@ def test_ann_recall_of_the_registered_index(spark, lists):
     assert len(found & exact) >= 0.9 * len(exact) > 1000
 
 
+def test_comparisons_take_bounded_memory():
+    """Full blocks whose rows are all alike: a task holds a few hundred rows of a matrix at a time."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    vecs = np.ones((4096, 8)) / np.sqrt(8)
+    model = ann.AnnModel(np.zeros((1024, 8)), (np.zeros((1, 8)),), 4)
+    left = pd.DataFrame({"query_id": np.arange(4096), "vec": list(vecs), "cell": 0})
+    right = pd.DataFrame({"article_id": np.arange(4096), "cell": 0, "code": [b"\0"] * 4096})
+    articles = pd.DataFrame({"article_id": np.arange(4096), "vec": list(vecs)})
+    block = SimpleNamespace(value=(np.arange(4096), vecs))
+    same = np.ones((4096, 4096), bool)
+    steps = {
+        "codes": lambda: len(ann._rough_kernel(model, 5)(left, right, same)),
+        "exact": lambda: sum(map(len, sim._topk_of_block(block, 5, 0.7)(iter([articles])))),
+        "cells": lambda: 5 * len(model.nearest(vecs, 4)),
+    }
+    for name, run in steps.items():
+        tracemalloc.start()
+        assert run() == 5 * 4096
+        most = tracemalloc.get_traced_memory()[1] / 1e6
+        tracemalloc.stop()
+        assert most < 100, (name, most)
+    (found,) = sim._topk_of_block(block, 5, 0.7)(iter([articles.iloc[::-1]]))
+    assert found[found["query_id"] == 2]["article_id"].tolist() == [0, 1, 3, 4, 5]
+
+
 @pytest.mark.parametrize("block_rows", [16, 4096])
 def test_ann_with_every_cell_and_code_is_exact(spark, block_rows):
     df, _ = _vectors(spark, 400)

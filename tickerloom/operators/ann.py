@@ -21,6 +21,8 @@ from tickerloom.functions.vectors import dot, unit
 
 #: Vectors that centres and codebooks are fitted on, and the most cells: both bound what the driver holds and sends out.
 SAMPLE_ROWS, MAX_LISTS = 32_768, 1024
+#: Vectors that are compared with all cells, or with all codes of a block, at a time: bounds the memory of a task.
+_AT_ONCE = 256
 
 
 @dataclass(frozen=True)
@@ -38,7 +40,10 @@ class AnnModel:
 
     def nearest(self, vecs: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` nearest cells of each vector, nearest first."""
-        return np.argsort((self.centres**2).sum(axis=1) - 2 * vecs @ self.centres.T, axis=1, kind="stable")[:, :n]
+        own, out = (self.centres**2).sum(axis=1), np.empty((len(vecs), min(n, len(self.centres))), dtype="int64")
+        for i in range(0, len(vecs), _AT_ONCE):
+            out[i : i + _AT_ONCE] = np.argsort(own - 2 * vecs[i : i + _AT_ONCE] @ self.centres.T, axis=1, kind="stable")[:, :n]
+        return out
 
     def codes(self, vecs: np.ndarray, cells: np.ndarray) -> np.ndarray:
         """One byte for each share of what a vector differs from its cell's centre by."""
@@ -134,19 +139,23 @@ def _asked(queries: DataFrame, model: AnnModel) -> DataFrame:
 
 def _rough_kernel(model: AnnModel, keep: int):
     def kernel(left: pd.DataFrame, right: pd.DataFrame, same_key: np.ndarray) -> pd.DataFrame:
-        out: dict[str, list] = {"query_id": [], "article_id": [], "rough": []}
+        found = []
         if len(left) and len(right):
             codes = np.frombuffer(b"".join(right["code"]), "uint8").reshape(len(right), -1)
-            sims = model.rough(np.stack(left["vec"].to_numpy()), right["cell"].to_numpy(), codes)
-            ids = right["article_id"].to_numpy()
-            sims[~same_key | (ids[None, :] == left["query_id"].to_numpy()[:, None])] = -np.inf
-            best = np.argpartition(-sims, min(keep, len(right)) - 1, axis=1)[:, :keep]
-            for i, query in enumerate(left["query_id"].to_numpy()):
-                own = best[i][np.isfinite(sims[i, best[i]])]
-                out["query_id"].extend([query] * len(own))
-                out["article_id"].extend(ids[own])
-                out["rough"].extend(sims[i, own])
-        return pd.DataFrame(out).astype({"query_id": "int64", "article_id": "int64", "rough": "float64"})
+            ids, cells = right["article_id"].to_numpy(), right["cell"].to_numpy()
+            for at in range(0, len(left), _AT_ONCE):
+                part = left.iloc[at : at + _AT_ONCE]
+                queries = part["query_id"].to_numpy()
+                sims = model.rough(np.stack(part["vec"].to_numpy()), cells, codes)
+                sims[~same_key[at : at + _AT_ONCE] | (ids[None, :] == queries[:, None])] = -np.inf
+                best = np.argpartition(-sims, min(keep, len(right)) - 1, axis=1)[:, :keep]
+                rough = np.take_along_axis(sims, best, axis=1)
+                q, j = np.nonzero(np.isfinite(rough))
+                found.append((queries[q], ids[best[q, j]], rough[q, j]))
+        columns = [np.concatenate(c) for c in zip(*found, strict=True)] if found else [[], [], []]
+        return pd.DataFrame(dict(zip(("query_id", "article_id", "rough"), columns, strict=True))).astype(
+            {"query_id": "int64", "article_id": "int64", "rough": "float64"}
+        )
 
     return kernel
 

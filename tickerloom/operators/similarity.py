@@ -68,19 +68,38 @@ def similar_topk(
     return _best(found, k)
 
 
+#: Queries and articles that are compared at a time: bounds the memory of a task, however many of them are similar.
+_QUERIES, _ARTICLES = 512, 1024
+
+
 def _topk_of_block(block, k: int, threshold: float):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         ids, vecs = block.value
-        best = pd.DataFrame({"query_id": [], "article_id": [], "similarity": []})
+        sims = np.full((len(ids), k), -np.inf)
+        articles = np.full((len(ids), k), np.iinfo("int64").max)
         for batch in batches:
-            if not len(batch):
-                continue
-            sims = vecs @ np.stack(batch["vec"].to_numpy()).T
-            articles = batch["article_id"].to_numpy()
-            q, a = np.nonzero((sims > threshold) & (articles[None, :] != ids[:, None]))
-            new = pd.DataFrame({"query_id": ids[q], "article_id": articles[a], "similarity": sims[q, a]})
-            both = pd.concat([best, new]).sort_values(["query_id", "similarity", "article_id"], ascending=[True, False, True])
-            best = both.groupby("query_id", sort=False).head(k)
-        yield best.astype({"query_id": "int64", "article_id": "int64", "similarity": "float64"})
+            for at in range(0, len(batch), _ARTICLES):
+                part = batch.iloc[at : at + _ARTICLES]
+                own, those = np.stack(part["vec"].to_numpy()).T, part["article_id"].to_numpy()
+                for i in range(0, len(ids), _QUERIES):
+                    rows = slice(i, i + _QUERIES)
+                    _merge(sims[rows], articles[rows], vecs[rows] @ own, those, ids[rows], threshold)
+        q, j = np.nonzero(np.isfinite(sims))
+        found = pd.DataFrame({"query_id": ids[q], "article_id": articles[q, j], "similarity": sims[q, j]})
+        yield found.astype({"query_id": "int64", "article_id": "int64", "similarity": "float64"})
 
     return run
+
+
+def _merge(best: np.ndarray, best_ids: np.ndarray, sims: np.ndarray, those: np.ndarray, ids: np.ndarray, threshold: float) -> None:
+    """Put articles into the rows of the best, ordered by similarity and id, if they are better than the last there."""
+    k = best.shape[1]
+    better = (sims > best[:, -1:]) | ((sims == best[:, -1:]) & (those[None, :] < best_ids[:, -1:]))
+    q, a = np.nonzero(better & (sims > threshold) & (those[None, :] != ids[:, None]))
+    rows = np.unique(q)
+    of = np.concatenate([np.repeat(rows, k), q])
+    value = np.concatenate([best[rows].ravel(), sims[q, a]])
+    name = np.concatenate([best_ids[rows].ravel(), those[a]])
+    order = np.lexsort((name, -value, of))
+    first = order[np.searchsorted(of[order], rows)[:, None] + np.arange(k)]
+    best[rows], best_ids[rows] = value[first], name[first]
