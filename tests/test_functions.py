@@ -1,6 +1,7 @@
 """Literal cases of the scalar functions."""
 
 import html
+import random
 import re
 from urllib.parse import parse_qs, urlsplit
 
@@ -182,3 +183,16 @@ def test_cosine(spark):
 def test_listed_values(spark):
     cases = ['{"aliases": ["Apple", "AAPL"]}', '{"aliases": null}', "{}", None]
     assert values(spark, cases, lambda c: fl.listed_values(c, "aliases")) == [["Apple", "AAPL"], [], [], []]
+
+
+def test_only_references_go_to_python(spark):
+    """The text around character references stays in Spark, and the result is Python's."""
+    rng = random.Random(3)
+    parts = ["&", "&amp;", "&amp", "&#65;", "&#x41", "&#0;", "&#xD800;", "&#99999999;", "&notit;", "&acE;", "&;", ";", "#", " ", "<b>", "é😀", "x" * 40, "\n", "\r", "\f", "&&", "&CounterClockwiseContourIntegral;"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(0, 12))) for _ in range(500)] + [None, "", "plain"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(3)
+    shown = df.select("id", "text", tx.unescape_html(F.col("text")).alias("plain"))
+    for r in shown.collect():
+        assert r.plain == (None if r.text is None else html.unescape(r.text)), r.text
+    sent = [line for line in shown._jdf.queryExecution().executedPlan().toString().splitlines() if "ArrowEvalPython" in line]
+    assert sent and all("regexp_extract_all" in line for line in sent)

@@ -267,3 +267,36 @@ def test_near_duplicates_across_batches(spark):
     assert got() == want and near.read_marked(spark, root).count() == len(rows)
     folders = {str(r.date) for r in spark.read.parquet(f"{root}/keys").select("date").distinct().collect()}
     assert len(folders) > 10
+
+
+def test_velocity_state_takes_few_messages():
+    """A ticker of many hours costs as many calls of its states as one of few, and only the look-back is kept."""
+    from collections import Counter
+    from types import SimpleNamespace
+
+    import pandas as pd
+
+    calls = Counter()
+
+    class Held:
+        def __init__(self, name, *_):
+            self.name, self.rows = name, {}
+
+        def __getattr__(self, call):
+            def counted(*args):
+                calls[call] += 1
+                if call in ("put", "update"):
+                    self.rows = args[0]
+                return {"get": self.rows or None if self.name == "first" else iter(self.rows), "iterator": iter(self.rows), "exists": bool(self.rows)}.get(call)
+
+            return counted
+
+    handle = SimpleNamespace(
+        getValueState=Held, getMapState=Held, getListState=Held, listTimers=lambda: [], registerTimer=lambda t: None, deleteTimer=lambda t: None
+    )
+    processor = jobs.VelocityProcessor(2)
+    processor.init(handle)
+    hours = pd.date_range("2024-01-01", periods=500, freq="h")
+    out = pd.concat(processor.handleInputRows(("A",), iter([pd.DataFrame({"ticker": "A", "hour": hours, "mentions": range(500)})]), None))
+    assert len(out) == 500 and sum(calls.values()) < 10
+    assert [n for _, n in processor.counts.rows] == list(range(451, 500))

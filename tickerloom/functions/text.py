@@ -67,14 +67,21 @@ def validated_url(url: Column) -> Column:
     return F.when(url.rlike(_AUTHORITY), F.concat(scheme, F.lit("//"), user, host, path)).otherwise(url)
 
 
-@F.pandas_udf(T.StringType())
-def _unescape(text: pd.Series) -> pd.Series:
-    return text.map(html.unescape, na_action="ignore")
+# What html.unescape takes for a character reference.
+_REFERENCE = r"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
+
+
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _unescape(references: pd.Series) -> pd.Series:
+    return references.map(lambda own: [html.unescape(r) for r in own], na_action="ignore")
 
 
 def unescape_html(text: Column) -> Column:
-    """Spark has no entity decoder; only rows with an ampersand carry their text to Python."""
-    return F.coalesce(_unescape(F.when(F.instr(text, "&") > 0, text)), text)
+    """Spark has no entity decoder; only the references themselves go to Python, and the text around them stays."""
+    some = F.instr(text, "&") > 0
+    decoded = _unescape(F.when(some, F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0))))
+    pieces = F.zip_with(F.split(text, _REFERENCE, -1), F.concat(decoded, F.array(F.lit(""))), lambda gap, own: F.concat(gap, own))
+    return F.coalesce(F.when(some, F.array_join(pieces, "")), text)
 
 
 def strip_markup(text: Column) -> Column:
