@@ -7,7 +7,9 @@ one copy. Readers take the newest row per key, which makes the log an upsert tab
 from __future__ import annotations
 
 import math
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 from typing import Any
 
 import pandas as pd
@@ -134,10 +136,8 @@ class VelocityProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.first = handle.getValueState("first", T.StructType([T.StructField("hour", T.LongType())]))
-        self.counts = handle.getMapState(
-            "counts",
-            T.StructType([T.StructField("hour", T.LongType())]),
-            T.StructType([T.StructField("n", T.LongType())]),
+        self.counts = handle.getListState(
+            "counts", T.StructType([T.StructField("hour", T.LongType()), T.StructField("n", T.LongType())])
         )
 
     def _expiry(self, hour: int) -> int:
@@ -147,18 +147,22 @@ class VelocityProcessor(StatefulProcessor):
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
         arrived = pd.concat(list(rows)).sort_values("hour")
         hours = (arrived["hour"].astype("datetime64[us]").astype("int64") // HOUR_US).tolist()
-        held = {int(k[0]): int(v[0]) for k, v in self.counts.iterator()}
-        first = int(self.first.get()[0]) if self.first.exists() else hours[0]
-        self.first.update((first,))
+        held = {int(h): int(n) for h, n in self.counts.get()}
+        known = self.first.get()
+        first = int(known[0]) if known else hours[0]
+        if not known:
+            self.first.update((first,))
+        held |= dict(zip(hours, arrived["mentions"].tolist(), strict=True))
+        line = sorted(held)
+        total = list(accumulate((held[h] for h in line), initial=0))
+        squares = list(accumulate((held[h] ** 2 for h in line), initial=0))
         scores = []
         for hour, n in zip(hours, arrived["mentions"].tolist(), strict=True):
-            back = [c for h, c in held.items() if hour - self.hours <= h < hour]
-            scores.append(self._score(n, min(hour - first, self.hours), sum(back), sum(c * c for c in back)))
-            held[hour] = n
-            self.counts.updateValue((hour,), (n,))
-        last = max(held)
-        for hour in [h for h in held if h < last - self.hours]:
-            self.counts.removeKey((hour,))
+            a, b = bisect_left(line, hour - self.hours), bisect_left(line, hour)
+            scores.append(self._score(n, min(hour - first, self.hours), total[b] - total[a], squares[b] - squares[a]))
+        last = line[-1]
+        # One message for all hours: each call of a state goes through a socket.
+        self.counts.put([(h, held[h]) for h in line if h >= last - self.hours])
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(timer)
         self.handle.registerTimer(self._expiry(last))
